@@ -3,23 +3,94 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .ann import nearest
+from .chat_format import TRAP, chat_digests, format_chats
+from .common import work_dir
+from .decontaminate import contamination
 from .jaccard_join import jaccard_groups
+from .language_id import identify_languages
+from .line_dedup import dedup_lines
+from .pii import pseudonymise
+from .sentencepiece_bpe import encode_documents
+from .token_rollup import RollupStore, bpe_counter, facts, revised, signed, word_count
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every row whose vec_id is divisible by 20, by inner product."""
+    vectors = _read(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merge-dropout ids of every document, and whether they decode to its text."""
+    return encode_documents(_read(spark, sf_dir, "documents"))
+
+
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for its personal data."""
+    return pseudonymise(_read(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the documents and the line kept for it."""
+    return dedup_lines(_read(spark, sf_dir, "documents"))
+
+
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches over all documents: word counts, BPE counts, and a revision of the
+    word counts by a newer version of their tokenizer; the last batch is delivered twice."""
+    docs = _read(spark, sf_dir, "documents").select("source", "lang", "text")
+    store = RollupStore(spark, f"{work_dir(spark)}/rollup-{uuid4().hex}")
+    words = facts(docs, "words-1", F.size(F.split("text", " ")))
+    store.commit("load-words", signed(words, 1))
+    store.commit("load-bpe", signed(facts(docs, "byte_bpe_50k", bpe_counter(spark)(F.col("text"))), 1))
+    revision = revised(words, facts(docs, "words-2", word_count(F.col("text"))))
+    store.commit("revise-words", revision)
+    store.commit("revise-words", revision)
+    return store.totals()
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    return identify_languages(_read(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked at Jaccard 0.85 of 4-word shingles."""
     return jaccard_groups(_read(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7 formatted, and digests of the output read back."""
+    chats = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], chats.schema)
+    return chat_digests(format_chats(chats.unionByName(trap)))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside 10-word windows of benchmark items."""
+    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
+    "op2_sentencepiece": op2_sentencepiece,
+    "op4_surrogates": op4_surrogates,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_token_rollup": op6_token_rollup,
+    "op7_language_id": op7_language_id,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_chat_formatting": op9_chat_formatting,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
