@@ -12,6 +12,7 @@ from .ann import nearest
 from .chat_format import TRAP, chat_digests, format_chats
 from .common import work_dir
 from .decontaminate import contamination
+from .html_text import extract_text
 from .jaccard_join import jaccard_groups
 from .language_id import identify_languages
 from .line_dedup import dedup_lines
@@ -35,6 +36,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_read(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_text(_read(spark, sf_dir, "pages"))
+
+
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates for its personal data."""
     return pseudonymise(_read(spark, sf_dir, "documents"))
@@ -84,6 +90,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_html_extraction": op3_html_extraction,
     "op4_surrogates": op4_surrogates,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_rollup": op6_token_rollup,
