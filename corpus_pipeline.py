@@ -1,10 +1,86 @@
-"""The corpus pipeline: STAGES run in order over documents, each reading what the one before kept."""
+"""The corpus pipeline: STAGES run in order over documents, each reading what the one before kept.
+
+1. language ID: documents without letters, or far from every learned language, go;
+2. line dedup: of near-duplicate lines one stays; documents left without a word go;
+3. n-gram Jaccard join: of documents linked at 0.8 of five-word shingles the smallest doc_id stays;
+4. benchmark decontamination: documents that hold a window of a benchmark item go;
+5. SentencePiece encoding: the ids of what is left, which decode to its text.
+
+Stages 1 to 4 return the columns of documents; stage 5 adds n_tokens, token_ids and lossless.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm.common import settle, work_dir
+from quarry.llm.decontaminate import with_hits
+from quarry.llm.jaccard_join import jaccard_groups
+from quarry.llm.language_id import train, with_language
+from quarry.llm.line_dedup import drop_duplicate_lines
+from quarry.llm.sentencepiece_bpe import with_tokens
+
+#: Cosine with the nearest language prototype under which a document is rejected.
+MIN_COSINE = 0.2
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a learned language is found for; learned from the rows of docs with a lang. With nothing to learn from, all stay."""
+    names, prototypes = train(docs.select(F.col("doc_id").alias("id"), "text", "lang"))
+    if not names:
+        return docs
+    out = with_language(docs, names, prototypes)
+    return out.where(F.col("__lang.score") >= MIN_COSINE).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that near-duplicate a line of smaller (doc_id, line); n_chars follows the text."""
+    out = drop_duplicate_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one of smallest doc_id; documents without words all stay."""
+    groups = jaccard_groups(docs, shingle=5, percent=80)
+    gone = settle(groups.where("component_id <> doc_id").select("doc_id"), "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    out = with_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.where(F.size("__hits.items") == 0).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with n_tokens, token_ids and lossless."""
+    out = with_tokens(docs)
+    return out.select(*docs.columns, F.size("__tokens.token_ids").cast("long").alias("n_tokens"), "__tokens.token_ids", "__tokens.lossless")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard", ngram_jaccard),
+    ("decontaminate", decontaminate),
+    ("sentencepiece", encode),
+]
+
+#: No SQL: hyperdimensional vectors, MinHash and merge-dropout are not SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES over documents; each stage's rows are written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{work_dir(spark)}/pipeline-{uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs
