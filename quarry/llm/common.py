@@ -21,18 +21,39 @@ def work_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no rerun."""
+    """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no rerun.
+
+    The shuffle files of the write go when it has ended; nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that settle wrote and nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._settled_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def keep_ids(df: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
-    """Rows of df whose key is among ids (distinct); broadcast up to BROADCAST_ROWS ids, else a shuffle."""
+def keep_ids(df: DataFrame, ids: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
+    """Rows of df whose key is among ids (left_anti: is not); broadcast up to BROADCAST_ROWS ids, else a shuffle."""
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(ids) if small else ids, on, "left_semi")
+    return df.join(F.broadcast(ids) if small else ids, on, how)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -48,6 +69,7 @@ def components(edges: DataFrame) -> DataFrame:
     )
     before = None
     while True:
+        old = e
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -56,6 +78,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         e = settle(small.distinct(), "edges")
+        discard(old)
         row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("s"), F.sum((F.col("u") != F.col("v")).cast("long")).alias("d")).first()
         now = (row["n"], row["s"], row["d"])
         if now == before or not row["d"]:

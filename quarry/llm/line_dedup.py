@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, components, settle
-from .linking import link
+from .linking import link, shared_entries
 from .shingles import mix
 
 #: Characters of a shingle, bands, hash values of a band, and the Jaccard measure (percent) from which lines are near duplicates.
@@ -146,10 +146,9 @@ def line_classes(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, ro
     lines = settle(signed_lines(docs, shingle, bands, rows), "lines")
     first = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no", "bands")).alias("x"), F.count("*").alias("copies"))
     classes = settle(first.select(F.monotonically_increasing_id().alias("id"), "d1", "d2", "x.doc_id", "x.line_no", "copies", "x.bands"), "classes")
-    entries = classes.select("id", F.explode("bands").alias("token"))
-    shared = entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    entries = settle(entries.join(shared, "token").select("token", "id"), "entries")
-    links = link(entries, lambda a, b: "true", _verify(docs, classes, shingle, percent))
+    # the centre of a star is the line with most copies: edits are made of it
+    entries = shared_entries(classes.select("id", (-F.col("copies")).alias("rank"), F.explode("bands").alias("token")))
+    links = link(entries, _verify(docs, classes, shingle, percent), centre="rank")
     comp = settle(components(links), "comp")
     linked = classes.select("id", "d1", "d2", "doc_id", "line_no").join(comp, "id")
     keep = linked.groupBy("comp").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))

@@ -1,55 +1,111 @@
 """Components of similar texts from an inverted index, without all pairs of a group.
 
-Round one links every entry of a token to one centre (the smallest id). Round two
-looks only at tokens whose entries are still in different components, and pairs the
-entries outside the token's largest component with those of other components, so
-that no link between components is lost while copies of one text cost one check each.
+Star rounds link the entries of a token to one centre, and are repeated among what is still in
+different components. The last round looks only at tokens whose entries are still in different
+components, and pairs the entries outside the token's largest component with those of other
+components, so that no link between components is lost while copies of one text cost one check each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, settle
+from .common import components, discard, settle
 
+#: Star rounds before the last one.
+STARS = 2
 
-def star_pairs(entries: DataFrame, admit: Callable[[str, str], str]) -> DataFrame:
-    """(a, b): a the smallest id of a token, b each other id that admit's condition lets through."""
-    others = [c for c in entries.columns if c not in ("token",)]
-    first = entries.groupBy("token").agg(F.min(F.struct("id", *[c for c in others if c != "id"])).alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = entries.select("token", F.struct("id", *[c for c in others if c != "id"]).alias("b")).join(first, "token")
-    return joined.where("a.id < b.id").where(admit("a", "b")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
+def shared_entries(entries: DataFrame) -> DataFrame:
+    """Entries whose token has more than one, as a written table; one shuffle."""
+    n = F.count("*").over(Window.partitionBy("token"))
+    return settle(entries.withColumn("__n", n).where("__n > 1").drop("__n"), "entries")
 
-def cross_pairs(entries: DataFrame, comp: DataFrame, admit: Callable[[str, str], str]) -> DataFrame:
-    """(a, b), a < b, of one token and different components; comp: (id, comp) for linked ids."""
+
+def _row(entries: DataFrame, *first: str):
+    """An entry without its token as a struct, the given columns first."""
+    return F.struct(*first, *[c for c in entries.columns if c not in ("token", *first)])
+
+
+def star_pairs(entries: DataFrame, centre: str, admit: str) -> DataFrame:
+    """(a, b): a the centre of a token, which has the smallest (centre column, id), b each other id that admit lets through."""
+    first = entries.groupBy("token").agg(F.min(_row(entries, centre, "id")).alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    joined = entries.select("token", _row(entries, "id").alias("b")).join(first, "token")
+    return joined.where("a.id <> b.id").where(admit).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
+def _open_entries(entries: DataFrame, comp: DataFrame) -> DataFrame:
+    """Entries of tokens that lie in several components, with comp and the token's largest one as main."""
     e = entries.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     sizes = e.groupBy("token", "comp").agg(F.count("*").alias("n"))
     top = sizes.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("k")).where("k > 1")
-    e = settle(e.join(top.select("token", F.col("top.comp").alias("main")), "token"), "cross")
+    return settle(e.join(top.select("token", F.col("top.comp").alias("main")), "token"), "open")
+
+
+def _cross_pairs(e: DataFrame, admit: str, enough: Callable | None) -> DataFrame:
+    """(a, b), a < b, of one token and different components; enough: a condition on the tokens n that a pair shares."""
     cols = [c for c in e.columns if c not in ("token", "main")]
     left = e.where("comp <> main").select("token", F.struct(*cols).alias("a"))
     right = e.select("token", F.struct(*cols).alias("b"), "main")
-    both = left.join(right, "token").where("a.comp <> b.comp and (b.comp = main or a.id < b.id)").where(admit("a", "b"))
-    return both.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    both = left.join(right, "token").where("a.comp <> b.comp and (b.comp = main or a.id < b.id)").where(admit)
+    pair = both.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), *([F.greatest("a.size", "b.size").alias("x"), F.least("a.size", "b.size").alias("y")] if enough else []))
+    if not enough:
+        return pair.distinct()
+    return pair.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("x").alias("x"), F.max("y").alias("y")).where(enough(F.col("n"), F.col("x"), F.col("y"))).select("a", "b")
 
 
-def link(entries: DataFrame, admit: Callable[[str, str], str], verify: Callable[[DataFrame], DataFrame], more: DataFrame | None = None, expand: DataFrame | None = None) -> DataFrame:
+def link(
+    entries: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    admit: str = "true",
+    admit_place: str = "true",
+    centre: str = "id",
+    enough: Callable | None = None,
+    more: DataFrame | None = None,
+    expand: DataFrame | None = None,
+) -> DataFrame:
     """Links (a, b) that span the components of the relation verify decides.
 
-    entries: (token, id, ...), one row each; verify: pairs (a, b) to those that hold;
-    more: further pairs for the first round; expand: (group, id) if an entry's id
-    stands for a group of ids: the second round then sees every member.
+    entries: (token, id, ...), one row each; verify: pairs (a, b) to those that hold; admit and
+    admit_place: conditions on the structs a and b of two entries of a token, of which the second
+    may depend on the token's place; enough(n, x, y): whether n shared tokens can do for sizes x
+    and y (entries then have a size); more: further pairs for the first round; expand:
+    (group, id) if an entry's id stands for a group of ids: later rounds then see every member.
     """
-    pairs = star_pairs(entries, admit)
+    pairs = star_pairs(entries, centre, f"({admit}) and ({admit_place})")
     pairs = settle(pairs if more is None else pairs.union(more).distinct(), "pairs")
     links = settle(verify(pairs), "links")
-    comp = settle(components(links), "comp")
     if expand is not None:
         entries = entries.withColumnRenamed("id", "group").join(expand, "group").drop("group")
-    rest = cross_pairs(entries, comp, admit).join(pairs, ["a", "b"], "left_anti")
-    rest = settle(rest, "pairs")
-    return links.union(verify(rest)) if rest.limit(1).count() else links
+    tried = pairs
+    seen = lambda: tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for last in [False] * (STARS - 1) + [True]:
+        comp = settle(components(links), "comp")
+        rest = _open_entries(entries, comp)
+        if not rest.limit(1).count() and expand is None:
+            return links
+        if last:
+            pairs = _cross_pairs(rest, admit, enough)
+            if expand is not None:
+                inside = expand.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+                other = inside.select("group", F.col("id").alias("b"), F.col("comp").alias("other"))
+                pairs = pairs.union(inside.join(other, "group").where("id < b and comp <> other").select(F.col("id").alias("a"), "b")).distinct()
+            pairs = pairs.join(seen(), ["a", "b"], "left_anti")
+        else:
+            outside = rest.where("comp <> main")
+            pairs = star_pairs(outside.drop("main"), centre, f"a.comp <> b.comp and ({admit}) and ({admit_place})")
+            hub = rest.where("comp = main").groupBy("token").agg(F.min(_row(rest.drop("main"), centre, "id")).alias("a"))
+            to_main = outside.select("token", _row(outside.drop("main"), "id").alias("b")).join(hub, "token").where(admit).where(admit_place)
+            pairs = pairs.union(to_main.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))).distinct()
+            pairs = pairs.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).join(seen().select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti").select("a", "b")
+        pairs = settle(pairs, "pairs")
+        discard(rest)
+        if pairs.limit(1).count():
+            links = links.union(settle(verify(pairs), "links"))
+            tried = tried.union(pairs)
+        elif not last:
+            continue
+    return links
