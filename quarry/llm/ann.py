@@ -16,8 +16,9 @@ from .common import settle
 TABLES, FUNCTIONS, PROBES, BLOCK = 6, 7, 160, 4096
 #: Vectors the widths are fitted on, at most.
 FIT_ROWS = 4096
-#: Width of a cell, as a multiple of the median distance to the 32nd neighbour within those.
-WIDTH = 1.5
+#: Widths of a cell that are tried, as multiples of the median distance to the 32nd neighbour among
+#: those, and the recall there that settles on one.
+WIDTHS, RECALL = (1.0, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0, 4.0, 6.0), 0.95
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -99,6 +100,30 @@ class PStable:
         return out
 
 
+def fit(sample: np.ndarray, k: int, longest: float, tables: int, functions: int, probes: int, asked: int = 128) -> PStable:
+    """The hashing of least width whose buckets hold RECALL of the sample's own k nearest."""
+    dims = sample.shape[1]
+    base = PStable(dims, 1.0, longest)
+    x, q = base.points(sample), sample[:asked]
+    far = np.sqrt(np.maximum(0, 2 - 2 * (base.queries(q) @ x.T)))
+    unit = max(1e-9, float(np.median(np.sort(far, 1)[:, min(len(sample) - 1, 32)])))
+    score = q @ sample.T
+    score[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    true = np.argsort(-score, 1, kind="stable")[:, : max(1, min(k, len(sample) - 1))]
+    for width in WIDTHS:
+        lsh = PStable(dims, width * unit, longest, tables, functions, probes)
+        buckets, visits = lsh.buckets(sample), lsh.probes(q)
+        found = sum(any_table(buckets[true[i]], visits[i]).sum() for i in range(len(q)))
+        if found >= RECALL * true.size:
+            break
+    return lsh
+
+
+def any_table(buckets: np.ndarray, visits: np.ndarray) -> np.ndarray:
+    """Which points (rows x tables of buckets) a query meets in some table (tables x probes)."""
+    return np.any([np.isin(buckets[:, t], visits[t]) for t in range(visits.shape[0])], axis=0)
+
+
 def _matrix(col: pd.Series, dims: int) -> np.ndarray:
     return np.stack(col.to_numpy()).astype(np.float64) if len(col) else np.empty((0, dims))
 
@@ -143,11 +168,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     n = points.count()
     longest = points.select(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
     sample = np.array([r["v"] for r in points.select("v").orderBy(F.xxhash64("v")).limit(FIT_ROWS).collect()])
-    probe = PStable(dims, 1.0, longest)
-    unit = probe.points(sample)
-    spread = np.sqrt(np.maximum(0, 2 - 2 * (probe.queries(sample[:256]) @ unit.T)))
-    near = np.sort(spread, 1)[:, min(len(sample) - 1, 32)]
-    lsh = spark.sparkContext.broadcast(PStable(dims, float(max(1e-9, WIDTH * np.median(near))), longest, tables, functions, probes))
+    lsh = spark.sparkContext.broadcast(fit(sample, k, longest, tables, functions, probes))
 
     def to_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -189,7 +210,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         return pd.DataFrame(out, columns=["q", "p", "score"])
 
     found = visits.groupBy("cell").cogroup(member.groupBy("cell")).applyInPandas(compare, "q long, p long, score double")
-    found = settle(found.distinct(), "found")
+    found = settle(found.groupBy("q", "p").agg(F.max("score").alias("score")), "found")
 
     enough = found.join(points.select("p", F.size("ids").alias("c")), "p").groupBy("q").agg(F.sum("c").alias("c")).where(F.col("c") > k).select("q")
     short = asked.select("q", "v").join(enough, "q", "left_anti")
@@ -203,10 +224,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
             rows = _best(_matrix(left["v"], dims), left["q"].to_numpy(), _matrix(right["v"], dims), right["p"].to_numpy(), k + 1) if len(left) and len(right) else []
             return pd.DataFrame(rows, columns=["q", "p", "score"])
 
-        found = found.union(short.groupBy("s").cogroup(blocks.groupBy("s")).applyInPandas(whole, "q long, p long, score double")).distinct()
+        found = found.union(short.groupBy("s").cogroup(blocks.groupBy("s")).applyInPandas(whole, "q long, p long, score double"))
 
     # k + 1 groups of equal vectors are enough for a query, whichever of them holds its own row
-    best = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("far"), "p"))), 1, 4 * k + 4).alias("x"))
+    # (the blocks' products of one pair can differ in the last place)
+    best = found.groupBy("q", "p").agg(F.max("score").alias("score")).groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "p"))), 1, 4 * k + 4).alias("x"))
     pairs = best.select("q", F.explode("x").alias("x")).select("q", "x.p").join(points, "p").join(asked.select("q", F.col("v").alias("qv")), "q")
 
     @F.pandas_udf("double")

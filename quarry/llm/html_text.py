@@ -189,6 +189,18 @@ def _choose(parts: list[int]) -> int:
     return next((p for p in (MAIN, LIKELY, UNSURE) if p in parts), UNSURE)
 
 
+def _whole_runs(covered: np.ndarray, run: int) -> np.ndarray:
+    """covered without pieces shorter than run that only reach into a block from the next one."""
+    if covered.all():
+        return covered
+    out = covered.copy()
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], covered.astype(np.int8), [0]))))
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        if b - a < run:
+            out[a:b] = False
+    return out
+
+
 def extract_shard(pages: pd.DataFrame, run: int = RUN, least: int = PAGES) -> pd.DataFrame:
     """text and n_repeated for pages (parts, texts) of one shard of a host."""
     ids: dict[str, int] = {}
@@ -212,7 +224,7 @@ def extract_shard(pages: pd.DataFrame, run: int = RUN, least: int = PAGES) -> pd
             for p, t in zip(parts, texts, strict=True):
                 words = t.split(" ")
                 if p == UNSURE:
-                    kept += [w for w, gone in zip(words, covered[at : at + len(words)], strict=True) if not gone]
+                    kept += [w for w, gone in zip(words, _whole_runs(covered[at : at + len(words)], run), strict=True) if not gone]
                 at += len(words) + 1
             out.append(" ".join(kept))
         counts.append(int(covered.sum()))

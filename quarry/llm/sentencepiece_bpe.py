@@ -23,8 +23,8 @@ _UNITS = re.compile(" *[^ \n▁]+| +|\n|▁")
 _SPACE = "▁"
 
 
-def load_pieces(model_path: str | None = None) -> list[tuple[str, int]]:
-    """(piece, type) by id of a SentencePiece model; types: 1 normal, 2 unknown, 3 control, 6 byte."""
+def load_pieces(model_path: str | None = None) -> list[tuple[str, int, float]]:
+    """(piece, type, score) by id of a SentencePiece model; types: 1 normal, 2 unknown, 3 control, 6 byte."""
     import sentencepiece
 
     if model_path is None:
@@ -33,21 +33,22 @@ def load_pieces(model_path: str | None = None) -> list[tuple[str, int]]:
         model_path = public_tokenizers.path("piece_bpe_32k.model")
     m = sentencepiece.SentencePieceProcessor(model_file=str(model_path))
     kind = lambda i: 2 if m.is_unknown(i) else 3 if m.is_control(i) else 6 if m.is_byte(i) else 1
-    return [(m.id_to_piece(i), kind(i)) for i in range(m.get_piece_size())]
+    return [(m.id_to_piece(i), kind(i), m.get_score(i)) for i in range(m.get_piece_size())]
 
 
 class MergeEncoder:
-    """Encodes and decodes texts with the merges of a BPE model with byte fallback, whose ids order its merges.
+    """Encodes and decodes texts with the merges of a BPE model with byte fallback, whose scores order its merges.
 
-    The agenda holds the adjacent pairs that form a piece, best id first, then leftmost. A
+    The agenda holds the adjacent pairs that form a piece, best score first, then leftmost. A
     pair that comes up is skipped when the keyed hash of (seed, variant, word, place, pair)
     falls under the dropout; it is not tried again, and later merges go on without it.
     """
 
-    def __init__(self, pieces: list[tuple[str, int]], dropout: float = DROPOUT, seed: int = SEED):
-        self.rank = {p: i for i, (p, kind) in enumerate(pieces) if kind == 1}
-        self.bytes = {int(p[3:5], 16): i for i, (p, kind) in enumerate(pieces) if kind == 6}
-        self.raw = [bytes([int(p[3:5], 16)]) if kind == 6 else p.replace(_SPACE, " ").encode() if kind == 1 else b"" for p, kind in pieces]
+    def __init__(self, pieces: list[tuple[str, int, float]], dropout: float = DROPOUT, seed: int = SEED):
+        self.ids = {p: i for i, (p, kind, _) in enumerate(pieces) if kind == 1}
+        self.rank = {p: r for r, p in enumerate(sorted(self.ids, key=lambda p: (-pieces[self.ids[p]][2], self.ids[p])))}
+        self.bytes = {int(p[3:5], 16): i for i, (p, kind, _) in enumerate(pieces) if kind == 6}
+        self.raw = [bytes([int(p[3:5], 16)]) if kind == 6 else p.replace(_SPACE, " ").encode() if kind == 1 else b"" for p, kind, _ in pieces]
         self.limit, self.seed = int(dropout * 2**64), seed
         self.cache: dict[tuple[int, str], tuple[int, ...]] = {}
 
@@ -103,7 +104,7 @@ class MergeEncoder:
         """Ids of one unit (spaces already U+2581)."""
         ids: list[int] = []
         for part in self._scan(word, variant) if len(word) <= SCAN else self._heap(word, variant):
-            i = self.rank.get(part)
+            i = self.ids.get(part)
             ids.extend((i,) if i is not None else (self.bytes[b] for b in part.encode("utf-8", "surrogatepass")))
         return tuple(ids)
 
@@ -132,7 +133,7 @@ class MergeEncoder:
         return b"".join([raw[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
 
 
-def with_tokens(docs: DataFrame, pieces: list[tuple[str, int]] | None = None, text_col: str = "text", key_col: str = "doc_id", dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED, into: str = "__tokens") -> DataFrame:
+def with_tokens(docs: DataFrame, pieces: list[tuple[str, int, float]] | None = None, text_col: str = "text", key_col: str = "doc_id", dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED, into: str = "__tokens") -> DataFrame:
     """docs with a struct column into: token_ids array<int> and lossless (decoding gives the text back).
 
     Each document takes one of `variants` segmentations of a word by a keyed hash of its key;
