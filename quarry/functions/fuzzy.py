@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 
 def jaro_winkler(a: str, b: str) -> float:
-    """The Jaro-Winkler measure with prefix scale 0.1 over four characters."""
+    """The Jaro-Winkler measure: a Jaro measure over 0.7 gains by a common prefix of up to four characters."""
     if a == b:
         return 1.0
     n, m = len(a), len(b)
@@ -30,8 +30,10 @@ def jaro_winkler(a: str, b: str) -> float:
         return 0.0
     right = [c for c, u in zip(b, used, strict=True) if u]
     k = len(left)
-    swaps = sum(x != y for x, y in zip(left, right, strict=True)) / 2
+    swaps = sum(x != y for x, y in zip(left, right, strict=True)) // 2
     jaro = (k / n + k / m + (k - swaps) / k) / 3
+    if jaro <= 0.7:
+        return jaro
     prefix = 0
     for x, y in zip(a[:4], b[:4], strict=False):
         if x != y:

@@ -83,11 +83,12 @@ def top_n_others(df: DataFrame, n: int, value_col: str, category_col: str, other
     agg = AGGREGATES[aggregate.upper()]
     totals = df.groupBy(*by_group, category_col).agg(agg(value_col).alias("__t"))
     w = Window.partitionBy(*by_group).orderBy(F.desc("__t"), category_col)
-    top = totals.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).select(*by_group, F.col(category_col).alias("__c"))
-    same = df[category_col].eqNullSafe(F.col("__c"))
-    for c in by_group:
-        same = same & df[c].eqNullSafe(top[c])
-    flagged = df.join(top.withColumn("__top", F.lit(True)), same, "left").select(*[df[c] for c in [*by_group, value_col]], F.when(F.col("__top"), df[category_col]).otherwise(F.lit(others_label)).alias(category_col))
+    top = totals.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n)
+    top = top.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by_group)], F.col(category_col).alias("__c"), F.lit(True).alias("__top"))
+    same = F.col(category_col).eqNullSafe(F.col("__c"))
+    for i, c in enumerate(by_group):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    flagged = df.join(top, same, "left").select(*by_group, value_col, F.when(F.col("__top"), F.col(category_col)).otherwise(F.lit(others_label)).alias(category_col))
     return flagged.groupBy(*by_group, category_col).agg(agg(value_col).alias(value_col))
 
 

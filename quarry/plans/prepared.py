@@ -72,9 +72,10 @@ def tf_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "tf_top_n_others",
-    """WITH t AS (SELECT o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_orderstatus ORDER BY sum(o_totalprice) DESC, o_orderpriority) AS rn FROM orders GROUP BY ALL)
+    """WITH s AS (SELECT o_orderstatus, o_orderpriority, sum(o_totalprice) AS total FROM orders GROUP BY o_orderstatus, o_orderpriority),
+       t AS (SELECT o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_orderstatus ORDER BY total DESC, o_orderpriority) AS rn FROM s)
        SELECT o_orderstatus, CASE WHEN rn <= 2 THEN o_orderpriority ELSE 'Others' END AS o_orderpriority, round(sum(o_totalprice), 2) AS o_totalprice
-       FROM orders JOIN t USING (o_orderstatus, o_orderpriority) GROUP BY ALL""",
+       FROM orders JOIN t USING (o_orderstatus, o_orderpriority) GROUP BY 1, 2""",
 )
 def tf_top_n_others(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = transforms.top_n_others(table(spark, sf_dir, "orders"), 2, "o_totalprice", "o_orderpriority", by_group=["o_orderstatus"])

@@ -13,9 +13,12 @@ from ..operators.recursion import shared_folder
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table's files as a stream; the schema is that of the files."""
     path = f"{sf_dir}/{table}.parquet"
-    schema = spark.read.parquet(path).schema
-    # a stream reads folders: the table may be a single file among others
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return stream.parquet(path)
+    # a stream reads folders: this table is a single file among others
+    return stream.option("pathGlobFilter", f"{table}.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
 
 
 def _stamp(column: str):
