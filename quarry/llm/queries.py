@@ -100,4 +100,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ESCAPED = "replace(replace(replace(text, '\\', '\\s'), '###', '\\h'), '</turn>', '\\t')"
+_LABEL = "CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE replace(replace(replace(replace(role, '\\', '\\s'), '###', '\\h'), '</turn>', '\\t'), ': ', '\\c') END"
+
+#: DuckDB SQL for the operators whose results SQL can state.
+ORACLE_SQL: dict[str, str] = {
+    "op8_ngram_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW.format("text")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END AS g FROM w),
+        s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(g) AS g FROM g)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r(id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.id)
+        SELECT id AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(m) AS component_id FROM r LEFT JOIN n ON n.doc_id = id GROUP BY id""",
+    "op9_chat_formatting": f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL VALUES (-7, 0, 'user', '{TRAP}'), (-7, 1, 'assistant', '{TRAP}')),
+        f AS (SELECT *, '### ' || {_LABEL} || ': ' || {_ESCAPED} || '</turn>' || chr(10) AS piece FROM c),
+        g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+          coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, CAST(sum(length(piece)) AS BIGINT) AS formatted_chars,
+          string_agg(role, ',' ORDER BY turn, role, text) AS roles FROM f GROUP BY conv_id)
+        SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
+          regexp_full_match(roles, '(system,)?user(,assistant,user)*(,assistant)?') AS valid FROM g""",
+    "op10_decontamination": f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(regexp_extract_all({_LOW.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents),
+        i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOW.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+        l AS (SELECT item, w, least(10, len(w)) AS size FROM i WHERE len(w) > 0),
+        x AS (SELECT DISTINCT item, size, v FROM (SELECT item, size, unnest(list_transform(range(1, len(w) - size + 2), lambda s: array_to_string(w[s : s + size - 1], ' '))) AS v FROM l)),
+        p AS (SELECT k, size, unnest(range(1, len(w) - size + 2)) AS s, unnest(list_transform(range(1, len(w) - size + 2), lambda s: array_to_string(w[s : s + size - 1], ' '))) AS v FROM d, (SELECT DISTINCT size FROM x) WHERE len(w) >= size),
+        h AS (SELECT k, s, p.size, item FROM p JOIN x ON x.v = p.v AND x.size = p.size),
+        a AS (SELECT k, count(DISTINCT spot) AS n FROM (SELECT k, unnest(range(s, s + size)) AS spot FROM h) GROUP BY k),
+        t AS (SELECT k, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM h) GROUP BY k)
+        SELECT doc_id, len(w) AS n_words, coalesce(a.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, t.n IS NOT NULL AS contaminated
+        FROM d LEFT JOIN a USING (k) LEFT JOIN t USING (k)""",
+}
