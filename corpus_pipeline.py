@@ -1,6 +1,6 @@
 """The corpus pipeline: STAGES run in order over documents, each reading what the one before kept.
 
-1. language ID: documents without letters, or far from every learned language, go;
+1. language ID: documents without letters, or unlike every learned language, go;
 2. line dedup: of near-duplicate lines one stays; documents left without a word go;
 3. n-gram Jaccard join: of documents linked at 0.8 of five-word shingles the smallest doc_id stays;
 4. benchmark decontamination: documents that hold a window of a benchmark item go;
@@ -24,8 +24,9 @@ from quarry.llm.language_id import train, with_language
 from quarry.llm.line_dedup import drop_duplicate_lines
 from quarry.llm.sentencepiece_bpe import with_tokens
 
-#: Cosine with the nearest language prototype under which a document is rejected.
-MIN_COSINE = 0.2
+#: Cosine with the nearest language prototype under which a document is rejected: what unrelated
+#: vectors give. One word of a language lies above it, so short clean documents stay.
+MIN_COSINE = 0.01
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
