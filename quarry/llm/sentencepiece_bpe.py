@@ -5,7 +5,9 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 import xxhash
@@ -15,11 +17,11 @@ from pyspark.sql import functions as F
 #: Chance that a candidate merge is skipped, and the number of segmentations a word can take over the corpus.
 DROPOUT, VARIANTS, SEED = 0.1, 4, 17
 #: Word segmentations a worker keeps before it starts its cache anew.
-CACHE = 1_500_000
+CACHE = 1_400_000
 #: Longer words go through the heap agenda, shorter ones through a scan of their pairs (the same order).
 SCAN = 24
 
-_UNITS = re.compile(" *[^ \n▁]+| +|\n|▁")
+_MASK, _NONE = (1 << 64) - 1, 1 << 60
 _SPACE = "▁"
 
 
@@ -36,45 +38,69 @@ def load_pieces(model_path: str | None = None) -> list[tuple[str, int, float]]:
     return [(m.id_to_piece(i), kind(i), m.get_score(i)) for i in range(m.get_piece_size())]
 
 
+def unit_pattern(pieces: list[str]) -> re.Pattern:
+    """Units of a text that no merge crosses: words with the spaces before them, line ends, and runs of
+    the punctuation that no piece joins with anything else."""
+    apart = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    while True:
+        joined = {c for p in pieces for a, b in pairwise(p.lstrip(_SPACE)) if (a in apart) != (b in apart) for c in (a, b)} & apart
+        if not joined:
+            break
+        apart -= joined
+    chars = "".join(re.escape(c) for c in sorted(apart))
+    return re.compile(f" *[^ \n▁{chars}]+| *[{chars}]+| +|\n|▁" if chars else " *[^ \n▁]+| +|\n|▁")
+
+
 class MergeEncoder:
     """Encodes and decodes texts with the merges of a BPE model with byte fallback, whose scores order its merges.
 
     The agenda holds the adjacent pairs that form a piece, best score first, then leftmost. A
-    pair that comes up is skipped when the keyed hash of (seed, variant, word, place, pair)
+    pair that comes up is skipped when the keyed hash of (seed, variant, word, place, pieces)
     falls under the dropout; it is not tried again, and later merges go on without it.
     """
 
     def __init__(self, pieces: list[tuple[str, int, float]], dropout: float = DROPOUT, seed: int = SEED):
         self.ids = {p: i for i, (p, kind, _) in enumerate(pieces) if kind == 1}
         self.rank = {p: r for r, p in enumerate(sorted(self.ids, key=lambda p: (-pieces[self.ids[p]][2], self.ids[p])))}
+        self.units = unit_pattern(list(self.ids))
         self.bytes = {int(p[3:5], 16): i for i, (p, kind, _) in enumerate(pieces) if kind == 6}
         self.raw = [bytes([int(p[3:5], 16)]) if kind == 6 else p.replace(_SPACE, " ").encode() if kind == 1 else b"" for p, kind, _ in pieces]
         self.limit, self.seed = int(dropout * 2**64), seed
-        self.cache: dict[tuple[int, str], tuple[int, ...]] = {}
+        self.cache: dict[int, dict[str, tuple[int, ...]]] = defaultdict(dict)
+        self.held = 0
+
+    def _seed(self, word: str, variant: int) -> int:
+        """The key of a word's skips."""
+        return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed + variant) if self.limit else 0
 
-    def _skip(self, variant: int, word: str, at: int, left: str, right: str) -> bool:
-        return self.limit > 0 and xxhash.xxh3_64_intdigest(f"{variant}\0{at}\0{left}\0{right}\0{word}".encode(), self.seed) < self.limit
+    def _skip(self, seed: int, at: int, left: int, rank: int) -> bool:
+        """Whether the candidate at a place, of a left part so long and a piece of that rank, is skipped."""
+        x = (seed ^ (at * 0x9E3779B97F4A7C15 + left * 0xD6E8FEB86659FD93 + rank * 0xBF58476D1CE4E5B9)) & _MASK
+        x = (x ^ (x >> 31)) * 0x94D049BB133111EB & _MASK
+        return (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & _MASK < self.limit
 
     def _scan(self, word: str, variant: int) -> list[str]:
-        rank, parts, places, skipped = self.rank, list(word), list(range(len(word))), set()
-        while len(parts) > 1:
-            best, at = 1 << 30, -1
-            for i in range(len(parts) - 1):
-                r = rank.get(parts[i] + parts[i + 1], best)
-                if r < best and (places[i], parts[i], parts[i + 1]) not in skipped:
-                    best, at = r, i
-            if at < 0:
+        get, parts = self.rank.get, list(word)
+        ranks = [get(a + b, _NONE) for a, b in pairwise(parts)]
+        seed, limit, places = self._seed(word, variant), self.limit, list(range(len(parts)))
+        while ranks:
+            r = min(ranks)
+            if r == _NONE:
                 break
-            left, right = parts[at], parts[at + 1]
-            if self._skip(variant, word, places[at], left, right):
-                skipped.add((places[at], left, right))
+            at = ranks.index(r)
+            if limit and self._skip(seed, places[at], len(parts[at]), r):
+                ranks[at] = _NONE
                 continue
-            parts[at : at + 2] = [left + right]
-            del places[at + 1]
+            parts[at] += parts.pop(at + 1)
+            del places[at + 1], ranks[at]
+            if at < len(ranks):
+                ranks[at] = get(parts[at] + parts[at + 1], _NONE)
+            if at:
+                ranks[at - 1] = get(parts[at - 1] + parts[at], _NONE)
         return parts
 
     def _heap(self, word: str, variant: int) -> list[str]:
-        n, rank = len(word), self.rank
+        n, rank, seed = len(word), self.rank, self._seed(word, variant)
         parts: list[str | None] = list(word)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda: list[tuple[int, int, str, str]] = []
@@ -87,9 +113,9 @@ class MergeEncoder:
         for i in range(n - 1):
             offer(i)
         while agenda:
-            _, i, left, right = heapq.heappop(agenda)
+            r, i, left, right = heapq.heappop(agenda)
             j = after[i]
-            if parts[i] != left or j >= n or parts[j] != right or self._skip(variant, word, i, left, right):
+            if parts[i] != left or j >= n or parts[j] != right or self.limit and self._skip(seed, i, len(left), r):
                 continue
             parts[i], parts[j] = left + right, None
             after[i] = after[j]
@@ -113,18 +139,21 @@ class MergeEncoder:
         out = array("i")
         if not text:
             return out
-        cache = self.cache
-        for unit in _UNITS.findall(" " + text):
-            ids = cache.get((variant, unit))
+        cache = self.cache[variant]
+        for unit in self.units.findall(" " + text):
+            ids = cache.get(unit)
             if ids is None:
                 if unit == _SPACE:
                     ids = tuple(self.bytes[b] for b in unit.encode())
                 else:
                     ids = self.word(unit.replace(" ", _SPACE), variant)
                 if len(unit) <= 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[(variant, unit)] = ids
+                    if self.held >= CACHE:
+                        for c in self.cache.values():
+                            c.clear()
+                        self.held = 0
+                    cache[unit] = ids
+                    self.held += 1
             out.extend(ids)
         return out
 
