@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import heapq
 import re
-from array import array
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 DROPOUT, VARIANTS, SEED = 0.1, 4, 17
 #: Word segmentations a worker keeps before it starts its cache anew.
 CACHE = 1_400_000
-#: Longer words go through the heap agenda, shorter ones through a scan of their pairs (the same order).
+#: Longer units go through a heap, shorter ones through a table of many units at once (the same order).
 SCAN = 24
 
 _MASK, _NONE = (1 << 64) - 1, 1 << 60
@@ -38,17 +39,23 @@ def load_pieces(model_path: str | None = None) -> list[tuple[str, int, float]]:
     return [(m.id_to_piece(i), kind(i), m.get_score(i)) for i in range(m.get_piece_size())]
 
 
-def unit_pattern(pieces: list[str]) -> re.Pattern:
-    """Units of a text that no merge crosses: words with the spaces before them, line ends, and runs of
-    the punctuation that no piece joins with anything else."""
-    apart = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-    while True:
-        joined = {c for p in pieces for a, b in pairwise(p.lstrip(_SPACE)) if (a in apart) != (b in apart) for c in (a, b)} & apart
-        if not joined:
-            break
-        apart -= joined
-    chars = "".join(re.escape(c) for c in sorted(apart))
-    return re.compile(f" *[^ \n▁{chars}]+| *[{chars}]+| +|\n|▁" if chars else " *[^ \n▁]+| +|\n|▁")
+_PLAIN = re.compile(" *[^ \n▁]+| +|\n|▁")
+
+
+def unit_pattern(pieces: list[str]) -> tuple[re.Pattern, re.Pattern | None]:
+    """A pattern of units that no merge crosses: line ends, and words and runs of signs (punctuation,
+    symbols, controls) with the spaces before them; and one of the few characters that pieces join
+    with signs: a text that has them is cut at spaces and line ends only."""
+    signs = {c for p in pieces for c in p if c not in (_SPACE, "\n") and unicodedata.category(c)[0] in "PSC"}
+    mixed = {c for p in pieces for a, b in pairwise(p.lstrip(_SPACE)) if (a in signs) != (b in signs) for c in (a, b) if c not in signs}
+    if not signs or len(mixed) > 8:
+        return _PLAIN, None
+    chars = "".join(re.escape(c) for c in sorted(signs))
+    return re.compile(f" *[^ \n▁{chars}]+| *[{chars}]+| +|\n|▁"), re.compile("[" + "".join(map(re.escape, sorted(mixed))) + "]") if mixed else None
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
 
 
 class MergeEncoder:
@@ -62,12 +69,13 @@ class MergeEncoder:
     def __init__(self, pieces: list[tuple[str, int, float]], dropout: float = DROPOUT, seed: int = SEED):
         self.ids = {p: i for i, (p, kind, _) in enumerate(pieces) if kind == 1}
         self.rank = {p: r for r, p in enumerate(sorted(self.ids, key=lambda p: (-pieces[self.ids[p]][2], self.ids[p])))}
-        self.units = unit_pattern(list(self.ids))
+        self.units, self.mixed = unit_pattern(list(self.ids))
         self.bytes = {int(p[3:5], 16): i for i, (p, kind, _) in enumerate(pieces) if kind == 6}
         self.raw = [bytes([int(p[3:5], 16)]) if kind == 6 else p.replace(_SPACE, " ").encode() if kind == 1 else b"" for p, kind, _ in pieces]
         self.limit, self.seed = int(dropout * 2**64), seed
-        self.cache: dict[int, dict[str, tuple[int, ...]]] = defaultdict(dict)
+        self.cache: dict[int, dict[str, bytes]] = defaultdict(dict)
         self.held = 0
+        self.keys: np.ndarray | None = None
 
     def _seed(self, word: str, variant: int) -> int:
         """The key of a word's skips."""
@@ -79,26 +87,6 @@ class MergeEncoder:
         x = (x ^ (x >> 31)) * 0x94D049BB133111EB & _MASK
         return (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & _MASK < self.limit
 
-    def _scan(self, word: str, variant: int) -> list[str]:
-        get, parts = self.rank.get, list(word)
-        ranks = [get(a + b, _NONE) for a, b in pairwise(parts)]
-        seed, limit, places = self._seed(word, variant), self.limit, list(range(len(parts)))
-        while ranks:
-            r = min(ranks)
-            if r == _NONE:
-                break
-            at = ranks.index(r)
-            if limit and self._skip(seed, places[at], len(parts[at]), r):
-                ranks[at] = _NONE
-                continue
-            parts[at] += parts.pop(at + 1)
-            del places[at + 1], ranks[at]
-            if at < len(ranks):
-                ranks[at] = get(parts[at] + parts[at + 1], _NONE)
-            if at:
-                ranks[at - 1] = get(parts[at - 1] + parts[at], _NONE)
-        return parts
-
     def _heap(self, word: str, variant: int) -> list[str]:
         n, rank, seed = len(word), self.rank, self._seed(word, variant)
         parts: list[str | None] = list(word)
@@ -126,40 +114,148 @@ class MergeEncoder:
                 offer(before[i])
         return [p for p in parts if p is not None]
 
-    def word(self, word: str, variant: int) -> tuple[int, ...]:
-        """Ids of one unit (spaces already U+2581)."""
+    def _pairs(self) -> None:
+        """Tables of the candidate merges: sorted keys of (left, right) symbols, ranks and merged symbols.
+
+        Symbols are the ids of pieces; characters outside the vocabulary get numbers beyond them.
+        """
+        size = len(self.raw)
+        found = [(self.ids[p[:i]] * size + self.ids[p[i:]], self.rank[p], self.ids[p]) for p in self.ids for i in range(1, len(p)) if p[:i] in self.ids and p[i:] in self.ids]
+        table = np.array(sorted(found), np.int64).reshape(-1, 3)
+        self.keys, self.ranks, self.merged = (np.ascontiguousarray(table[:, i]) for i in range(3))
+        self.size = size
+        self.symbol = np.full(0x110000, size, np.int32)
+        lengths = np.ones(size + 1, np.int64)
+        for p, i in self.ids.items():
+            lengths[i] = len(p)
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
+        self.lengths = lengths
+
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank or _NONE, merged symbol) of pairs of symbols; -1 and self.size merge with nothing."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        known = (self.keys[at] == key) & (left >= 0) & (right >= 0) & (left < self.size) & (right < self.size)
+        return np.where(known, self.ranks[at], _NONE), np.where(known, self.merged[at], -1)
+
+    def words(self, words: list[str], variant: int) -> list[bytes]:
+        """word() of many words of up to SCAN characters, merged side by side; ids as bytes of int32."""
+        if self.keys is None:
+            self._pairs()
+        n, other = len(words), self.size
+        sizes = np.fromiter(map(len, words), np.int64, n)
+        width = int(sizes.max())
+        sym = np.full((n, width + 1), -1, np.int64)
+        sym[np.arange(width + 1) < sizes[:, None]] = self.symbol[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        place = np.broadcast_to(np.arange(width + 1, dtype=np.int64), sym.shape).copy()
+        seeds = np.array([self._seed(w, variant) for w in words], np.uint64)
+        rank, merged = self._rank_of(sym[:, :-1], sym[:, 1:])
+        rows = np.arange(n)
+        live = np.arange(n)
+        final = np.full_like(sym, -1)
+        columns = np.arange(width + 1)
+        while len(live):
+            at = rank.argmin(1)
+            r = rank[rows, at]
+            done = r == _NONE
+            if done.any():
+                final[live[done]] = sym[done]
+                keep = ~done
+                live, sym, place, seeds, rank, merged = live[keep], sym[keep], place[keep], seeds[keep], rank[keep], merged[keep]
+                rows = np.arange(len(live))
+                at, r = at[keep], r[keep]
+                if not len(live):
+                    break
+            if self.limit:
+                x = seeds ^ (place[rows, at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + self.lengths[sym[rows, at]].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + r.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+                x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+                skip = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) < np.uint64(self.limit)
+                rank[rows[skip], at[skip]] = _NONE
+                go = rows[~skip]
+                if not len(go):
+                    continue
+                j = at[~skip]
+            else:
+                go, j = rows, at
+            new = merged[go, j]
+            shift = np.minimum(columns[None, :] + (columns[None, :] > j[:, None]), width)
+            for m in (sym, place):
+                m[go] = np.take_along_axis(m[go], shift, 1)
+            sym[go, width] = -1
+            sym[go, j] = new
+            for m, empty in ((rank, _NONE), (merged, -1)):
+                m[go] = np.take_along_axis(m[go], np.minimum(shift[:, :-1], width - 1), 1)
+                m[go, width - 1] = empty
+            rank[go, j], merged[go, j] = self._rank_of(sym[go, j], sym[go, j + 1])
+            back = j > 0
+            b, k = go[back], j[back] - 1
+            rank[b, k], merged[b, k] = self._rank_of(sym[b, k], sym[b, k + 1])
+        values = final[final >= 0].astype(np.int32).tobytes()
+        ends = (4 * np.cumsum((final >= 0).sum(1))).tolist()
+        odd = (final == other).any(1)
+        return [_packed(self.word(w, variant)) if o else values[a:b] for w, o, a, b in zip(words, odd.tolist(), [0, *ends[:-1]], ends, strict=True)]
+
+    def word(self, word: str, variant: int) -> list[int]:
+        """Ids of one unit (spaces already U+2581), by a heap."""
         ids: list[int] = []
-        for part in self._scan(word, variant) if len(word) <= SCAN else self._heap(word, variant):
+        for part in self._heap(word, variant):
             i = self.ids.get(part)
             ids.extend((i,) if i is not None else (self.bytes[b] for b in part.encode("utf-8", "surrogatepass")))
-        return tuple(ids)
-
-    def encode(self, text: str, variant: int = 0) -> array:
-        """Ids of a text; the empty text has none. A literal U+2581 is written as bytes, so that it is not read back as a space."""
-        out = array("i")
-        if not text:
-            return out
-        cache = self.cache[variant]
-        for unit in self.units.findall(" " + text):
-            ids = cache.get(unit)
-            if ids is None:
-                if unit == _SPACE:
-                    ids = tuple(self.bytes[b] for b in unit.encode())
-                else:
-                    ids = self.word(unit.replace(" ", _SPACE), variant)
-                if len(unit) <= 64:
-                    if self.held >= CACHE:
-                        for c in self.cache.values():
-                            c.clear()
-                        self.held = 0
-                    cache[unit] = ids
-                    self.held += 1
-            out.extend(ids)
-        return out
+        return ids
+
+    def learn(self, units: dict[int, set[str]]) -> None:
+        """Put the units of each variant that are not known into the cache, many at a time."""
+        if self.held + sum(map(len, units.values())) > CACHE:
+            self.cache.clear()
+            self.held = 0
+        for variant, found in units.items():
+            known = self.cache[variant]
+            new = sorted((u for u in found if u not in known), key=len)
+            short = [u for u in new if len(u) <= SCAN and u != _SPACE]
+            for lo in range(0, len(short), 4096):
+                part = short[lo : lo + 4096]
+                known.update(zip(part, self.words([u.replace(" ", _SPACE) for u in part], variant), strict=True))
+            for u in new[len(short) :] if _SPACE not in found else new:
+                if u == _SPACE:
+                    known[u] = _packed([self.bytes[b] for b in u.encode()])
+                elif len(u) > SCAN:
+                    known[u] = _packed(self.word(u.replace(" ", _SPACE), variant))
+            self.held += len(new)
+
+    def encode_all(self, texts: list[str | None], variants: list[int]) -> list[np.ndarray | None]:
+        """Ids of many texts (None for None); units new to the cache are merged side by side.
+
+        The empty text has no ids. A literal U+2581 is written as bytes, so that it is not read
+        back as a space.
+        """
+        units: dict[int, set[str]] = defaultdict(set)
+        cut = [(_PLAIN if self.mixed and self.mixed.search(t) else self.units).findall(" " + t) if t else [] for t in texts]
+        for c, v in zip(cut, variants, strict=True):
+            units[v].update(c)
+        self.learn(units)
+        return [None if t is None else np.frombuffer(b"".join(map(self.cache[v].__getitem__, c)), np.int32) for t, c, v in zip(texts, cut, variants, strict=True)]
+
+    def encode(self, text: str, variant: int = 0) -> np.ndarray:
+        """Ids of a text."""
+        return self.encode_all([text], [variant])[0]
 
     def decode(self, ids) -> str:
         raw = self.raw
-        return b"".join([raw[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
+        return b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "surrogatepass")[1:]
+
+
+#: Encoders of this worker by model and options, so that tasks share what is cached.
+_ENCODERS: dict[tuple, MergeEncoder] = {}
+
+
+def shared_encoder(model, dropout: float, seed: int) -> MergeEncoder:
+    """The worker's encoder for a broadcast model."""
+    key = (model.id if hasattr(model, "id") else id(model), len(model.value), dropout, seed)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = MergeEncoder(model.value, dropout, seed)
+    return _ENCODERS[key]
 
 
 def with_tokens(docs: DataFrame, pieces: list[tuple[str, int, float]] | None = None, text_col: str = "text", key_col: str = "doc_id", dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED, into: str = "__tokens") -> DataFrame:
@@ -175,18 +271,16 @@ def with_tokens(docs: DataFrame, pieces: list[tuple[str, int, float]] | None = N
 
     @F.arrow_udf("struct<token_ids:array<int>,lossless:boolean>")
     def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        enc = MergeEncoder(model.value, dropout, seed)
+        enc = shared_encoder(model, dropout, seed)
         for texts, keys in batches:
-            values, offsets, same = array("i"), array("i", [0]), []
-            for text, key in zip(texts.to_pylist(), keys.to_pylist(), strict=True):
-                if text is None:
-                    same.append(None)
-                else:
-                    ids = enc.encode(text, key % variants)
-                    values.extend(ids)
-                    same.append(enc.decode(ids) == text)
-                offsets.append(len(values))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()), mask=pa.array([s is None for s in same]))
+            ids, same = [], []
+            for lo in range(0, len(texts), 256):
+                part = texts.slice(lo, 256).to_pylist()
+                got = enc.encode_all(part, [k % variants for k in keys.slice(lo, 256).to_pylist()])
+                same += [None if x is None else enc.decode(x) == t for t, x in zip(part, got, strict=True)]
+                ids += [np.empty(0, np.int32) if x is None else x for x in got]
+            offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)), mask=pa.array([s is None for s in same]))
             yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], fields=list(kind))
 
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key_col)), 1)
