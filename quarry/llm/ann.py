@@ -184,8 +184,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     member = settle(points.select("p", "v").mapInPandas(to_buckets, "p long, t int, bucket long"), "members")
     sizes = member.groupBy("t", "bucket").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    # small buckets share a block: cell is what one group of the comparison holds
-    cells = max(1, -(-n * tables // block))
+    # small buckets share a cell, which is what one group of the comparison holds
+    cells = max(1, -(-n // (16 * block)))
     cell = F.struct("t", F.pmod(F.xxhash64("t", "bucket", "s"), F.lit(cells)).alias("h"))
     member = member.join(sizes, ["t", "bucket"]).withColumn("s", F.pmod(F.xxhash64("p"), F.col("blocks")).cast("int"))
     member = member.select(cell.alias("cell"), "bucket", "s", "p").join(points.select("p", "v"), "p")
@@ -206,11 +206,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                     visited.setdefault((x["bucket"], x["s"]), []).append(i)
             for key, rows in visited.items():
                 if (at := groups.get(key)) is not None:
-                    out += _best(qv[rows], qid[rows], pv[at], pid[at], k + 1)
-        return pd.DataFrame(out, columns=["q", "p", "score"])
+                    out.append(_best(qv[rows], qid[rows], pv[at], pid[at], k + 1))
+        return _top(out, k + 1)
 
     found = visits.groupBy("cell").cogroup(member.groupBy("cell")).applyInPandas(compare, "q long, p long, score double")
-    found = settle(found.groupBy("q", "p").agg(F.max("score").alias("score")), "found")
+    # (the tables' products of one pair can differ in the last place)
+    nearest_of = lambda f: f.groupBy("q", "p").agg(F.max("score").alias("score")).groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "p"))), 1, 2 * k + 2).alias("x")).select("q", F.explode("x").alias("x")).select("q", "x.p", (-F.col("x.far")).alias("score"))
+    found = settle(nearest_of(found), "found")
 
     enough = found.join(points.select("p", F.size("ids").alias("c")), "p").groupBy("q").agg(F.sum("c").alias("c")).where(F.col("c") > k).select("q")
     short = asked.select("q", "v").join(enough, "q", "left_anti")
@@ -221,15 +223,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         blocks = points.select("p", "v", F.pmod(F.xxhash64("p"), F.lit(b)).cast("int").alias("s"))
 
         def whole(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            rows = _best(_matrix(left["v"], dims), left["q"].to_numpy(), _matrix(right["v"], dims), right["p"].to_numpy(), k + 1) if len(left) and len(right) else []
-            return pd.DataFrame(rows, columns=["q", "p", "score"])
+            return _top([_best(_matrix(left["v"], dims), left["q"].to_numpy(), _matrix(right["v"], dims), right["p"].to_numpy(), k + 1)] if len(left) and len(right) else [], k + 1)
 
         found = found.union(short.groupBy("s").cogroup(blocks.groupBy("s")).applyInPandas(whole, "q long, p long, score double"))
 
     # k + 1 groups of equal vectors are enough for a query, whichever of them holds its own row
-    # (the blocks' products of one pair can differ in the last place)
-    best = found.groupBy("q", "p").agg(F.max("score").alias("score")).groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "p"))), 1, 4 * k + 4).alias("x"))
-    pairs = best.select("q", F.explode("x").alias("x")).select("q", "x.p").join(points, "p").join(asked.select("q", F.col("v").alias("qv")), "q")
+    pairs = nearest_of(found).select("q", "p").join(points, "p").join(asked.select("q", F.col("v").alias("qv")), "q")
 
     @F.pandas_udf("double")
     def product(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -244,9 +243,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("e.id").alias(id_col), (-F.col("e.far")).alias("score"))
 
 
-def _best(q: np.ndarray, qid: np.ndarray, p: np.ndarray, pid: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """The k largest inner products of each query with the points, in slices of bounded size."""
-    out: list[tuple[int, int, float]] = []
+def _best(q: np.ndarray, qid: np.ndarray, p: np.ndarray, pid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, point ids, products) of the k largest inner products of each query, in slices of bounded size."""
+    out: list[tuple[np.ndarray, ...]] = []
     for lo in range(0, len(q), 1024):
         tops: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(p), 8192):
@@ -255,6 +254,18 @@ def _best(q: np.ndarray, qid: np.ndarray, p: np.ndarray, pid: np.ndarray, k: int
             tops.append((np.take_along_axis(s, take, 1), pid[at : at + 8192][take]))
         score, ids = np.hstack([t[0] for t in tops]), np.hstack([t[1] for t in tops])
         order = np.argsort(-score, 1, kind="stable")[:, :k]
-        score, ids = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
-        out += zip(np.repeat(qid[lo : lo + 1024], order.shape[1]).tolist(), ids.ravel().tolist(), score.ravel().tolist(), strict=True)
-    return out
+        out.append((np.repeat(qid[lo : lo + 1024], order.shape[1]), np.take_along_axis(ids, order, 1).ravel(), np.take_along_axis(score, order, 1).ravel()))
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+
+
+def _top(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> pd.DataFrame:
+    """The k largest of each query over several parts that share no point."""
+    if not parts:
+        return pd.DataFrame({"q": np.empty(0, np.int64), "p": np.empty(0, np.int64), "score": np.empty(0)})
+    q, p, score = (np.concatenate([x[i] for x in parts]) for i in range(3))
+    order = np.lexsort((-score, q))
+    q, p, score = q[order], p[order], score[order]
+    start = np.concatenate(([True], q[1:] != q[:-1]))
+    first = np.maximum.accumulate(np.where(start, np.arange(len(q)), 0))
+    keep = np.arange(len(q)) - first < k
+    return pd.DataFrame({"q": q[keep], "p": p[keep], "score": score[keep]})
