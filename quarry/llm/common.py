@@ -79,7 +79,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         e = settle(small.distinct(), "edges")
         discard(old)
-        row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("s"), F.sum((F.col("u") != F.col("v")).cast("long")).alias("d")).first()
+        row = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("s"), F.sum((F.col("u") != F.col("v")).cast("long")).alias("d")).first()
         now = (row["n"], row["s"], row["d"])
         if now == before or not row["d"]:
             break

@@ -3,88 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import prefix
 from .common import components, discard, keep_ids, settle
 from .linking import link, shared_entries
-from .shingles import mix, shingle_hashes
-
-#: Shingles listed as frequent, at most (8 bytes each are broadcast). The list only orders shingles.
-FREQUENT = 1_000_000
-
-
-def _needed(n: int, percent: int) -> int:
-    """Shingles of a set of n that are enough to meet any partner: n - ceil(t n) + 1."""
-    return n - (-(-percent * n // 100)) + 1
-
-
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    """An Arrow column of lists of longs."""
-    ends = np.cumsum([0, *(len(x) for x in parts)])
-    values = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-
-
-def _text_sets(docs: DataFrame, shingle: int, percent: int, margin: int) -> DataFrame:
-    """Per document: n, a 128-bit digest of its set, and its first shingles in hash order, margin percent or the prefix."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                sets = [shingle_hashes(t, shingle) for t in part["text"].to_pylist()]
-                d1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                d2 = np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-                early = [s[: max(_needed(len(s), percent), -(-len(s) * margin // 100))].view(np.int64) for s in sets]
-                columns = [part["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(d1), pa.array(d2), _lists(early)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "d1", "d2", "early"])
-
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, d1 long, d2 long, early array<long>")
-
-
-def _ordered(s: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """Shingles in the order (rare before frequent, frequent by count, then by hash), and how many are rare."""
-    if not len(keys) or not len(s):
-        return s, len(s)
-    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-    often = np.where(keys[at] == s, counts[at], 0)
-    return s[np.lexsort((s.view(np.uint64), often))], int((often == 0).sum())
-
-
-def _prefixes(sets: DataFrame, docs: DataFrame, shingle: int, percent: int, frequent) -> DataFrame:
-    """Per document: id, n, prefix; from the early shingles where they hold enough rare ones, else from the text."""
-
-    def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = frequent.value
-        for batch in batches:
-            ns, lists = batch["n"].to_numpy(), batch["early"]
-            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            out = []
-            for i, n in enumerate(ns):
-                s, rare = _ordered(values[ends[i] : ends[i + 1]], keys, counts)
-                need = _needed(int(n), percent)
-                out.append(s[:need] if rare >= need or len(s) == n else s[:0])
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["n"], _lists(out)], ["id", "n", "prefix"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = frequent.value
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                sets = [_ordered(shingle_hashes(t, shingle).view(np.int64), keys, counts)[0] for t in part["text"].to_pylist()]
-                out = [s[: _needed(len(s), percent)] for s in sets]
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array([len(s) for s in sets], pa.int64()), _lists(out)], ["id", "n", "prefix"])
-
-    schema = "id long, n long, prefix array<long>"
-    first = settle(sets.mapInArrow(early, schema), "prefixes")
-    rest = keep_ids(docs, settle(first.where("size(prefix) = 0").select("id"), "ids"), "id")
-    return first.where("size(prefix) > 0").union(settle(rest.mapInArrow(whole, schema), "prefixes"))
-
+from .shingles import shingle_hashes
 
 def verify_pairs(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets meet 100 * intersection >= percent * union; docs: (id, text)."""
@@ -122,43 +51,31 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are left out; rows that repeat an id count as one document, whose text is the smallest.
     Other columns are ignored. An empty table gives an empty result.
     """
-    t = percent / 100
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     repeated = docs.groupBy("id").count().where("count > 1").limit(1).count()
     if repeated:
         docs = docs.groupBy("id").agg(F.min("text").alias("text"))
-    whole = settle(_text_sets(docs, shingle, percent, margin), "sets")
+    hashes = partial(shingle_hashes, n=shingle)
+    whole = settle(prefix.text_sets(docs, hashes, percent, margin), "sets")
     sets = settle(whole.drop("early"), "sizes")
-    counted = whole.select(F.explode("early").alias("token")).groupBy("token").count().where(F.col("count") >= frequent_at)
-    top = settle(counted, "frequent").orderBy(F.desc("count"), "token").limit(FREQUENT).toPandas().sort_values("token")
-    frequent = docs.sparkSession.sparkContext.broadcast((top["token"].to_numpy(np.int64), top["count"].to_numpy(np.int64)))
+    frequent = prefix.frequent_shingles(whole, frequent_at)
 
     classes = settle(sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
     several = sets.where("n > 0").join(classes.where("copies > 1").select("n", "d1", "d2", F.col("id").alias("rep")), ["n", "d1", "d2"]).select("id", "rep")
     several = settle(several.where("id <> rep"), "copies")
     copies = several.select("id")
-    prefixes = _prefixes(keep_ids(whole.where("n > 0").select("id", "n", "early"), copies, "id", "left_anti"), docs, shingle, percent, frequent)
+    prefixes = prefix.prefixes(keep_ids(whole.where("n > 0").select("id", "n", "early"), copies, "id", "left_anti"), docs, hashes, percent, frequent)
     discard(whole)
     grouped = prefixes.groupBy("n", F.xxhash64("prefix").alias("k1"), F.hash("prefix").alias("k2")).agg(F.min("id").alias("group"), F.count("*").alias("k"))
     keyed = prefixes.select("id", "n", F.xxhash64("prefix").alias("k1"), F.hash("prefix").alias("k2"))
     members = settle(keyed.join(grouped.where("k > 1"), ["n", "k1", "k2"]).select("group", "id"), "members")
     heads = prefixes.join(members.where("group <> id").select("id"), "id", "left_anti")
-    entries = heads.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    entries = shared_entries(entries.select("token", "id", F.col("n").cast("int").alias("n"), "pos"))
+    entries = shared_entries(prefix.entries_of(heads))
     expand = members.union(heads.select(F.col("id").alias("group"), "id").join(members.select("id"), "id", "left_anti").select("group", "id"))
 
-    share = f"{t / (1 + t) - 1e-12!r}D"
-    size = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
-    # what two sets can share at most, from the places of a token in both
-    place = f"least(a.pos, b.pos) + least(a.n - a.pos, b.n - b.pos) >= ceil({share} * (a.n + b.n))"
-
-    def enough(n, x, y):
-        """Beyond the prefixes a pair shares at most the longer rest, so the prefixes must share what is missing."""
-        after = F.floor(x * percent / 100)
-        return n + after >= F.ceil(F.expr(share) * (x + y))
-
+    size, place, sketched, early = prefix.bounds(percent)
     inner = members.where("group <> id").select(F.col("group").alias("a"), F.col("id").alias("b"))
-    links = link(entries.withColumn("size", F.col("n")), lambda p: verify_pairs(p, docs, shingle, percent), size, place, "pos", enough, inner, expand)
+    links = link(entries, lambda p: verify_pairs(p, docs, shingle, percent), size, place, "pos", early, inner, expand, sketched)
     edges = links.union(several.select(F.col("rep").alias("a"), F.col("id").alias("b")))
     comp = components(edges)
     return sets.select("id", "n").join(comp, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"))

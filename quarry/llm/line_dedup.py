@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, components, settle
-from .linking import link, shared_entries
+from . import prefix
+from .common import BROADCAST_ROWS, components, discard, keep_ids, settle
+from .linking import cross_pairs, open_entries, shared_entries, stars
 from .shingles import mix
 
 #: Characters of a shingle, bands, hash values of a band, and the Jaccard measure (percent) from which lines are near duplicates.
@@ -51,38 +54,52 @@ def signatures(lines: list[str], k: int, bands: int, rows: int, seed: int = 11)
         h = h[:n] * np.uint32(pow(int(p), width, 2**32)) + h[width:] if n > 0 else h[:0]
         width, bit = width * 2, bit * 2
     starts = np.concatenate(([0], np.cumsum(sizes + k - 1)[:-1]))
-    counts = np.maximum(1, sizes - k + 1)
-    # the places of shingles that lie in one line; padding only ends lines shorter than k
-    keep = np.repeat(starts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-    h = np.concatenate((out, np.zeros(k, np.uint32)))[keep]
+    # the shingles of a line begin in [start, end); what lies between belongs to the padding
+    spans = np.empty(2 * len(lines), np.int64)
+    spans[::2], spans[1::2] = starts, starts + np.maximum(1, sizes - k + 1)
+    h = np.concatenate((out, np.zeros(k, np.uint32)))
     h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
     h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
     h ^= h >> np.uint32(16)
-    first = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    keys = np.empty((len(lines), bands), np.uint64)
+    keys, x = np.empty((len(lines), bands), np.uint64), np.empty_like(h)
     for band in range(bands):
         key = np.full(len(lines), band + 1, np.uint64)
         for j in range(band * rows, band * rows + rows):
-            x = h * a[j] + b[j]
-            key = mix(key * np.uint64(31) + np.minimum.reduceat(x ^ (x >> np.uint32(15)), first).astype(np.uint64))
+            np.multiply(h, a[j], out=x)
+            np.add(x, b[j], out=x)
+            key = mix(key * np.uint64(31) + np.minimum.reduceat(x, spans)[::2].astype(np.uint64))
         keys[:, band] = key
     return keys
 
 
+def shingle_hashes_of_line(text: str | None, k: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a normal line's character shingles."""
+    if not text:
+        return np.empty(0, np.uint64)
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(1, len(c) - k + 1)
+    h = np.full(n, min(k, len(c)), np.uint64)
+    for j in range(min(k, len(c))):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + c[j : j + n]
+    return np.unique(mix(h))
+
+
 def signed_lines(docs: DataFrame, shingle: int, bands: int, rows: int, chars: int = 1 << 18) -> DataFrame:
-    """Each non-blank line: doc_id, line_no (from 0), a 128-bit digest of its normal form, its band keys."""
+    """Each non-blank line: doc_id, line_no (from 0), a 128-bit digest of its normal form, its band keys b0, b1, ..."""
+    names = [f"b{i}" for i in range(bands)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def flush() -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             digests = [xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in texts]
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             keys = signatures(texts, shingle, bands, rows).view(np.int64)
-            return pd.DataFrame({"doc_id": ids, "line_no": places, "d1": d[:, 0], "d2": d[:, 1], "bands": list(keys)})
+            columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), *[pa.array(keys[:, i]) for i in range(bands)]]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "d1", "d2", *names])
 
         texts, ids, places, size = [], [], [], 0
         for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                for place, line in enumerate(text.split("\n")):
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                for place, line in enumerate(text.as_py().split("\n")):
                     line = normal(line)
                     if line:
                         texts.append(line)
@@ -96,29 +113,31 @@ def signed_lines(docs: DataFrame, shingle: int, bands: int, rows: int, chars: in
             yield flush()
 
     rows_ = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return rows_.mapInPandas(run, "doc_id long, line_no int, d1 long, d2 long, bands array<long>")
+    return rows_.mapInArrow(run, "doc_id long, line_no int, d1 long, d2 long, " + ", ".join(f"{n} long" for n in names))
+
+
+def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(id, line): the normal lines of classes needed (id, doc_id, line_no, d1, d2), a written table."""
+    few = needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    side = (lambda x: F.broadcast(x)) if few else (lambda x: x)
+    lines = docs.join(side(needed.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    texts = lines.join(side(needed), ["doc_id", "line_no"])
+
+    @F.pandas_udf("struct<line:string,d1:long,d2:long>")
+    def normal_line(lines: pd.Series) -> pd.DataFrame:
+        out = [normal(x) for x in lines]
+        d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in out), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"line": out, "d1": d[:, 0], "d2": d[:, 1]})
+
+    # rows that repeat a doc_id with another text have other digests
+    texts = texts.select("id", "d1", "d2", normal_line("line").alias("x")).where("x.d1 = d1 and x.d2 = d2").select("id", F.col("x.line").alias("line"))
+    return settle(texts.groupBy("id").agg(F.min("line").alias("line")), "lines")
 
 
-def _verify(docs: DataFrame, classes: DataFrame, shingle: int, percent: int):
-    """A check of pairs of class ids on the lines' own texts."""
+def _verify(texts: DataFrame, shingle: int, percent: int):
+    """A check of pairs of class ids on the lines' own texts (id, line)."""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = settle(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-        few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        side = (lambda x: F.broadcast(x)) if few else (lambda x: x)
-        needed = classes.join(side(ids), "id").select("id", "doc_id", "line_no", "d1", "d2")
-        needed = settle(needed, "needed")
-        lines = docs.join(side(needed.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        texts = lines.join(side(needed), ["doc_id", "line_no"])
-
-        @F.pandas_udf("struct<line:string,d1:long,d2:long>")
-        def normal_line(lines: pd.Series) -> pd.DataFrame:
-            out = [normal(x) for x in lines]
-            d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in out), np.int64).reshape(-1, 2)
-            return pd.DataFrame({"line": out, "d1": d[:, 0], "d2": d[:, 1]})
-
-        texts = texts.select("id", "d1", "d2", normal_line("line").alias("x")).where("x.d1 = d1 and x.d2 = d2").select("id", F.col("x.line").alias("line"))
-        texts = settle(texts.dropDuplicates(["id"]), "lines")
         joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("tb")), "b")
         joined = joined.join(texts.select(F.col("id").alias("a"), F.col("line").alias("ta")), "a")
 
@@ -139,16 +158,44 @@ def _verify(docs: DataFrame, classes: DataFrame, shingle: int, percent: int):
     return verify
 
 
+def _last_round(entries: DataFrame, texts: DataFrame, links: DataFrame, tried: DataFrame, verify, shingle: int, percent: int) -> DataFrame:
+    """links and those between lines of one band bucket that stars left in different components.
+
+    All pairs of such a bucket would be too many, so the exact prefixes of the lines' shingle sets
+    choose among them: what the bound on shared prefix shingles rules out is no near duplicate.
+    """
+    comp = settle(components(links), "comp")
+    still = open_entries(entries, comp)
+    ids = settle(still.select("id").distinct(), "ids")
+    discard(still)
+    if not ids.limit(1).count():
+        return links
+    items = settle(keep_ids(texts, ids, "id").select("id", F.col("line").alias("text")), "open")
+    hashes = partial(shingle_hashes_of_line, k=shingle)
+    sets = settle(prefix.text_sets(items, hashes, percent, 30), "sets")
+    found = prefix.prefixes(sets, items, hashes, percent, prefix.frequent_shingles(sets, 8))
+    discard(sets)
+    size, _, sketched, early = prefix.bounds(percent)
+    tokens = shared_entries(prefix.entries_of(found))
+    pairs = cross_pairs(open_entries(tokens, comp), early, size, sketched).join(tried, ["a", "b"], "left_anti")
+    return links.union(settle(verify(settle(pairs, "pairs")), "links"))
+
+
 def line_classes(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(lines, duplicates): all non-blank lines (doc_id, line_no, d1, d2), and those classes
     (d1, d2, keep_doc_id, keep_line_no) of which more than one line exists."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = settle(signed_lines(docs, shingle, bands, rows), "lines")
-    first = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no", "bands")).alias("x"), F.count("*").alias("copies"))
-    classes = settle(first.select(F.monotonically_increasing_id().alias("id"), "d1", "d2", "x.doc_id", "x.line_no", "copies", "x.bands"), "classes")
+    keys = [f"b{i}" for i in range(bands)]
+    first = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no")).alias("x"), F.count("*").alias("copies"), *[F.min(k).alias(k) for k in keys])
+    classes = settle(first.select(F.monotonically_increasing_id().alias("id"), "d1", "d2", "x.doc_id", "x.line_no", "copies", *keys), "classes")
     # the centre of a star is the line with most copies: edits are made of it
-    entries = shared_entries(classes.select("id", (-F.col("copies")).alias("rank"), F.explode("bands").alias("token")))
-    links = link(entries, _verify(docs, classes, shingle, percent), centre="rank")
+    entries = shared_entries(classes.select("id", (-F.col("copies")).alias("rank"), F.explode(F.array(*keys)).alias("token")))
+    banded = settle(entries.select("id").distinct(), "ids")
+    texts = _texts(docs, settle(keep_ids(classes.select("id", "doc_id", "line_no", "d1", "d2"), banded, "id"), "needed"))
+    verify = _verify(texts, shingle, percent)
+    links, tried = stars(entries, verify, centre="rank")
+    links = _last_round(entries, texts, links, tried, verify, shingle, percent)
     comp = settle(components(links), "comp")
     linked = classes.select("id", "d1", "d2", "doc_id", "line_no").join(comp, "id")
     keep = linked.groupBy("comp").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))

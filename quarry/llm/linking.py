@@ -37,7 +37,7 @@ def star_pairs(entries: DataFrame, centre: str, admit: str) -> DataFrame:
     return joined.where("a.id <> b.id").where(admit).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def _open_entries(entries: DataFrame, comp: DataFrame) -> DataFrame:
+def open_entries(entries: DataFrame, comp: DataFrame) -> DataFrame:
     """Entries of tokens that lie in several components, with comp and the token's largest one as main."""
     e = entries.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     sizes = e.groupBy("token", "comp").agg(F.count("*").alias("n"))
@@ -45,16 +45,47 @@ def _open_entries(entries: DataFrame, comp: DataFrame) -> DataFrame:
     return settle(e.join(top.select("token", F.col("top.comp").alias("main")), "token"), "open")
 
 
-def _cross_pairs(e: DataFrame, admit: str, enough: Callable | None) -> DataFrame:
-    """(a, b), a < b, of one token and different components; enough: a condition on the tokens n that a pair shares."""
+def cross_pairs(e: DataFrame, early: str, admit: str, sketched: str) -> DataFrame:
+    """(a, b), a < b, of one token and different components.
+
+    e: open entries with n and pos. early: the condition on an entry to lie in the first part of its
+    prefix that a partner of at least its size must share; so one side of a pair is an early entry
+    of the smaller set, and the frequent ends of prefixes meet rare beginnings only. admit and
+    sketched: conditions on structs a and b.
+    """
     cols = [c for c in e.columns if c not in ("token", "main")]
-    left = e.where("comp <> main").select("token", F.struct(*cols).alias("a"))
-    right = e.select("token", F.struct(*cols).alias("b"), "main")
-    both = left.join(right, "token").where("a.comp <> b.comp and (b.comp = main or a.id < b.id)").where(admit)
-    pair = both.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), *([F.greatest("a.size", "b.size").alias("x"), F.least("a.size", "b.size").alias("y")] if enough else []))
-    if not enough:
-        return pair.distinct()
-    return pair.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("x").alias("x"), F.max("y").alias("y")).where(enough(F.col("n"), F.col("x"), F.col("y"))).select("a", "b")
+    row = F.struct(*cols)
+    first = e.where(early)
+    outside = "comp <> main"
+    one = first.where(outside).select("token", row.alias("a")).join(e.select("token", row.alias("b")), "token")
+    two = first.where(f"not ({outside})").select("token", row.alias("a")).join(e.where(outside).select("token", row.alias("b")), "token")
+    rule = f"a.comp <> b.comp and (a.n < b.n or a.n = b.n and a.id < b.id) and ({admit}) and ({sketched})"
+    pair = lambda j: j.where(rule).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
+    return pair(one).union(pair(two)).distinct()
+
+
+def stars(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], admit: str = "true", admit_place: str = "true", centre: str = "id", more: DataFrame | None = None, expand: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links, tried): links found by STARS rounds of stars, and all pairs tried (a < b); see link."""
+    pairs = star_pairs(entries, centre, f"({admit}) and ({admit_place})")
+    pairs = settle(pairs if more is None else pairs.union(more).distinct(), "pairs")
+    links = settle(verify(pairs), "links")
+    ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = ordered(pairs)
+    if expand is not None:
+        entries = entries.withColumnRenamed("id", "group").join(expand, "group").drop("group")
+    for _ in range(STARS - 1):
+        rest = open_entries(entries, settle(components(links), "comp"))
+        outside = rest.where("comp <> main")
+        pairs = star_pairs(outside.drop("main"), centre, f"a.comp <> b.comp and ({admit}) and ({admit_place})")
+        hub = rest.where("comp = main").groupBy("token").agg(F.min(_row(rest.drop("main"), centre, "id")).alias("a"))
+        to_main = outside.select("token", _row(outside.drop("main"), "id").alias("b")).join(hub, "token").where(admit).where(admit_place)
+        pairs = pairs.union(to_main.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))).distinct()
+        pairs = pairs.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).join(tried.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti").select("a", "b")
+        pairs = settle(pairs, "pairs")
+        discard(rest)
+        links = links.union(settle(verify(pairs), "links"))
+        tried = tried.union(ordered(pairs))
+    return links, tried
 
 
 def link(
@@ -63,49 +94,26 @@ def link(
     admit: str = "true",
     admit_place: str = "true",
     centre: str = "id",
-    enough: Callable | None = None,
+    early: str = "true",
     more: DataFrame | None = None,
     expand: DataFrame | None = None,
+    sketched: str = "true",
 ) -> DataFrame:
     """Links (a, b) that span the components of the relation verify decides.
 
     entries: (token, id, ...), one row each; verify: pairs (a, b) to those that hold; admit and
     admit_place: conditions on the structs a and b of two entries of a token, of which the second
-    may depend on the token's place; enough(n, x, y): whether n shared tokens can do for sizes x
-    and y (entries then have a size); more: further pairs for the first round; expand:
+    may depend on the token's place; early and sketched: see cross_pairs; more: further pairs for the first round; expand:
     (group, id) if an entry's id stands for a group of ids: later rounds then see every member.
     """
-    pairs = star_pairs(entries, centre, f"({admit}) and ({admit_place})")
-    pairs = settle(pairs if more is None else pairs.union(more).distinct(), "pairs")
-    links = settle(verify(pairs), "links")
+    links, tried = stars(entries, verify, admit, admit_place, centre, more, expand)
     if expand is not None:
         entries = entries.withColumnRenamed("id", "group").join(expand, "group").drop("group")
-    tried = pairs
-    seen = lambda: tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for last in [False] * (STARS - 1) + [True]:
-        comp = settle(components(links), "comp")
-        rest = _open_entries(entries, comp)
-        if not rest.limit(1).count() and expand is None:
-            return links
-        if last:
-            pairs = _cross_pairs(rest, admit, enough)
-            if expand is not None:
-                inside = expand.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-                other = inside.select("group", F.col("id").alias("b"), F.col("comp").alias("other"))
-                pairs = pairs.union(inside.join(other, "group").where("id < b and comp <> other").select(F.col("id").alias("a"), "b")).distinct()
-            pairs = pairs.join(seen(), ["a", "b"], "left_anti")
-        else:
-            outside = rest.where("comp <> main")
-            pairs = star_pairs(outside.drop("main"), centre, f"a.comp <> b.comp and ({admit}) and ({admit_place})")
-            hub = rest.where("comp = main").groupBy("token").agg(F.min(_row(rest.drop("main"), centre, "id")).alias("a"))
-            to_main = outside.select("token", _row(outside.drop("main"), "id").alias("b")).join(hub, "token").where(admit).where(admit_place)
-            pairs = pairs.union(to_main.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))).distinct()
-            pairs = pairs.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).join(seen().select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti").select("a", "b")
-        pairs = settle(pairs, "pairs")
-        discard(rest)
-        if pairs.limit(1).count():
-            links = links.union(settle(verify(pairs), "links"))
-            tried = tried.union(pairs)
-        elif not last:
-            continue
-    return links
+    comp = settle(components(links), "comp")
+    pairs = cross_pairs(open_entries(entries, comp), early, admit, sketched)
+    if expand is not None:
+        inside = expand.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        other = inside.select("group", F.col("id").alias("b"), F.col("comp").alias("other"))
+        pairs = pairs.union(inside.join(other, "group").where("id < b and comp <> other").select(F.col("id").alias("a"), "b")).distinct()
+    pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    return links.union(settle(verify(pairs), "links")) if pairs.limit(1).count() else links
