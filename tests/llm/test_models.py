@@ -6,7 +6,6 @@ import re
 import zlib
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm.ann import nearest, probe_order
