@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
+#: Rows that go to a Python worker at once: texts can be long, and a worker holds a batch several times over.
+BATCH_ROWS = 1000
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Keep the Arrow batches of this session to BATCH_ROWS rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

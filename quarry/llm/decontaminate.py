@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle
+from .common import bound_batches, settle
 
 #: Benchmark windows broadcast at once; a larger benchmark is joined block by block.
 MAX_WINDOWS = 500_000
@@ -113,6 +113,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", win
     window. Rows are independent: ties, repeats and clashing columns of docs are kept as
     they are. Either table may be empty.
     """
+    bound_batches(docs)
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text")).where("item is not null and text is not null")
     length = items.agg(F.sum(F.length("text"))).first()[0] or 0

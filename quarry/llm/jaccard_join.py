@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import prefix
-from .common import components, discard, keep_ids, settle
+from .common import bound_batches, components, discard, keep_ids, settle
 from .linking import link, shared_entries
 from .shingles import shingle_hashes
 
@@ -51,6 +51,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are left out; rows that repeat an id count as one document, whose text is the smallest.
     Other columns are ignored. An empty table gives an empty result.
     """
+    bound_batches(docs)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     repeated = docs.groupBy("id").count().where("count > 1").limit(1).count()
     if repeated:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: Training documents used per language at most (expected; picked by a hash of the id).
 TRAIN_PER_LANG = 2000
 DIMS = 512
@@ -101,6 +103,7 @@ def _LETTER(codes: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, dims: int = DIMS, seed: int = 7) -> tuple[list[str], np.ndarray]:
     """Language names (sorted) and their unit prototype vectors, from docs(id, text, lang)."""
+    bound_batches(docs)
     docs = docs.where("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     if not sizes:
@@ -131,6 +134,7 @@ def with_language(docs: DataFrame, names: list[str], prototypes: np.ndarray, tex
     `und` with score 0 for a null text, a text without letters, or when nothing was learned.
     Equal cosines go to the first name in order. Whole texts of any length are read.
     """
+    bound_batches(docs)
     model = docs.sparkSession.sparkContext.broadcast((names, prototypes))
 
     @F.pandas_udf("lang_pred string, score double")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import prefix
-from .common import BROADCAST_ROWS, components, discard, keep_ids, settle
+from .common import BROADCAST_ROWS, bound_batches, components, discard, keep_ids, settle
 from .linking import cross_pairs, open_entries, shared_entries, stars
 from .shingles import mix
 
@@ -184,6 +184,7 @@ def _last_round(entries: DataFrame, texts: DataFrame, links: DataFrame, tried: D
 def line_classes(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(lines, duplicates): all non-blank lines (doc_id, line_no, d1, d2), and those classes
     (d1, d2, keep_doc_id, keep_line_no) of which more than one line exists."""
+    bound_batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = settle(signed_lines(docs, shingle, bands, rows), "lines")
     keys = [f"b{i}" for i in range(bands)]

@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: Chance that a candidate merge is skipped, and the number of segmentations a word can take over the corpus.
 DROPOUT, VARIANTS, SEED = 0.1, 4, 17
 #: Word segmentations a worker keeps before it starts its cache anew.
@@ -266,6 +268,7 @@ def with_tokens(docs: DataFrame, pieces: list[tuple[str, int, float]] | None = N
     lossless; the empty text has no ids and is lossless. Texts of any length are encoded
     whole. Rows are independent; other columns pass through, whatever their names.
     """
+    bound_batches(docs)
     model = docs.sparkSession.sparkContext.broadcast(pieces or load_pieces())
     kind = pa.struct([("token_ids", pa.list_(pa.int32())), ("lossless", pa.bool_())])
 
