@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -12,9 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import prefix
-from .common import BROADCAST_ROWS, bound_batches, components, discard, keep_ids, settle
-from .linking import cross_pairs, open_entries, shared_entries, stars
+from .common import BROADCAST_ROWS, bound_batches, components, keep_ids, settle
+from .linking import bucket_pairs, open_entries, shared_entries, stars
 from .shingles import mix
 
 #: Characters of a shingle, bands, hash values of a band, and the Jaccard measure (percent) from which lines are near duplicates.
@@ -72,18 +70,6 @@ def signatures(lines: list[str], k: int, bands: int, rows: int, seed: int = 11)
     return keys
 
 
-def shingle_hashes_of_line(text: str | None, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a normal line's character shingles."""
-    if not text:
-        return np.empty(0, np.uint64)
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = max(1, len(c) - k + 1)
-    h = np.full(n, min(k, len(c)), np.uint64)
-    for j in range(min(k, len(c))):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + c[j : j + n]
-    return np.unique(mix(h))
-
-
 def signed_lines(docs: DataFrame, shingle: int, bands: int, rows: int, chars: int = 1 << 18) -> DataFrame:
     """Each non-blank line: doc_id, line_no (from 0), a 128-bit digest of its normal form, its band keys b0, b1, ..."""
     names = [f"b{i}" for i in range(bands)]
@@ -158,29 +144,6 @@ def _verify(texts: DataFrame, shingle: int, percent: int):
     return verify
 
 
-def _last_round(entries: DataFrame, texts: DataFrame, links: DataFrame, tried: DataFrame, verify, shingle: int, percent: int) -> DataFrame:
-    """links and those between lines of one band bucket that stars left in different components.
-
-    All pairs of such a bucket would be too many, so the exact prefixes of the lines' shingle sets
-    choose among them: what the bound on shared prefix shingles rules out is no near duplicate.
-    """
-    comp = settle(components(links), "comp")
-    still = open_entries(entries, comp)
-    ids = settle(still.select("id").distinct(), "ids")
-    discard(still)
-    if not ids.limit(1).count():
-        return links
-    items = settle(keep_ids(texts, ids, "id").select("id", F.col("line").alias("text")), "open")
-    hashes = partial(shingle_hashes_of_line, k=shingle)
-    sets = settle(prefix.text_sets(items, hashes, percent, 30), "sets")
-    found = prefix.prefixes(sets, items, hashes, percent, prefix.frequent_shingles(sets, 8))
-    discard(sets)
-    size, _, sketched, early = prefix.bounds(percent)
-    tokens = shared_entries(prefix.entries_of(found))
-    pairs = cross_pairs(open_entries(tokens, comp), early, size, sketched).join(tried, ["a", "b"], "left_anti")
-    return links.union(settle(verify(settle(pairs, "pairs")), "links"))
-
-
 def line_classes(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(lines, duplicates): all non-blank lines (doc_id, line_no, d1, d2), and those classes
     (d1, d2, keep_doc_id, keep_line_no) of which more than one line exists."""
@@ -196,7 +159,10 @@ def line_classes(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, ro
     texts = _texts(docs, settle(keep_ids(classes.select("id", "doc_id", "line_no", "d1", "d2"), banded, "id"), "needed"))
     verify = _verify(texts, shingle, percent)
     links, tried = stars(entries, verify, centre="rank")
-    links = _last_round(entries, texts, links, tried, verify, shingle, percent)
+    # the rest of a bucket, where stars left its lines in different components
+    rest = open_entries(entries, settle(components(links), "comp"))
+    pairs = settle(bucket_pairs(rest).join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(settle(verify(pairs), "links"))
     comp = settle(components(links), "comp")
     linked = classes.select("id", "d1", "d2", "doc_id", "line_no").join(comp, "id")
     keep = linked.groupBy("comp").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))

@@ -64,6 +64,14 @@ def cross_pairs(e: DataFrame, early: str, admit: str, sketched: str) -> DataFram
     return pair(one).union(pair(two)).distinct()
 
 
+def bucket_pairs(e: DataFrame) -> DataFrame:
+    """(a, b), a < b, of one token and different components: open entries (token, id, comp, main)."""
+    row = F.struct("id", "comp")
+    left = e.where("comp <> main").select("token", row.alias("a"))
+    both = left.join(e.select("token", row.alias("b"), "main"), "token").where("a.comp <> b.comp and (b.comp = main or a.id < b.id)")
+    return both.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+
+
 def stars(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], admit: str = "true", admit_place: str = "true", centre: str = "id", more: DataFrame | None = None, expand: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, tried): links found by STARS rounds of stars, and all pairs tried (a < b); see link."""
     pairs = star_pairs(entries, centre, f"({admit}) and ({admit_place})")
