@@ -8,10 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, settle
+from .common import BROADCAST_ROWS, keep_ids, settle
+from .shingles import mix
 
 #: Tokens from which a repeated run counts, the distinct pages it takes, and the pages whose streams one suffix array spans.
 RUN, PAGES, SHARD = 8, 2, 256
@@ -201,21 +203,43 @@ def _whole_runs(covered: np.ndarray, run: int) -> np.ndarray:
     return out
 
 
-def extract_shard(pages: pd.DataFrame, run: int = RUN, least: int = PAGES) -> pd.DataFrame:
-    """text and n_repeated for pages (parts, texts) of one shard of a host."""
+def stream_of(parts: list[int], texts: list[str]) -> list[str]:
+    """The tokens of a page that may be boilerplate, a line end after each block."""
+    chosen = _choose(list(parts))
+    return [w for p, t in zip(parts, texts, strict=True) if p != chosen or chosen == UNSURE for w in (*t.split(" "), "\n")]
+
+
+def fingerprints(words: list[str], run: int, known: dict[str, int]) -> np.ndarray:
+    """64-bit fingerprints of a stream's windows of run tokens in order; known keeps token hashes."""
+    n = len(words) - run + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    for w in set(words) - known.keys():
+        known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    out = np.zeros(n, np.uint64)
+    for j in range(run):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
+    return mix(out).view(np.int64)
+
+
+def extract_shard(pages: pd.DataFrame, run: int = RUN, least: int = PAGES, shared: np.ndarray | None = None) -> pd.DataFrame:
+    """text and n_repeated for pages (parts, texts) of one shard of a host; shared: fingerprints of windows that the whole host repeats."""
     ids: dict[str, int] = {}
-    streams, keys, seen = [], [], {}
+    streams, keys, seen, found = [], [], {}, []
+    hashes: dict[str, int] = {}
     for parts, texts in zip(pages["parts"], pages["texts"], strict=True):
-        chosen = _choose(list(parts))
-        tokens: list[int] = []
-        for p, t in zip(parts, texts, strict=True):
-            if p != chosen or chosen == UNSURE:
-                tokens += [ids.setdefault(w, len(ids)) for w in t.split(" ")]
-                tokens.append(ids.setdefault("\n", len(ids)))
-        streams.append(np.array(tokens, np.int64))
+        words = stream_of(parts, texts)
+        streams.append(np.array([ids.setdefault(w, len(ids)) for w in words], np.int64))
         keys.append(seen.setdefault(streams[-1].tobytes(), len(seen)))
+        if shared is not None and len(shared):
+            found.append(np.flatnonzero(np.isin(fingerprints(words, run, hashes), shared)))
+    covers = repeated(streams, keys, run, least)
+    for cover, starts in zip(covers, found):
+        for j in range(run):
+            cover[starts + j] = True
     out, counts = [], []
-    for parts, texts, covered in zip(pages["parts"], pages["texts"], repeated(streams, keys, run, least), strict=True):
+    for parts, texts, covered in zip(pages["parts"], pages["texts"], covers, strict=True):
         chosen = _choose(list(parts))
         if chosen != UNSURE:
             out.append(" ".join(t for p, t in zip(parts, texts, strict=True) if p == chosen))
@@ -243,7 +267,8 @@ def extract_text(pages: DataFrame, run: int = RUN, least: int = PAGES, shard: in
     n_repeated counts the tokens outside the text's part that repeated runs cover.
 
     A host of more than `shard` pages is dealt out by a hash of the page in shards of about that
-    size, each with a suffix array of its own. Null and empty html give an empty text; a null
+    size, each with a suffix array of its own; windows that pages of different shards share are
+    found by fingerprints counted over the whole host, so that shards do not change the result. Null and empty html give an empty text; a null
     url is a host of its own; rows may repeat (equal pages count as one for repetition).
     Unclosed and stray tags, cut comments and very long pages are read whole. Other columns
     are ignored.
@@ -252,7 +277,8 @@ def extract_text(pages: DataFrame, run: int = RUN, least: int = PAGES, shard: in
     base = pages.select("page_id", "url", "html", host.alias("host"))
     sizes = base.groupBy("host").agg(F.ceil(F.count("*") / shard).cast("long").alias("shards"))
     big = settle(sizes.where("shards > 1"), "hosts")
-    if big.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    n_big = big.limit(BROADCAST_ROWS + 1).count()
+    if n_big <= BROADCAST_ROWS:
         big = F.broadcast(big)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,13 +290,47 @@ def extract_text(pages: DataFrame, run: int = RUN, least: int = PAGES, shard: in
                     {"page_id": part["page_id"].array, "url": part["url"].array, "host": part["host"].array, "parts": [[p for p, _ in f] for f in found], "texts": [[t for _, t in f] for f in found]}
                 )
 
+    def windows(batches: Iterator[pd.DataFrame], by: str, most: int, chunk: int = 1 << 19) -> Iterator[pd.DataFrame]:
+        """Distinct (host, fp, by) of pages, of each (host, fp) in a chunk `most` at most (0: all)."""
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame({"host": np.repeat(np.array(hosts, object), [len(f) for f in fps]), "fp": np.concatenate(fps), by: np.repeat(np.array(keys, np.int64), [len(f) for f in fps])}).drop_duplicates()
+            return out[out.groupby(["host", "fp"]).cumcount() < most] if most else out
+
+        hosts, fps, keys, size, hashes = [], [], [], 0, {}
+        for batch in batches:
+            for at, (host, page) in enumerate(zip(batch["host"], batch["html"], strict=True)):
+                found = blocks_of(page)
+                words = stream_of([p for p, _ in found], [t for _, t in found])
+                fp = np.unique(fingerprints(words, run, hashes))
+                if not len(fp):
+                    continue
+                hosts.append(host)
+                fps.append(fp)
+                keys.append(int(batch["shard"].iat[at]) if by == "shard" else xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) - (1 << 63))
+                size += len(fp)
+                if size >= chunk:
+                    yield flush()
+                    hosts, fps, keys, size, hashes = [], [], [], 0, {}
+        if size:
+            yield flush()
+
+    # equal streams are one page; `least` pages of a chunk are enough to know that a window has as many
+    dealt = base.join(big, "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), "shards")).select("host", "html", "shard")
+    if n_big:
+        pairs = dealt.mapInPandas(lambda x: windows(x, "page", least), "host string, fp long, page long")
+        common = settle(pairs.groupBy("host", "fp").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= least).select("host", "fp"), "windows")
+        cross = keep_ids(dealt.mapInPandas(lambda x: windows(x, "shard", 0), "host string, fp long, shard long"), common, ["host", "fp"]).select("host", "shard", "fp").distinct()
+    else:
+        cross = pages.sparkSession.createDataFrame([], "host string, shard long, fp long")
+
     schema = "page_id long, url string, host string, parts array<int>, texts array<string>"
     parsed = base.mapInPandas(parse, schema).join(big, "host", "left")
     parsed = parsed.withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1)))).drop("shards")
 
-    def extract(group: pd.DataFrame) -> pd.DataFrame:
-        got = extract_shard(group, run, least)
+    def extract(group: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+        got = extract_shard(group, run, least, shared["fp"].to_numpy(np.int64))
         return pd.DataFrame({"page_id": group["page_id"].array, "url": group["url"].array, "text": got["text"].array, "n_repeated": got["n_repeated"].array})
 
-    out = parsed.groupBy("host", "shard").applyInPandas(extract, "page_id long, url string, text string, n_repeated long")
+    out = parsed.groupBy("host", "shard").cogroup(cross.groupBy("host", "shard")).applyInPandas(extract, "page_id long, url string, text string, n_repeated long")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
