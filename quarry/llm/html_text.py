@@ -40,8 +40,8 @@ _CUT = re.compile(r"/?[a-zA-Z][^>]*\Z")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[a-z0-9]+")
 
-#: What a block belongs to.
-MAIN, LIKELY, UNSURE, CHROME = 3, 2, 1, 0
+#: What a block belongs to; a quote is a blockquote in a likely part.
+QUOTE, MAIN, LIKELY, UNSURE, CHROME = 4, 3, 2, 1, 0
 
 
 def _role(tag: str, attrs: str, above: int, hard: bool, in_header: bool) -> tuple[int, bool, bool]:
@@ -66,6 +66,8 @@ def _role(tag: str, attrs: str, above: int, hard: bool, in_header: bool) -> tupl
         return CHROME, False, in_header
     if above < LIKELY and above != CHROME and words & _MAIN_WORDS:
         return LIKELY, False, in_header
+    if above == LIKELY and tag == "blockquote":
+        return QUOTE, False, in_header
     return above, False, in_header
 
 
@@ -188,7 +190,7 @@ def repeated(streams: list[np.ndarray], pages: list[int], run: int = RUN, least:
 
 def _choose(parts: list[int]) -> int:
     """The part that holds the page's text."""
-    return next((p for p in (MAIN, LIKELY, UNSURE) if p in parts), UNSURE)
+    return MAIN if MAIN in parts else LIKELY if LIKELY in parts or QUOTE in parts else UNSURE
 
 
 def _whole_runs(covered: np.ndarray, run: int) -> np.ndarray:
@@ -205,8 +207,7 @@ def _whole_runs(covered: np.ndarray, run: int) -> np.ndarray:
 
 def stream_of(parts: list[int], texts: list[str]) -> list[str]:
     """The tokens of a page that may be boilerplate, a line end after each block."""
-    chosen = _choose(list(parts))
-    return [w for p, t in zip(parts, texts, strict=True) if p != chosen or chosen == UNSURE for w in (*t.split(" "), "\n")]
+    return [w for p, t in zip(parts, texts, strict=True) if p != MAIN for w in (*t.split(" "), "\n")]
 
 
 def fingerprints(words: list[str], run: int, known: dict[str, int]) -> np.ndarray:
@@ -241,8 +242,18 @@ def extract_shard(pages: pd.DataFrame, run: int = RUN, least: int = PAGES, share
     out, counts = [], []
     for parts, texts, covered in zip(pages["parts"], pages["texts"], covers, strict=True):
         chosen = _choose(list(parts))
-        if chosen != UNSURE:
-            out.append(" ".join(t for p, t in zip(parts, texts, strict=True) if p == chosen))
+        if chosen == MAIN:
+            out.append(" ".join(t for p, t in zip(parts, texts, strict=True) if p == MAIN))
+        elif chosen == LIKELY:
+            whole, kept, at = [], [], 0
+            for p, t in zip(parts, texts, strict=True):
+                size = t.count(" ") + 1
+                if p in (LIKELY, QUOTE):
+                    whole.append(t)
+                    if p == QUOTE or not covered[at : at + size].all():
+                        kept.append(t)
+                at += size + 1
+            out.append(" ".join(kept or whole))
         else:
             kept, at = [], 0
             for p, t in zip(parts, texts, strict=True):
@@ -262,9 +273,11 @@ def extract_text(pages: DataFrame, run: int = RUN, least: int = PAGES, shard: in
     class or id), chrome (menus, headers, footers, sidebars, notices, adverts, forms, comments,
     hidden elements) or unsure. The token streams outside the main part of all pages of a host
     go into a suffix array; runs of `run` or more tokens that `least` distinct pages share are
-    boilerplate. text is the main part, else the likely one, else what of the unsure part is
-    unique. Text of the main part is never dropped for being repeated, as articles quote.
-    n_repeated counts the tokens outside the text's part that repeated runs cover.
+    boilerplate. text is the main part, else the likely one without its repeated blocks, else
+    what of the unsure part is unique. As articles quote, text of the main part is never dropped
+    for being repeated, and of the likely part only blocks that repeated runs cover whole:
+    blockquotes and runs inside a block with other text stay, and all stays if nothing else
+    would be left. n_repeated counts the tokens outside the main part that repeated runs cover.
 
     A host of more than `shard` pages is dealt out by a hash of the page in shards of about that
     size, each with a suffix array of its own; windows that pages of different shards share are
