@@ -24,9 +24,12 @@ from quarry.llm.language_id import train, with_language
 from quarry.llm.line_dedup import drop_duplicate_lines
 from quarry.llm.sentencepiece_bpe import with_tokens
 
-#: Cosine with the nearest language prototype under which a document is rejected: what unrelated
-#: vectors give. One word of a language lies above it, so short clean documents stay.
+#: Cosine with the nearest language prototype under which any document is rejected. One word of a
+#: language lies above it, so short clean documents stay.
 MIN_COSINE = 0.01
+#: Cosines of unrelated vectors spread by 1/sqrt(dims). A document of FULL distinct trigrams needs
+#: SPREADS times that; with fewer the bound falls with the square of their number, to MIN_COSINE.
+SPREADS, FULL = 4, 30
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +38,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not names:
         return docs
     out = with_language(docs, names, prototypes)
-    return out.where(F.col("__lang.score") >= MIN_COSINE).select(*docs.columns)
+    share = F.least(F.col("__lang.n_grams") / FULL, F.lit(1.0))
+    bound = F.greatest(F.lit(MIN_COSINE), share * share * F.lit(SPREADS / prototypes.shape[1] ** 0.5))
+    return out.where(F.col("__lang.score") >= bound).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,7 +77,10 @@ class Encoder:
 
     def encode(self, text: str | None) -> np.ndarray | None:
         """The unit vector of a text; None if it has no letter."""
-        keys, counts = self.grams(text)
+        return self.bundle(*self.grams(text))
+
+    def bundle(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray | None:
+        """The unit vector of distinct trigrams and their counts; None if there are none."""
         if not len(keys):
             return None
         at = self.lookup(keys)
@@ -129,7 +132,7 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, dims: int = DIMS, see
 
 
 def with_language(docs: DataFrame, names: list[str], prototypes: np.ndarray, text_col: str = "text", into: str = "__lang", seed: int = 7) -> DataFrame:
-    """docs with a struct column into: lang_pred and score, the cosine with the nearest prototype (0 to 1).
+    """docs with a struct column into: lang_pred, score, the cosine with the nearest prototype (0 to 1), and n_grams, the distinct trigrams.
 
     `und` with score 0 for a null text, a text without letters, or when nothing was learned.
     Equal cosines go to the first name in order. Whole texts of any length are read.
@@ -137,21 +140,22 @@ def with_language(docs: DataFrame, names: list[str], prototypes: np.ndarray, tex
     bound_batches(docs)
     model = docs.sparkSession.sparkContext.broadcast((names, prototypes))
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, n_grams long")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names, protos = model.value
         enc = Encoder(protos.shape[1], seed)
         for texts in batches:
             out = []
             for text in texts:
-                v = enc.encode(text) if names else None
+                keys, counts = enc.grams(text) if names else ((), ())
+                v = enc.bundle(keys, counts)
                 if v is None:
-                    out.append(("und", 0.0))
+                    out.append(("und", 0.0, 0))
                     continue
                 cos = protos @ v
                 best = int(np.argmax(cos))
-                out.append((names[best], float(min(1.0, max(0.0, cos[best])))))
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
+                out.append((names[best], float(min(1.0, max(0.0, cos[best]))), len(keys)))
+            yield pd.DataFrame(out, columns=["lang_pred", "score", "n_grams"])
 
     return docs.withColumn(into, predict(F.col(text_col)))
 
