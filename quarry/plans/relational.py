@@ -311,6 +311,11 @@ def unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.unnest(table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("e")), "e").select("vec_id", "Value")
 
 
+@register("unnest_all", "SELECT vec_id, unnest(embedding) AS Value FROM embeddings")
+def unnest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshape.unnest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding").select("vec_id", "Value")
+
+
 @register("star_modifiers", "SELECT * EXCLUDE (c_mktsegment) REPLACE (upper(c_name) AS c_name) RENAME (c_nationkey AS nation) FROM customer")
 def star_modifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.star(table(spark, sf_dir, "customer"), ["c_mktsegment"], {"c_name": "upper(c_name)"}, {"c_nationkey": "nation"})

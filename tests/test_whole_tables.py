@@ -42,3 +42,8 @@ def test_daily_transforms_read_all_events(spark, duck, tmp_path):
     assert got == {(1, "click"): (2, 5.0), (2, "click"): (0, 0.0), (3, "click"): (0, 0.0), (4, "click"): (1, 1.0), (3, "view"): (1, 1.0), (4, "view"): (2, 5.0)}
     got = {(r["d"].day, r["t"]): (r["n"], r["n_Diff"]) for r in entry.queries()["tf_period_comparison_all"](spark, str(tmp_path)).collect()}
     assert got == {(1, "click"): (2, None), (4, "click"): (1, None), (3, "view"): (1, None), (4, "view"): (2, 1)}
+
+
+def test_unnest_gives_every_element(spark, duck):
+    got = same_as_oracle(spark, duck, "unnest_all")
+    assert sum(got.values()) == duck.execute("select sum(len(embedding)) from embeddings").fetchone()[0]
