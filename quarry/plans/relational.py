@@ -119,6 +119,21 @@ def fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("p_partkey").alias("lid"), F.col("p_partkey_right").alias("rid"), F.round("__score", 6).alias("score"))
 
 
+# distinct names are compared, so that the SQL is not a comparison of all pairs of rows
+@register(
+    "fuzzy_join_all",
+    """WITH names AS (SELECT DISTINCT p_name AS t FROM part WHERE length(p_name) > 0),
+       grams AS (SELECT t, lower(substring(' ' || t || ' ', CAST(i AS BIGINT), 3)) AS g FROM (SELECT t, unnest(range(1, length(t) + 1)) AS i FROM names)),
+       scored AS (SELECT a.t AS ta, b.t AS tb, jaro_winkler_similarity(lower(a.t), lower(b.t)) AS s FROM names a, names b
+         WHERE jaro_winkler_similarity(lower(a.t), lower(b.t)) > 0.8 AND EXISTS (SELECT 1 FROM grams x JOIN grams y USING (g) WHERE x.t = a.t AND y.t = b.t))
+       SELECT p1.p_partkey AS lid, p2.p_partkey AS rid, round(s, 6) AS score FROM part p1 JOIN scored ON p1.p_name = ta JOIN part p2 ON p2.p_name = tb""",
+)
+def fuzzy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    out = joins.fuzzy_join(p, p, "p_name", "p_name", 0.8)
+    return out.select(F.col("p_partkey").alias("lid"), F.col("p_partkey_right").alias("rid"), F.round("__score", 6).alias("score"))
+
+
 @register(
     "lateral_top_n",
     """SELECT c_custkey, o_orderkey, o_totalprice FROM customer JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) o

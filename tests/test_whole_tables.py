@@ -44,6 +44,13 @@ def test_daily_transforms_read_all_events(spark, duck, tmp_path):
     assert got == {(1, "click"): (2, None), (4, "click"): (1, None), (3, "view"): (1, None), (4, "view"): (2, 1)}
 
 
+def test_fuzzy_join_reads_all_parts(spark, duck):
+    got = same_as_oracle(spark, duck, "fuzzy_join_all")
+    cols = ["lid", "rid", "score"]
+    keys = {r[0] for r in duck.execute("select p_partkey from part").fetchall()}
+    assert {r[cols.index("lid")] for r in got} == {r[cols.index("rid")] for r in got} == keys
+
+
 def test_unnest_gives_every_element(spark, duck):
     got = same_as_oracle(spark, duck, "unnest_all")
     assert sum(got.values()) == duck.execute("select sum(len(embedding)) from embeddings").fetchone()[0]
