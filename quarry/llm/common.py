@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of ids that may be broadcast (16 bytes each: 32 MB); larger sides go through a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of a side that may be broadcast, by the widths of its columns; larger sides go through a shuffle.
+BROADCAST_BYTES = 24 << 20
 
 
 #: Rows that go to a Python worker at once: texts can be long, and a worker holds a batch several times over.
@@ -25,21 +28,39 @@ def bound_batches(df: DataFrame) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a session of one machine may leave it unset and gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_SCOPES = threading.local()
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that settle writes inside are deleted at the end, but for those written with keep."""
+    stack = _SCOPES.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for table in stack.pop():
+            _delete(table)
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def settle(df: DataFrame, name: str = "table") -> DataFrame:
+def settle(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no rerun.
 
-    The shuffle files of the write go when it has ended; nothing reads them again.
+    The shuffle files of the write go when it has ended; nothing reads them again. keep: the
+    table outlives the innermost scratch.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -51,21 +72,44 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
+    stack = getattr(_SCOPES, "stack", [])
+    if len(stack) > keep:
+        stack[-1 - keep].append(out)
     return out
 
 
+def _delete(table: DataFrame) -> None:
+    jvm = table.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table._settled_at)
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that settle wrote and nothing reads any more."""
+    """Delete tables that settle wrote and nothing reads any more, before their scratch ends."""
     for t in tables:
-        jvm = t.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t._settled_at)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        for held in getattr(_SCOPES, "stack", []):
+            held[:] = [x for x in held if x is not t]
+        _delete(t)
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """name, with underscores before it until no frame has such a column (letter case aside)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def may_broadcast(df: DataFrame) -> bool:
+    """Whether df, a written table of columns of fixed width, has at most BROADCAST_BYTES; counts no further than that."""
+    width = 16 + sum(16 if "string" in kind or "binary" in kind else 8 for _, kind in df.dtypes)
+    most = BROADCAST_BYTES // width
+    return df.limit(most + 1).count() <= most
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
-    """Rows of df whose key is among ids (left_anti: is not); broadcast up to BROADCAST_ROWS ids, else a shuffle."""
-    small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(ids) if small else ids, on, how)
+    """Rows of df whose key is among ids (left_anti: is not); few ids are broadcast, more go through a shuffle."""
+    return df.join(F.broadcast(ids) if may_broadcast(ids) else ids, on, how)
 
 
 def components(edges: DataFrame) -> DataFrame:

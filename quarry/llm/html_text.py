@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, keep_ids, settle
+from .common import keep_ids, may_broadcast, settle
 from .shingles import mix
 
 #: Tokens from which a repeated run counts, the distinct pages it takes, and the pages whose streams one suffix array spans.
@@ -290,8 +290,8 @@ def extract_text(pages: DataFrame, run: int = RUN, least: int = PAGES, shard: in
     base = pages.select("page_id", "url", "html", host.alias("host"))
     sizes = base.groupBy("host").agg(F.ceil(F.count("*") / shard).cast("long").alias("shards"))
     big = settle(sizes.where("shards > 1"), "hosts")
-    n_big = big.limit(BROADCAST_ROWS + 1).count()
-    if n_big <= BROADCAST_ROWS:
+    n_big = big.limit(1).count()
+    if may_broadcast(big):
         big = F.broadcast(big)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,9 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bound_batches, components, keep_ids, settle
-from .linking import bucket_pairs, open_entries, shared_entries, stars
-from .shingles import mix
+from .common import bound_batches, components, discard, free_name, keep_ids, may_broadcast, scratch, settle
+from .linking import Texts, link, shared_entries
+from .shingles import CharShingles, mix
 
 #: Characters of a shingle, bands, hash values of a band, and the Jaccard measure (percent) from which lines are near duplicates.
 SHINGLE, BANDS, ROWS, PERCENT = 8, 6, 3, 80
@@ -24,11 +24,6 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def char_shingles(text: str, k: int = SHINGLE) -> set[str]:
-    """Distinct substrings of k characters; a shorter text is one shingle."""
-    return {text[i : i + k] for i in range(max(1, len(text) - k + 1))}
-
-
 def signatures(lines: list[str], k: int, bands: int, rows: int, seed: int = 11) -> np.ndarray:
     """Band keys (len(lines) x bands, 64 bits) of non-empty normal lines, from bands*rows minima over their shingles."""
     rng = np.random.default_rng(seed)
@@ -103,9 +98,8 @@ def signed_lines(docs: DataFrame, shingle: int, bands: int, rows: int, chars: in
 
 
 def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(id, line): the normal lines of classes needed (id, doc_id, line_no, d1, d2), a written table."""
-    few = needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = (lambda x: F.broadcast(x)) if few else (lambda x: x)
+    """(id, text): the normal lines of classes needed (id, doc_id, line_no, d1, d2; a written table), a written table."""
+    side = F.broadcast if may_broadcast(needed) else lambda x: x
     lines = docs.join(side(needed.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     texts = lines.join(side(needed), ["doc_id", "line_no"])
 
@@ -116,37 +110,13 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
         return pd.DataFrame({"line": out, "d1": d[:, 0], "d2": d[:, 1]})
 
     # rows that repeat a doc_id with another text have other digests
-    texts = texts.select("id", "d1", "d2", normal_line("line").alias("x")).where("x.d1 = d1 and x.d2 = d2").select("id", F.col("x.line").alias("line"))
-    return settle(texts.groupBy("id").agg(F.min("line").alias("line")), "lines")
-
-
-def _verify(texts: DataFrame, shingle: int, percent: int):
-    """A check of pairs of class ids on the lines' own texts (id, line)."""
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("tb")), "b")
-        joined = joined.join(texts.select(F.col("id").alias("a"), F.col("line").alias("ta")), "a")
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            last, sa = None, set()
-            for batch in batches:
-                hold = []
-                for a, ta, tb in zip(batch["a"], batch["ta"], batch["tb"], strict=True):
-                    if a != last:
-                        last, sa = a, char_shingles(ta, shingle)
-                    sb = char_shingles(tb, shingle)
-                    both = len(sa & sb) if 100 * min(len(sa), len(sb)) >= percent * max(len(sa), len(sb)) else 0
-                    hold.append(both > 0 and 100 * both >= percent * (len(sa) + len(sb) - both))
-                yield batch.loc[hold, ["a", "b"]]
-
-        return joined.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
-
-    return verify
+    texts = texts.select("id", "d1", "d2", normal_line("line").alias("x")).where("x.d1 = d1 and x.d2 = d2").select("id", F.col("x.line").alias("text"))
+    return settle(texts.groupBy("id").agg(F.min("text").alias("text")), "lines")
 
 
 def line_classes(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(lines, duplicates): all non-blank lines (doc_id, line_no, d1, d2), and those classes
-    (d1, d2, keep_doc_id, keep_line_no) of which more than one line exists."""
+    (d1, d2, keep_doc_id, keep_line_no) of which more than one line exists. Tables of the innermost scratch."""
     bound_batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = settle(signed_lines(docs, shingle, bands, rows), "lines")
@@ -157,23 +127,21 @@ def line_classes(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, ro
     entries = shared_entries(classes.select("id", (-F.col("copies")).alias("rank"), F.explode(F.array(*keys)).alias("token")))
     banded = settle(entries.select("id").distinct(), "ids")
     texts = _texts(docs, settle(keep_ids(classes.select("id", "doc_id", "line_no", "d1", "d2"), banded, "id"), "needed"))
-    verify = _verify(texts, shingle, percent)
-    links, tried = stars(entries, verify, centre="rank")
-    # the rest of a bucket, where stars left its lines in different components
-    rest = open_entries(entries, settle(components(links), "comp"))
-    pairs = settle(bucket_pairs(rest).join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(settle(verify(pairs), "links"))
+    links = link(entries, Texts(lambda ids: texts, CharShingles(shingle), percent, passing=False), "rank")
     comp = settle(components(links), "comp")
+    discard(entries, texts)
     linked = classes.select("id", "d1", "d2", "doc_id", "line_no").join(comp, "id")
     keep = linked.groupBy("comp").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))
     near = linked.join(keep, "comp").select("id", "d1", "d2", "keep")
     exact = classes.where("copies > 1").join(near.select("id"), "id", "left_anti").select("id", "d1", "d2", F.struct("doc_id", "line_no").alias("keep"))
     found = near.union(exact).select("d1", "d2", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"))
-    return lines.select("doc_id", "line_no", "d1", "d2"), settle(found, "found")
+    found = settle(found, "found")
+    discard(classes)
+    return lines.select("doc_id", "line_no", "d1", "d2"), found
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """One row per non-blank line: doc_id, line_no (from 0), keep_doc_id, keep_line_no, kept.
+    """One row per non-blank line: doc_id, line_no (from 0), keep_doc_id, keep_line_no, kept; a written table.
 
     Lines are compared in lower case with white space as one space. Character-shingle MinHash
     signatures are banded for recall; pairs that share a band are checked by exact Jaccard;
@@ -184,24 +152,29 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     are left out; other columns are ignored. Rows that repeat a doc_id with the same text
     repeat their lines. Lines of any length are read whole. No documents: no rows.
     """
-    lines, found = line_classes(docs, **options)
-    out = lines.join(found, ["d1", "d2"], "left")
-    keep = [F.coalesce(f"keep_{c}", c).alias(f"keep_{c}") for c in ("doc_id", "line_no")]
-    return out.select("doc_id", "line_no", *keep).withColumn("kept", F.expr("doc_id = keep_doc_id and line_no = keep_line_no"))
+    with scratch():
+        lines, found = line_classes(docs, **options)
+        out = lines.join(found, ["d1", "d2"], "left")
+        keep = [F.coalesce(f"keep_{c}", c).alias(f"keep_{c}") for c in ("doc_id", "line_no")]
+        return settle(out.select("doc_id", "line_no", *keep).withColumn("kept", F.expr("doc_id = keep_doc_id and line_no = keep_line_no")), "lines", keep=True)
 
 
 def drop_duplicate_lines(docs: DataFrame, **options) -> DataFrame:
     """docs without the lines that dedup_lines does not keep; documents left without a word go.
 
-    Documents that had no word before stay as they are. Of rows that repeat a doc_id and a
-    text, each keeps its kept lines. All columns keep their values but text.
+    Documents that had no word before stay as they are, as do rows with a null doc_id. Of rows
+    that repeat a doc_id and a text, each keeps its kept lines. All columns keep their values
+    but text, whatever their names.
     """
-    lines, found = line_classes(docs, **options)
-    gone = lines.join(found, ["d1", "d2"]).where("doc_id <> keep_doc_id or line_no <> keep_line_no")
-    gone = settle(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")), "gone")
-    few = gone.limit(BROADCAST_ROWS // 20 + 1).count() <= BROADCAST_ROWS // 20
-    out = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left")
-    left = F.expr("array_join(transform(filter(transform(split(text, '\\n'), (x, i) -> struct(x, i)), p -> not array_contains(__gone, p.i)), p -> p.x), '\\n')")
-    out = out.withColumn("__left", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left))
-    out = out.where("__gone is null or __left rlike '\\\\S'")
-    return out.select(*[F.col("__left").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    with scratch():
+        lines, found = line_classes(docs, **options)
+        gone = lines.join(found, ["d1", "d2"]).where("doc_id <> keep_doc_id or line_no <> keep_line_no").select("doc_id", "line_no").distinct()
+        lost = settle(gone, "lost", keep=True)
+    dropped, left, key = (free_name(n, docs) for n in ("__gone", "__left", "__key"))
+    few = may_broadcast(lost)  # then so is its grouping, which is smaller
+    gone = lost.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("line_no").alias(dropped))
+    out = docs.join(F.broadcast(gone) if few else gone, F.col(key) == docs["doc_id"].cast("long"), "left")
+    rest = F.array_join(F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains(F.col(dropped), p.i)), lambda p: p.x), "\n")
+    out = out.withColumn(left, F.when(F.col(dropped).isNull(), F.col("text")).otherwise(rest))
+    out = out.where(F.col(dropped).isNull() | F.col(left).rlike("\\S"))
+    return out.select(*[F.col(left).alias("text") if c == "text" else F.col(c) for c in docs.columns])

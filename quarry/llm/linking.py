@@ -1,28 +1,107 @@
 """Components of similar texts from an inverted index, without all pairs of a group.
 
-Star rounds link the entries of a token to one centre, and are repeated among what is still in
-different components. The last round looks only at tokens whose entries are still in different
-components, and pairs the entries outside the token's largest component with those of other
-components, so that no link between components is lost while copies of one text cost one check each.
+1. A round of stars links the entries of a token to one centre.
+2. What is still apart in a token is compared with one centre of the token's largest component.
+   A text near its centre is then held as its difference from it (shingles added, shingles
+   removed). The symmetric difference of two texts is that of their differences, so of two texts
+   with one centre, not both linked to it, the differences must overlap: a prefix join on
+   differences finds every such pair. Copies that were edited independently share no additions,
+   so they meet in no pair, however many they are.
+3. Texts with different centres, or none near, are paired by their tokens.
+Every pair is verified, and none that could hold is left out by steps 2 and 3.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, discard, settle
+from .shingles import Sets
 
-#: Star rounds before the last one.
-STARS = 2
+#: Percent of Jaccard similarity from which a text counts as near its centre.
+NEAR = 50
 
 
 def shared_entries(entries: DataFrame) -> DataFrame:
-    """Entries whose token has more than one, as a written table; one shuffle."""
-    n = F.count("*").over(Window.partitionBy("token"))
-    return settle(entries.withColumn("__n", n).where("__n > 1").drop("__n"), "entries")
+    """Entries whose token has more than one, as a written table. Counts are summed before they are shuffled, so that a token may have any share of all entries."""
+    several = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    return settle(entries.join(several, "token", "left_semi"), "entries")
+
+
+@dataclass
+class Texts:
+    """Texts by id, how their sets are made, and the percent of Jaccard similarity that links two."""
+
+    fetch: Callable[[DataFrame], DataFrame]  # ids (id) -> a written table (id, text) of at least those
+    sets: Sets
+    percent: int
+    passing: bool = True  # whether what fetch writes is for one use
+
+    def _compared(self, pairs: DataFrame, compare: Callable, schema: str, name: str) -> DataFrame:
+        """compare over (a, b, ta, tb), each task's rows by a where the join sorts; a written table."""
+        ids = settle(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+        texts = self.fetch(ids)
+        joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        joined = joined.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+        out = settle(joined.mapInPandas(compare, schema), name)
+        discard(ids, *[texts] * self.passing)
+        return out
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link, a written table."""
+        sets, percent = self.sets, self.percent
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            last, sa = None, None
+            for batch in batches:
+                hold = []
+                for a, ta, tb in zip(batch["a"], batch["ta"], batch["tb"], strict=True):
+                    if a != last:
+                        last, sa = a, sets.of(ta)
+                    sb = sets.of(tb)
+                    both = sets.common(sa, sb) if 100 * min(len(sa), len(sb)) >= percent * max(len(sa), len(sb)) else 0
+                    hold.append(both > 0 and 100 * both >= percent * (len(sa) + len(sb) - both))
+                yield batch.loc[hold, ["a", "b"]]
+
+        return self._compared(pairs, run, "a long, b long", "links")
+
+    def differences(self, pairs: DataFrame, frequent=None) -> DataFrame:
+        """For pairs (a: centre, b: text): id, centre, n (size of its set), m (of its difference), linked, near and prefix, a written table.
+
+        prefix has as many tokens of the difference as a partner can lack, and one more: first
+        what the text adds, by rarity (frequent: a broadcast of keys and counts), then what it lacks.
+        """
+        sets, percent = self.sets, self.percent
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            last, sa = None, None
+            keys, counts = frequent.value if frequent is not None else (np.empty(0, np.int64), np.empty(0, np.int64))
+            for batch in batches:
+                rows = []
+                for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"], strict=True):
+                    if a != last:
+                        last, sa = a, sets.of(ta)
+                    sb = sets.of(tb)
+                    added, removed = sets.difference(sa, sb)
+                    both, union = len(sb) - len(added), len(sa) + len(added)
+                    near = 100 * both >= NEAR * union
+                    prefix = np.empty(0, np.int64)
+                    if near:
+                        often = np.zeros(len(added), np.int64)
+                        if len(keys) and len(added):
+                            at = np.minimum(np.searchsorted(keys, added), len(keys) - 1)
+                            often = np.where(keys[at] == added, counts[at], 0)
+                        prefix = np.concatenate((added[np.lexsort((added, often))], ~np.sort(removed)))[: len(sb) * (100 - percent) // percent + 1]
+                    rows.append((b, a, len(sb), len(added) + len(removed), both > 0 and 100 * both >= percent * union, near, prefix))
+                yield pd.DataFrame(rows, columns=["id", "centre", "n", "m", "linked", "near", "prefix"])
+
+        return self._compared(pairs, run, "id long, centre long, n long, m long, linked boolean, near boolean, prefix array<long>", "diffs")
 
 
 def _row(entries: DataFrame, *first: str):
@@ -30,98 +109,101 @@ def _row(entries: DataFrame, *first: str):
     return F.struct(*first, *[c for c in entries.columns if c not in ("token", *first)])
 
 
-def star_pairs(entries: DataFrame, centre: str, admit: str) -> DataFrame:
-    """(a, b): a the centre of a token, which has the smallest (centre column, id), b each other id that admit lets through."""
-    first = entries.groupBy("token").agg(F.min(_row(entries, centre, "id")).alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+def star_pairs(entries: DataFrame, rank: str, admit: str) -> DataFrame:
+    """(a, b): a the centre of a token, which has the smallest (rank column, id), b each other id that admit lets through."""
+    first = entries.groupBy("token").agg(F.min(_row(entries, rank, "id")).alias("a"))
     joined = entries.select("token", _row(entries, "id").alias("b")).join(first, "token")
     return joined.where("a.id <> b.id").where(admit).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
 def open_entries(entries: DataFrame, comp: DataFrame) -> DataFrame:
-    """Entries of tokens that lie in several components, with comp and the token's largest one as main."""
+    """Entries of tokens that lie in several components, with comp and the token's largest one as main; a written table."""
     e = entries.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     sizes = e.groupBy("token", "comp").agg(F.count("*").alias("n"))
     top = sizes.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("k")).where("k > 1")
     return settle(e.join(top.select("token", F.col("top.comp").alias("main")), "token"), "open")
 
 
-def cross_pairs(e: DataFrame, early: str, admit: str, sketched: str) -> DataFrame:
-    """(a, b), a < b, of one token and different components.
+def centres(e: DataFrame, rank: str) -> DataFrame:
+    """(a, b): for each id b of open entries the centre of the component that most of its tokens have as main.
 
-    e: open entries with n and pos. early: the condition on an entry to lie in the first part of its
-    prefix that a partner of at least its size must share; so one side of a pair is an early entry
-    of the smaller set, and the frequent ends of prefixes meet rare beginnings only. admit and
-    sketched: conditions on structs a and b.
+    A component's centre is what has the smallest (rank, id) of it in most tokens.
     """
-    cols = [c for c in e.columns if c not in ("token", "main")]
-    row = F.struct(*cols)
+    first = e.where("comp = main").groupBy("token", "main").agg(F.min(F.struct(rank, "id")).alias("x"))
+    hub = first.groupBy("main", "x.id").agg(F.count("*").alias("n")).groupBy("main").agg(F.max(F.struct("n", "id")).alias("h"))
+    votes = e.groupBy("id", "main").agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", "main")).alias("v"))
+    return votes.select(F.col("id").alias("b"), F.col("v.main").alias("main")).join(hub, "main").select(F.col("h.id").alias("a"), "b")
+
+
+def near_pairs(diffs: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: all that may link of texts near the same centre and in different components.
+
+    The first token that two differences share comes after places p and q with p + q at most the
+    symmetric difference allowed, so one of the two has it early; and of two texts that are both
+    linked to the centre nothing is asked.
+    """
+    near = diffs.where("near").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    lone = settle(near.where("not linked").select("centre").distinct(), "lone")
+    e = near.join(lone, "centre", "left_semi").select("centre", "id", "n", "m", "linked", "comp", F.posexplode("prefix").alias("pos", "token"))
+    early = f"{2 * percent} * pos <= {100 - percent} * n"
+    row = F.struct("id", "n", "m", "linked", "comp", "pos")
+    side = lambda part, name: part.select("centre", "token", row.alias(name))
     first = e.where(early)
-    outside = "comp <> main"
-    one = first.where(outside).select("token", row.alias("a")).join(e.select("token", row.alias("b")), "token")
-    two = first.where(f"not ({outside})").select("token", row.alias("a")).join(e.where(outside).select("token", row.alias("b")), "token")
-    rule = f"a.comp <> b.comp and (a.n < b.n or a.n = b.n and a.id < b.id) and ({admit}) and ({sketched})"
+    one = side(first.where("not linked"), "a").join(side(e, "b"), ["centre", "token"])
+    two = side(e.where(f"not linked and not ({early})"), "a").join(side(first.where("linked"), "b"), ["centre", "token"])
+    allowed = f"floor({100 - percent} * (a.n + b.n) / {100 + percent})"
+    needed = f"ceil((a.m + b.m - {allowed}) / 2)"
+    rule = f"a.id <> b.id and a.comp <> b.comp and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) and least(a.m - a.pos, b.m - b.pos) >= {needed} and a.pos + b.pos <= {allowed}"
     pair = lambda j: j.where(rule).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
     return pair(one).union(pair(two)).distinct()
 
 
-def bucket_pairs(e: DataFrame) -> DataFrame:
-    """(a, b), a < b, of one token and different components: open entries (token, id, comp, main)."""
-    row = F.struct("id", "comp")
-    left = e.where("comp <> main").select("token", row.alias("a"))
-    both = left.join(e.select("token", row.alias("b"), "main"), "token").where("a.comp <> b.comp and (b.comp = main or a.id < b.id)")
+def far_pairs(e: DataFrame, near: DataFrame, early: str, admit: str) -> DataFrame:
+    """(a, b), a < b, of one token, in different components and not near the same centre; near: (id, centre).
+
+    early: the condition on an entry to lie in the first part of its prefix that a partner of at
+    least its size must share, so that one side of a pair is an early entry of the smaller set.
+    """
+    e = e.drop("main").join(near, "id", "left").withColumn("kin", F.struct(F.col("centre").isNotNull().alias("near"), F.coalesce("centre", "comp").alias("of"))).drop("centre")
+    sizes = e.groupBy("token", "kin").agg(F.count("*").alias("k"))
+    top = sizes.groupBy("token").agg(F.max(F.struct("k", "kin")).alias("top"), F.count("*").alias("k")).where("k > 1").select("token", F.col("top.kin").alias("most"))
+    e = settle(e.join(top, "token"), "far")
+    row = F.struct(*[c for c in e.columns if c not in ("token", "most")])
+    side = lambda part, name: part.select("token", row.alias(name))
+    first = e.where(early)
+    rule = f"a.comp <> b.comp and a.kin <> b.kin and ({admit})"
+    one = side(first.where("kin <> most"), "a").join(side(e, "b"), "token")
+    if early == "true":  # then a token's main kin only has to be on one side
+        both = one.where(rule)
+    else:
+        two = side(first.where("kin = most"), "a").join(side(e.where("kin <> most"), "b"), "token")
+        both = one.union(two).where(f"{rule} and (a.n < b.n or a.n = b.n and a.id < b.id)")
     return both.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
-def stars(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], admit: str = "true", admit_place: str = "true", centre: str = "id", more: DataFrame | None = None, expand: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(links, tried): links found by STARS rounds of stars, and all pairs tried (a < b); see link."""
-    pairs = star_pairs(entries, centre, f"({admit}) and ({admit_place})")
-    pairs = settle(pairs if more is None else pairs.union(more).distinct(), "pairs")
-    links = settle(verify(pairs), "links")
-    ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = ordered(pairs)
-    if expand is not None:
-        entries = entries.withColumnRenamed("id", "group").join(expand, "group").drop("group")
-    for _ in range(STARS - 1):
-        rest = open_entries(entries, settle(components(links), "comp"))
-        outside = rest.where("comp <> main")
-        pairs = star_pairs(outside.drop("main"), centre, f"a.comp <> b.comp and ({admit}) and ({admit_place})")
-        hub = rest.where("comp = main").groupBy("token").agg(F.min(_row(rest.drop("main"), centre, "id")).alias("a"))
-        to_main = outside.select("token", _row(outside.drop("main"), "id").alias("b")).join(hub, "token").where(admit).where(admit_place)
-        pairs = pairs.union(to_main.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))).distinct()
-        pairs = pairs.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).join(tried.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti").select("a", "b")
-        pairs = settle(pairs, "pairs")
-        discard(rest)
-        links = links.union(settle(verify(pairs), "links"))
-        tried = tried.union(ordered(pairs))
-    return links, tried
-
-
-def link(
-    entries: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
-    admit: str = "true",
-    admit_place: str = "true",
-    centre: str = "id",
-    early: str = "true",
-    more: DataFrame | None = None,
-    expand: DataFrame | None = None,
-    sketched: str = "true",
-) -> DataFrame:
-    """Links (a, b) that span the components of the relation verify decides.
-
-    entries: (token, id, ...), one row each; verify: pairs (a, b) to those that hold; admit and
-    admit_place: conditions on the structs a and b of two entries of a token, of which the second
-    may depend on the token's place; early and sketched: see cross_pairs; more: further pairs for the first round; expand:
-    (group, id) if an entry's id stands for a group of ids: later rounds then see every member.
+def link(entries: DataFrame, texts: Texts, rank: str, admit: str = "true", early: str = "true", star_admit: str = "true", more: DataFrame | None = None, expand: DataFrame | None = None, grouped: DataFrame | None = None, frequent=None) -> DataFrame:
+    """Links (a, b) that span the components of texts of which two share a token.
+
+    entries: (token, id, ...), one row each; rank: the column by which a centre is chosen; admit
+    and star_admit: conditions on the structs a and b of two entries of a token, the latter for
+    stars; early: see far_pairs; more: further pairs for the stars; expand: (group, id) if an
+    entry's id stands for a group of ids: what follows the stars sees every member, and as
+    grouped further entries that members of a group share; frequent: see Texts.differences.
     """
-    links, tried = stars(entries, verify, admit, admit_place, centre, more, expand)
-    if expand is not None:
-        entries = entries.withColumnRenamed("id", "group").join(expand, "group").drop("group")
+    pairs = star_pairs(entries, rank, star_admit)
+    pairs = settle(pairs if more is None else pairs.union(more).distinct(), "pairs")
+    links = texts.verify(pairs)
     comp = settle(components(links), "comp")
-    pairs = cross_pairs(open_entries(entries, comp), early, admit, sketched)
     if expand is not None:
-        inside = expand.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        other = inside.select("group", F.col("id").alias("b"), F.col("comp").alias("other"))
-        pairs = pairs.union(inside.join(other, "group").where("id < b and comp <> other").select(F.col("id").alias("a"), "b")).distinct()
-    pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    return links.union(settle(verify(pairs), "links")) if pairs.limit(1).count() else links
+        entries = entries.withColumnRenamed("id", "group").join(expand, "group").select(*entries.columns).unionByName(grouped)
+    rest = open_entries(entries, comp)
+    diffs = texts.differences(settle(centres(rest, rank).where("a <> b"), "centres"), frequent)
+    links = links.union(diffs.where("linked").select(F.col("centre").alias("a"), F.col("id").alias("b")))
+    # a centre is near itself
+    kin = diffs.where("near").select("id", "centre")
+    kin = kin.union(diffs.select(F.col("centre").alias("id"), "centre").distinct().join(kin.select("id"), "id", "left_anti"))
+    found = near_pairs(diffs, comp, texts.percent).union(far_pairs(rest, kin, early, admit))
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    last = settle(found.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    discard(rest, pairs)
+    return links.union(texts.verify(last)) if last.limit(1).count() else links

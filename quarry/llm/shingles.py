@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Protocol
+
 import numpy as np
+import xxhash
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BI = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -53,3 +57,48 @@ def shingle_hashes(text: str | None, n: int) -> np.ndarray:
     for i in range(k):
         out = mix(out * np.uint64(3) + words[i : len(words) - k + 1 + i] + np.uint64(i + 1))
     return np.unique(out + np.uint64(k))
+
+
+class Sets(Protocol):
+    """How the set of a text is made, and two of them compared."""
+
+    def of(self, text: str): ...
+
+    def common(self, x, y) -> int: ...
+
+    def difference(self, x, y) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit tokens of what y has and x lacks, and of what x has and y lacks."""
+        ...
+
+
+@dataclass(frozen=True)
+class WordShingles:
+    """Word shingles as 64-bit hashes: two different ones of n shingles collide with odds of about n * n / 2**65."""
+
+    n: int
+
+    def of(self, text: str | None) -> np.ndarray:
+        return shingle_hashes(text, self.n)
+
+    def common(self, x: np.ndarray, y: np.ndarray) -> int:
+        return len(np.intersect1d(x, y, assume_unique=True))
+
+    def difference(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.setdiff1d(y, x, assume_unique=True).view(np.int64), np.setdiff1d(x, y, assume_unique=True).view(np.int64)
+
+
+@dataclass(frozen=True)
+class CharShingles:
+    """Distinct substrings of k characters; a shorter text is one shingle."""
+
+    k: int
+
+    def of(self, text: str) -> set[str]:
+        return {text[i : i + self.k] for i in range(max(1, len(text) - self.k + 1))}
+
+    def common(self, x: set[str], y: set[str]) -> int:
+        return len(x & y)
+
+    def difference(self, x: set[str], y: set[str]) -> tuple[np.ndarray, np.ndarray]:
+        tokens = lambda s: np.array([xxhash.xxh3_64_intdigest(c.encode("utf-8", "surrogatepass")) for c in s], np.uint64).view(np.int64)
+        return tokens(y - x), tokens(x - y)

@@ -8,7 +8,8 @@ import pytest
 
 from quarry.llm.decontaminate import contamination, with_hits
 from quarry.llm.jaccard_join import jaccard_groups
-from quarry.llm.line_dedup import char_shingles, dedup_lines, drop_duplicate_lines, normal
+from quarry.llm.line_dedup import dedup_lines, drop_duplicate_lines, normal
+from quarry.llm.shingles import CharShingles
 
 
 def prose(seed, n):
@@ -77,7 +78,7 @@ def test_line_classes_match_brute_force(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, line_no int")
     places = [(i, n, normal(x)) for i, t in docs if t for n, x in enumerate(t.split("\n")) if normal(x)]
     parent = {p[:2]: p[:2] for p in places}
-    sets = {p[:2]: char_shingles(p[2]) for p in places}
+    sets = {p[:2]: CharShingles(8).of(p[2]) for p in places}
     for a in parent:
         for b in parent:
             if a < b:
