@@ -15,16 +15,21 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 24 << 20
 
 
-#: Rows that go to a Python worker at once: texts can be long, and a worker holds a batch several times over.
-BATCH_ROWS = 1000
+#: Rows and bytes that go to a Python worker at once: texts can be long, and a worker holds a batch several times over.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def bound_batches(df: DataFrame) -> None:
-    """Keep the Arrow batches of this session to BATCH_ROWS rows at most."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """Keep the Arrow batches of this session to BATCH_ROWS rows and about BATCH_BYTES at most.
+
+    Frames are run after the operator has returned, so the session keeps the setting.
+    """
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = conf.get(key).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
 
 
 def work_dir(spark: SparkSession) -> str:
