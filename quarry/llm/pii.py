@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, free_name, scratch, settle
 
 # Titles and given names by gender, in the scripts that are told apart.
 TITLES = {
@@ -23,31 +23,48 @@ SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ha ka ke la le lo ma me mo
 
 _ANY = "[\\p{L}\\p{N}]"
 _OCTET = "(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)"
-_NAME = "\\p{Lu}\\p{Ll}+(?:-\\p{Lu}\\p{Ll}+)?"
-_TITLE = "(?:" + "|".join(t for g in TITLES.values() for t in g) + ")"
-_GIVEN = "(?:" + "|".join(n for g in GIVEN.values() for n in g) + ")"
-#: kind -> pattern; earlier kinds win where two begin at one place.
+_HEX4 = "[0-9A-Fa-f]{1,4}"
+#: A capitalised word, perhaps of several parts (O'Neil, Anna-Maria).
+_NAME = "\\p{Lu}(?:\\p{L}++|['’]\\p{Lu}\\p{L}++)(?:['’-]\\p{Lu}\\p{L}++){0,3}"
+
+
+def _listed(words: list[str]) -> str:
+    """A pattern of words as they are or in upper case."""
+    return "(?:" + "|".join(dict.fromkeys(x for w in words for x in (w, w.upper()))) + ")"
+
+
+_TITLE = _listed([t for g in TITLES.values() for t in g])
+_GIVEN = _listed([n for g in GIVEN.values() for n in g])
+#: What stands before a name or a credential and says so.
+_NAMED = "(?<=(?:[Nn]ame|NAME|[Cc]ontact|[Aa]uthor|[Ss]igned|[Pp]atient|[Cc]ustomer): |[Nn]ame is |[Ss]incerely, |[Rr]egards, |[Ss]igned by )"
+_KEYED = "(?<=(?:password|passwd|token|secret|api_key|apikey)(?: ?[=:] ?)[\"']?)"
+#: kind -> pattern; earlier kinds win where two begin at one place. Nothing recurses without
+#: bound in Java's matcher: repeated groups have an upper limit, other repeats are of one class.
 PATTERNS = {
-    "email": "(?<![\\p{L}\\p{N}._%+-])[\\p{L}\\p{N}][\\p{L}\\p{N}._%+-]*+@[\\p{L}\\p{N}-]+(?:\\.[\\p{L}\\p{N}-]+)*\\.\\p{L}{2,}",
+    "email": "(?<![\\p{L}\\p{N}._%+-])[\\p{L}\\p{N}][\\p{L}\\p{N}._%+-]*+@[\\p{L}\\p{N}-]++(?:\\.[\\p{L}\\p{N}-]{1,63}){0,125}\\.\\p{L}{2,63}",
     "ip": f"(?<![\\p{{N}}.])(?:{_OCTET}\\.){{3}}{_OCTET}(?!\\p{{N}}|\\.\\p{{N}})",
+    "ipv6": f"(?<![\\p{{L}}\\p{{N}}:.])(?:(?:{_HEX4}:){{7}}{_HEX4}|(?:{_HEX4}:){{1,6}}(?::{_HEX4}){{1,6}})(?![\\p{{L}}\\p{{N}}:])",
     "ssn": "(?<![\\p{N}-])\\d{3}-\\d{2}-\\d{4}(?![\\p{N}-])",
+    "iban": f"(?<!{_ANY})[A-Z]{{2}}\\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{_ANY})",
     "card": f"(?<!{_ANY})\\d{{4}}(?:[ -]\\d{{4}}){{3}}(?!{_ANY})|(?<!{_ANY})\\d{{13,19}}(?!{_ANY})",
-    "phone": "(?<![\\p{L}\\p{N}+])\\+\\d{1,3}[ .-]?(?:\\(\\d{1,4}\\)|\\d{1,4})(?:[ .-]?\\d{2,4}){2,4}(?!\\d)|(?<!\\d)\\(\\d{3}\\) ?\\d{3}[ .-]\\d{4}(?!\\d)|(?<![\\d.-])\\d{3}[.-]\\d{3}[.-]\\d{4}(?![\\d-])",
-    "secret": f"(?<!{_ANY})(?=[a-fA-F]*\\d)(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}})(?!{_ANY})",
-    "person": f"(?<!{_ANY}){_TITLE}\\.? (?:{_NAME} )?{_NAME}(?!\\p{{L}})|(?<!{_ANY}){_GIVEN} {_NAME}(?!\\p{{L}})",
+    "phone": "(?<![\\p{L}\\p{N}+])\\+\\d{1,3}[ .-]?(?:\\(\\d{1,4}\\)|\\d{1,4})(?:[ .-]?\\d{2,4}){2,4}(?!\\d)|(?<!\\d)\\(\\d{3}\\) ?\\d{3}[ .-]\\d{4}(?!\\d)|(?<![\\d.-])\\d{3}[.-]\\d{3}[.-]\\d{4}(?![\\d-])|(?<![\\p{L}\\p{N}.-])0\\d{2,4}[ -]\\d{3,4}[ -]\\d{3,4}(?![\\d-])",
+    "secret": f"(?<!{_ANY})(?=[a-fA-F]*+\\d)(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}})(?!{_ANY})",
+    "credential": f"{_KEYED}[A-Za-z0-9+/_=-]{{8,256}}",
+    "person": f"(?<!{_ANY}){_TITLE}\\.? (?:{_NAME} )?{_NAME}(?!\\p{{L}})|(?<!{_ANY}){_GIVEN}(?:-{_NAME})? {_NAME}(?!\\p{{L}})|{_NAMED}{_NAME} {_NAME}(?!\\p{{L}})",
 }
 #: A cheap look at the next character before a pattern is tried.
-_FIRST = {"email": "", "ip": "(?=\\d)", "ssn": "(?=\\d)", "card": "(?=\\d)", "phone": "(?=[\\d+(])", "secret": "(?=[\\da-fA-F])", "person": "(?=[\\p{Lu}г])"}
+_FIRST = {"email": "", "ip": "(?=\\d)", "ipv6": "(?=[\\da-fA-F])", "ssn": "(?=\\d)", "iban": "(?=[A-Z])", "card": "(?=\\d)", "phone": "(?=[\\d+(])", "secret": "(?=[\\da-fA-F])", "credential": "(?=[A-Za-z0-9+/_=-])", "person": "(?=[\\p{Lu}г])"}
 DETECT = "|".join(f"(?:{_FIRST[k]}(?:{p}))" for k, p in PATTERNS.items())
 #: Entities of documents that are broadcast (about 100 bytes each); more are joined by a shuffle.
-MAP_ENTRIES = 500_000
+MAP_ENTRIES = 200_000
 #: Attempts at a surrogate that nothing else has.
 ATTEMPTS = 40
 
 
 def kind_of(m: Column) -> Column:
-    out = F.lit("person")
-    for kind, p in reversed(list(PATTERNS.items())[:-1]):
+    """The kind of a match, by its own form: a credential is what has no space and is nothing else."""
+    out = F.when(m.contains(" "), "person").otherwise("credential")
+    for kind, p in reversed(list(PATTERNS.items())[:-2]):
         out = F.when(m.rlike(f"^(?:{p})$"), kind).otherwise(out)
     return out
 
@@ -61,25 +78,37 @@ def gender_of(m: Column) -> Column:
     out = F.lit("n")
     for g in ("m", "f"):
         names = "|".join(n for (gender, _), v in GIVEN.items() if gender == g for n in v)
-        out = F.when(m.rlike(f"(?:^| )(?:{names}) "), g).otherwise(out)
+        out = F.when(F.initcap(m).rlike(f"(?:^| )(?:{names})[ -]"), g).otherwise(out)
     for g in ("m", "f"):
-        out = F.when(m.rlike(f"^(?:{'|'.join(TITLES[g])})\\.? "), g).otherwise(out)
+        out = F.when(m.rlike(f"^{_listed(TITLES[g])}\\.? "), g).otherwise(out)
     return out
 
 
+def name_parts(m: Column) -> Column:
+    """A person's words after the title, and what stands between them: array of (kind, value, text).
+
+    Names of several parts (Anna-Maria, O'Neil) are cut at apostrophes and hyphens; single
+    letters and separators have no kind. Values are capitalised, so that JOHN SMITH is John Smith.
+    """
+    gender = gender_of(m)
+    rest = F.regexp_replace(m, f"^{_TITLE}\\.? ", "")
+    pieces = F.regexp_extract_all(rest, F.lit("[^ '’-]+|[ '’-]"), F.lit(0))
+    last = F.size(F.split(F.substring_index(rest, " ", -1), "(?<=['’-])|(?=['’-])"))
+
+    def part(text: Column, i: Column) -> Column:
+        surname = i >= F.size(pieces) - last
+        kind = F.when(F.length(text) > 1, F.when(surname, F.concat(F.lit("surname-"), script_of(text))).otherwise(F.concat(F.lit("given-"), gender, F.lit("-"), script_of(text))))
+        return F.struct(kind.alias("kind"), F.initcap(F.lower(text)).alias("value"), text.alias("text"))
+
+    return F.transform(pieces, part)
+
+
 def parts_of(m: Column) -> Column:
-    """The entities of a match: array of (kind, value). A person has a surname and perhaps a given name, each an entity of its own, so that later mentions of either agree."""
+    """The entities of a match: array of (kind, value). Each part of a person's name is an entity of its own, so that later mentions of it agree."""
     kind = kind_of(m)
-    digits = F.regexp_replace(m, "\\D", "")
-    names = F.filter(F.split(F.regexp_replace(m, f"^{_TITLE}\\.? ", ""), " "), lambda x: x != "")
-    surname = F.element_at(names, -1)
-    given = F.element_at(names, 1)
-    pair = lambda k, v: F.struct(k.alias("kind"), v.alias("value"))
-    last = F.concat(F.lit("surname-"), script_of(surname))
-    first = F.concat(F.lit("given-"), gender_of(m), F.lit("-"), script_of(given))
-    person = F.when(F.size(names) > 1, F.array(pair(first, given), pair(last, surname))).otherwise(F.array(pair(last, surname)))
-    value = F.when(kind.isin("email", "secret"), F.lower(m)).when(kind.isin("phone", "card", "ssn"), digits).otherwise(m)
-    return F.when(kind == "person", person).otherwise(F.array(pair(kind, value)))
+    person = F.transform(F.filter(name_parts(m), lambda p: p.kind.isNotNull()), lambda p: F.struct(p.kind.alias("kind"), p.value.alias("value")))
+    value = F.when(kind.isin("email", "secret", "ipv6"), F.lower(m)).when(kind.isin("phone", "card", "ssn"), F.regexp_replace(m, "\\D", "")).when(kind == "iban", F.replace(m, F.lit(" "), F.lit(""))).otherwise(m)
+    return F.when(kind == "person", person).otherwise(F.array(F.struct(kind.alias("kind"), value.alias("value"))))
 
 
 def _random(seed: Column, key: str) -> Column:
@@ -105,6 +134,23 @@ def _shaped(value: Column, random: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), char), "")
 
 
+def _like(text: Column, m: Column) -> Column:
+    """text, of m's length, with capitals where m has them."""
+    return F.array_join(F.zip_with(F.split(text, ""), F.split(m, ""), lambda x, c: F.when((c == F.upper(c)) & (c != F.lower(c)), F.upper(x)).otherwise(x)), "")
+
+
+def _hexed(value: Column, random: Column) -> Column:
+    """value with each hex digit replaced by another."""
+    char = lambda c, i: F.when(c.rlike("[0-9a-f]"), F.substring(random, i % 250 + 1, F.lit(1))).otherwise(c)
+    return F.array_join(F.transform(F.split(value, ""), char), "")
+
+
+def _mod97(text: Column) -> Column:
+    """The number that a string of digits and capital letters (A is 10) stands for, modulo 97."""
+    letter = lambda c: F.ascii(c) - 55
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: F.when(c == "", a).when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + letter(c)) % 97))
+
+
 def _luhn(digits: Column) -> Column:
     """The Luhn sum of a string of digits, the last one not doubled."""
     d = F.transform(F.reverse(F.split(digits, "")), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)))
@@ -135,7 +181,12 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     card = F.concat(body, F.when(_luhn(value) % 10 == 0, closing).otherwise(_shaped(F.substring(value, n, F.lit(1)), F.substring(r, 101, 100))))
     ip = F.concat_ws(".", *[(_byte(r, F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
     hexes = F.substring(r, F.lit(1), n)
-    out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "secret", hexes)
+    # an account number keeps its country, and passes its check if it did
+    country, account = F.substring(value, 1, 2), F.upper(_shaped(F.substring(value, F.lit(5), n), r))
+    check = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+    valid = _mod97(F.concat(F.substring(value, F.lit(5), n), F.substring(value, 1, 4))) == 1
+    iban = F.concat(country, F.when(valid, check).otherwise(_shaped(F.substring(value, 3, 2), F.substring(r, 201, 50))), account)
+    out = F.when(kind == "email", email).when(kind == "ipv6", _hexed(value, r)).when(kind == "iban", iban).when(kind == "credential", _like(_shaped(value, r), value)).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "secret", hexes)
     made = {}
     for script, s in SYLLABLES.items():
         made[script] = F.array_join(F.transform(F.sequence(F.lit(0), 2 + F.floor(attempt / 4).cast("int")), _syllable(r, s)), "")
@@ -165,59 +216,67 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
             taken = taken.union(done.select("kind", "surrogate"))
         free = tried.join(taken.distinct(), ["kind", "surrogate"], "left_anti")
         good = free.groupBy("kind", "surrogate").agg(F.min("value").alias("value")).select("kind", "value", "surrogate")
-        done = settle(good if done is None else done.unionByName(good), "done")
+        before, done = done, settle(good if done is None else done.unionByName(good), "done")
+        discard(tried, *[before] if before is not None else ())
         open_ = known.join(done, ["kind", "value"], "left_anti")
         if not open_.limit(1).count():
             return done
     raise RuntimeError("entities without a free surrogate remain; raise ATTEMPTS")
 
 
-def _refill(m: Column, digits: Column) -> Column:
-    """m with its digits replaced by digits, in order."""
+def _refill(m: Column, made: Column, pattern: str) -> Column:
+    """m with its characters of a pattern replaced by those of made, in order."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
-    step = lambda a, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(a.out, F.substring(digits, a.k, F.lit(1))).alias("out"), (a.k + 1).alias("k"))).otherwise(F.struct(F.concat(a.out, c).alias("out"), a.k.alias("k")))
+    step = lambda a, c: F.when(c.rlike(pattern), F.struct(F.concat(a.out, F.substring(made, a.k, F.lit(1))).alias("out"), (a.k + 1).alias("k"))).otherwise(F.struct(F.concat(a.out, c).alias("out"), a.k.alias("k")))
     return F.aggregate(F.split(m, ""), start, step, lambda a: a.out)
 
 
 def _replaced(m: Column, table: Column) -> Column:
     """A match rewritten with the surrogates of its parts; table: map from 'kind:value'."""
-    parts = parts_of(m)
-    got = F.transform(parts, lambda p: F.element_at(table, F.concat_ws(":", p.kind, p.value)))
-    first = F.element_at(got, 1)
+    of = lambda p: F.element_at(table, F.concat_ws(":", p.kind, p.value))
+    first = of(F.element_at(parts_of(m), 1))
     kind = kind_of(m)
-    cased = F.when((m == F.upper(m)) & (m != F.lower(m)), F.upper(first)).otherwise(first)
     title = F.regexp_extract(m, f"^({_TITLE}\\.? )", 1)
-    return F.when(kind.isin("email", "secret"), cased).when(kind.isin("phone", "card", "ssn"), _refill(m, first)).when(kind == "person", F.concat(title, F.array_join(got, " "))).otherwise(first)
+    named = F.transform(name_parts(m), lambda p: F.when(p.kind.isNull(), p.text).when(p.text == F.upper(p.text), F.upper(of(p))).otherwise(of(p)))
+    out = F.when(kind == "person", F.concat(title, F.array_join(named, ""))).when(kind.isin("email", "secret", "ipv6"), _like(first, m))
+    return out.when(kind.isin("phone", "card", "ssn"), _refill(m, first, "[0-9]")).when(kind == "iban", _refill(m, first, "[0-9A-Z]")).otherwise(first)
 
 
 def with_surrogates(docs: DataFrame, key: str, key_col: str = "doc_id", text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
-    """docs with each detected entity of text_col replaced, and the number replaced in count_col.
-
-    Kinds: email, IPv4, social security, card and phone numbers, hex secrets, and persons (a
-    title or a listed given name before a capitalised name). An entity has one surrogate in the
-    whole table, whatever its letter case or separators; two entities of a kind have different
-    ones. Surrogates keep kind, length and separators, a name its gender and script. Text
-    outside matches is not touched. Null stays null, with 0 entities; texts of any length are
-    read whole; rows may repeat a key or have none. Other columns pass through.
+    """docs with each detected entity of text_col replaced, and the number replaced in count_col (which takes the place of a column of that name).
+
+    Kinds: email, IPv4 and IPv6 addresses, social security, account (IBAN), card and phone
+    numbers, hex secrets, credentials (after password=, token: and the like), and persons (a
+    title, a listed given name, or a cue such as 'name is' before capitalised names). An entity
+    has one surrogate in the whole table, whatever its letter case or separators; two entities
+    of a kind have different ones. Surrogates keep kind, length, separators and the place of
+    capitals, a name its gender, script and parts. Text outside matches is not touched.
+
+    Null stays null, with 0 entities; texts of any length are read whole; rows may repeat a key;
+    rows without a key are told apart by their text, so they are spread over all tasks. Other
+    columns pass through, whatever their names. No rows: no rows.
     """
-    key_text = F.coalesce(F.col(key_col).cast("string"), F.lit("null"))
+    key_text = F.coalesce(F.col(key_col).cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce(text_col, F.lit("")), 256)))
+    rowkey, held, matches = (free_name(n, docs) for n in ("__key", "__map", "__found"))
     found = F.regexp_extract_all(text_col, F.lit(DETECT), F.lit(0))
-    # one pass finds the entities; the second only reads documents that have some
-    marked = docs.select(key_text.alias("__key"), F.array_distinct(found).alias("__found")).where("size(__found) > 0")
-    seen = marked.select("__key", F.explode("__found").alias("m")).select("__key", F.explode(parts_of(F.col("m"))).alias("e")).select("__key", "e.kind", "e.value")
-    seen = settle(seen.distinct(), "seen")
-    table = surrogate_table(seen.select("kind", "value"), key)
-    named = seen.join(table, ["kind", "value"]).groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "value"), "surrogate"))).alias("__map"))
-    named = settle(named, "named")
-    size = named.agg(F.sum(F.size("__map"))).first()[0] or 0
-    rows = docs.withColumn("__key", key_text).join(F.broadcast(named) if size <= MAP_ENTRIES else named, "__key", "left")
-    rows = rows.withColumn("__found", F.when(F.col("__map").isNotNull(), found))
+    with scratch():
+        # one pass finds the entities; the second only reads documents that have some
+        marked = docs.select(key_text.alias("key"), F.array_distinct(found).alias("found")).where("size(found) > 0")
+        seen = marked.select("key", F.explode("found").alias("m")).select("key", F.explode(parts_of(F.col("m"))).alias("e")).select("key", "e.kind", "e.value")
+        seen = settle(seen.distinct(), "seen")
+        table = surrogate_table(seen.select("kind", "value"), key)
+        named = seen.join(table, ["kind", "value"]).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "value"), "surrogate"))).alias("map"))
+        named = settle(named, "named", keep=True)
+    size = named.agg(F.sum(F.size("map"))).first()[0] or 0
+    named = named.select(F.col("key").alias(rowkey), F.col("map").alias(held))
+    rows = docs.join(F.broadcast(named) if size <= MAP_ENTRIES else named, key_text == F.col(rowkey), "left")
+    rows = rows.withColumn(matches, F.when(F.col(held).isNotNull(), found))
     pieces = F.split(F.col(text_col), DETECT, -1)
-    new = F.transform("__found", lambda m: _replaced(m, F.col("__map")))
+    new = F.transform(matches, lambda m: _replaced(m, F.col(held)))
     text = F.array_join(F.zip_with(pieces, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    text = F.when(F.col("__found").isNotNull(), text).otherwise(F.col(text_col))
-    keep = [c for c in docs.columns if c != count_col]
-    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in keep], F.coalesce(F.size("__found"), F.lit(0)).cast("long").alias(count_col))
+    text = F.when(F.col(matches).isNotNull(), text).otherwise(F.col(text_col))
+    keep = [c for c in docs.columns if c.lower() != count_col.lower()]
+    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in keep], F.coalesce(F.size(matches), F.lit(0)).cast("long").alias(count_col))
 
 
 def pseudonymise(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
