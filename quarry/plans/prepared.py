@@ -14,14 +14,11 @@ from .catalog import register, table
 
 # --- transforms --------------------------------------------------------------------------------------------------------
 
-_DAILY = "(SELECT CAST(ts AS DATE) AS d, event_type AS t, count(*) AS n, round(sum(value), 4) AS v FROM events WHERE user_id % 10 = 3 GROUP BY ALL)"
+_DAILY = "(SELECT CAST(ts AS DATE) AS d, event_type AS t, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY ALL)"
 
 
-_DAILY_ALL = "(SELECT CAST(ts AS DATE) AS d, event_type AS t, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY ALL)"
-
-
-def _daily(spark: SparkSession, sf_dir: str, users: str = "true") -> DataFrame:
-    e = table(spark, sf_dir, "events").where(users)
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
     return e.groupBy(F.col("ts").cast("date").alias("d"), F.col("event_type").alias("t")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("v"))
 
 
@@ -31,15 +28,6 @@ def _daily(spark: SparkSession, sf_dir: str, users: str = "true") -> DataFrame:
        SELECT days.d, days.t, coalesce(n, 0) AS n, coalesce(v, 0.0) AS v FROM days LEFT JOIN s USING (t, d)""",
 )
 def tf_fill_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transforms.fill_dates(_daily(spark, sf_dir, "user_id % 10 = 3"), "d", ["t"], 0)
-
-
-@register(
-    "tf_fill_dates_all",
-    f"""WITH s AS {_DAILY_ALL}, g AS (SELECT t, min(d) AS a, max(d) AS b FROM s GROUP BY t), days AS (SELECT t, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS d FROM g)
-       SELECT days.d, days.t, coalesce(n, 0) AS n, coalesce(v, 0.0) AS v FROM days LEFT JOIN s USING (t, d)""",
-)
-def tf_fill_dates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transforms.fill_dates(_daily(spark, sf_dir), "d", ["t"], 0)
 
 
@@ -99,15 +87,6 @@ def tf_top_n_others(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH s AS {_DAILY} SELECT s.d, s.t, s.n, s.n - p.n AS n_Diff, round((s.n - p.n) * 100.0 / p.n, 6) AS n_Pct FROM s LEFT JOIN s p ON p.t = s.t AND p.d = s.d - 1",
 )
 def tf_period_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = transforms.period_comparison(_daily(spark, sf_dir, "user_id % 10 = 3").select("d", "t", "n"), "d", "n", "DAY", ["t"])
-    return out.withColumn("n_Pct", F.round("n_Pct", 6))
-
-
-@register(
-    "tf_period_comparison_all",
-    f"WITH s AS {_DAILY_ALL} SELECT s.d, s.t, s.n, s.n - p.n AS n_Diff, round((s.n - p.n) * 100.0 / p.n, 6) AS n_Pct FROM s LEFT JOIN s p ON p.t = s.t AND p.d = s.d - 1",
-)
-def tf_period_comparison_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = transforms.period_comparison(_daily(spark, sf_dir).select("d", "t", "n"), "d", "n", "DAY", ["t"])
     return out.withColumn("n_Pct", F.round("n_Pct", 6))
 
@@ -465,7 +444,7 @@ def lang_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("lang_pivot", "PIVOT (SELECT o_orderpriority, o_orderstatus, o_orderkey FROM orders) ON o_orderstatus USING count(o_orderkey) GROUP BY o_orderpriority")
+@register("lang_pivot", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS F, count(*) FILTER (WHERE o_orderstatus = 'O') AS O, count(*) FILTER (WHERE o_orderstatus = 'P') AS P FROM orders GROUP BY o_orderpriority")
 def lang_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _session(spark, sf_dir, "orders").sql("PIVOT #orders ON o_orderstatus USING COUNT(o_orderkey) GROUP BY o_orderpriority").na.fill(0)
 

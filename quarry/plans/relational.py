@@ -107,28 +107,16 @@ for _name, _op, _how in (("backward", ">=", "inner"), ("backward_strict", ">", "
     _asof(_name, _op, _how)
 
 
-@register(
-    "fuzzy_join",
-    """SELECT p1.p_partkey AS lid, p2.p_partkey AS rid, round(jaro_winkler_similarity(lower(p1.p_name), lower(p2.p_name)), 6) AS score
-       FROM (SELECT * FROM part WHERE p_size = 1) p1 JOIN (SELECT * FROM part WHERE p_size = 2) p2 ON jaro_winkler_similarity(lower(p1.p_name), lower(p2.p_name)) > 0.8
-       WHERE EXISTS (SELECT 1 FROM range(1, 200) a(i), range(1, 200) b(j) WHERE i <= length(p1.p_name) AND j <= length(p2.p_name) AND substring(' ' || lower(p1.p_name) || ' ', i, 3) = substring(' ' || lower(p2.p_name) || ' ', j, 3))""",
-)
-def fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    out = joins.fuzzy_join(p.where("p_size = 1"), p.where("p_size = 2"), "p_name", "p_name", 0.8)
-    return out.select(F.col("p_partkey").alias("lid"), F.col("p_partkey_right").alias("rid"), F.round("__score", 6).alias("score"))
-
-
 # distinct names are compared, so that the SQL is not a comparison of all pairs of rows
 @register(
-    "fuzzy_join_all",
+    "fuzzy_join",
     """WITH names AS (SELECT DISTINCT p_name AS t FROM part WHERE length(p_name) > 0),
        grams AS (SELECT t, lower(substring(' ' || t || ' ', CAST(i AS BIGINT), 3)) AS g FROM (SELECT t, unnest(range(1, length(t) + 1)) AS i FROM names)),
        scored AS (SELECT a.t AS ta, b.t AS tb, jaro_winkler_similarity(lower(a.t), lower(b.t)) AS s FROM names a, names b
          WHERE jaro_winkler_similarity(lower(a.t), lower(b.t)) > 0.8 AND EXISTS (SELECT 1 FROM grams x JOIN grams y USING (g) WHERE x.t = a.t AND y.t = b.t))
        SELECT p1.p_partkey AS lid, p2.p_partkey AS rid, round(s, 6) AS score FROM part p1 JOIN scored ON p1.p_name = ta JOIN part p2 ON p2.p_name = tb""",
 )
-def fuzzy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     out = joins.fuzzy_join(p, p, "p_name", "p_name", 0.8)
     return out.select(F.col("p_partkey").alias("lid"), F.col("p_partkey_right").alias("rid"), F.round("__score", 6).alias("score"))
@@ -310,7 +298,7 @@ def pivot_static(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_returnflag", F.coalesce("F", F.lit(0)).alias("F"), F.coalesce("O", F.lit(0)).alias("O"))
 
 
-@register("pivot_dynamic", "PIVOT (SELECT o_orderstatus, o_orderpriority, o_orderkey FROM orders) ON o_orderstatus USING max(o_orderkey) GROUP BY o_orderpriority")
+@register("pivot_dynamic", "SELECT o_orderpriority, max(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS F, max(o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS O, max(o_orderkey) FILTER (WHERE o_orderstatus = 'P') AS P FROM orders GROUP BY o_orderpriority")
 def pivot_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.pivot(table(spark, sf_dir, "orders"), "o_orderstatus", {"top": F.max("o_orderkey")}, ["o_orderpriority"])
 
@@ -321,13 +309,8 @@ def unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.unpivot(o, ["o_custkey", "twice"], "k", "v")
 
 
-@register("unnest", "SELECT vec_id, unnest(embedding[1:3]) AS Value FROM embeddings")
+@register("unnest", "SELECT vec_id, unnest(embedding) AS Value FROM embeddings")
 def unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reshape.unnest(table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("e")), "e").select("vec_id", "Value")
-
-
-@register("unnest_all", "SELECT vec_id, unnest(embedding) AS Value FROM embeddings")
-def unnest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.unnest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding").select("vec_id", "Value")
 
 
