@@ -13,6 +13,8 @@ TEMPLATE = {
     "labels": {"system": "System", "user": "User", "assistant": "Assistant"},
     "loss": ["assistant"],
     "escapes": [("\\", "\\s"), ("###", "\\h"), ("</turn>", "\\t"), (": ", "\\c")],
+    # before a role spelled like a label; no escape yields it
+    "own": "\\r",
     "start": "start",
     "moves": {
         "start": {"system": "told", "user": "asked"},
@@ -62,7 +64,7 @@ def format_chats(conversations: DataFrame, template: dict = TEMPLATE) -> DataFra
     (text, loss): the head, the escaped text and the close of each turn in order; formatted
     is all of them joined. valid says whether the state machine accepts the order of roles;
     conversations it rejects are formatted all the same, roles without a label under their own
-    name. Rows with a null conv_id form one conversation. Other columns are ignored. A
+    name, with a mark before it if it is spelled like a label (User). Rows with a null conv_id form one conversation. Other columns are ignored. A
     conversation is one output row, so it is built by one task.
     """
     t = conversations.select("conv_id", F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("x"))
@@ -70,7 +72,8 @@ def format_chats(conversations: DataFrame, template: dict = TEMPLATE) -> DataFra
     before, after = template["open"].split("{role}")
 
     def segments(x: Column) -> Column:
-        label = _chain(x.role, template["labels"], escape(x.role, template, head=True))
+        own = F.when(x.role.isin(list(template["labels"].values())), F.lit(template["own"])).otherwise(F.lit(""))
+        label = _chain(x.role, template["labels"], F.concat(own, escape(x.role, template, head=True)))
         return F.array(
             F.struct(F.concat(F.lit(before), label, F.lit(after)).alias("text"), F.lit(False).alias("loss")),
             F.struct(escape(x.text, template).alias("text"), x.role.isin(template["loss"]).alias("loss")),
@@ -93,7 +96,8 @@ def parse_chats(formatted: Column, template: dict = TEMPLATE) -> Column:
         at = F.instr(p, after)
         label = F.substring(p, F.lit(len(before) + 1), at - 1 - len(before))
         names = {v: k for k, v in template["labels"].items()}
-        role = _chain(label, names, unescape(label, template, head=True))
+        other = F.when(F.startswith(label, F.lit(template["own"])), F.substring(label, F.lit(len(template["own"]) + 1), F.length(label))).otherwise(label)
+        role = _chain(label, names, unescape(other, template, head=True))
         text = F.substring(p, at + len(after), F.length(p))
         return F.struct(role.alias("role"), unescape(text, template).alias("text"), role.isin(template["loss"]).alias("loss"))
 

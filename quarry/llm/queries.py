@@ -102,7 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ESCAPED = "replace(replace(replace(text, '\\', '\\s'), '###', '\\h'), '</turn>', '\\t')"
-_LABEL = "CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE replace(replace(replace(replace(role, '\\', '\\s'), '###', '\\h'), '</turn>', '\\t'), ': ', '\\c') END"
+_LABEL = "CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE CASE WHEN role IN ('System', 'User', 'Assistant') THEN '\\r' ELSE '' END || replace(replace(replace(replace(role, '\\', '\\s'), '###', '\\h'), '</turn>', '\\t'), ': ', '\\c') END"
 
 #: DuckDB SQL for the operators whose results SQL can state.
 ORACLE_SQL: dict[str, str] = {
