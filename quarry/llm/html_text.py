@@ -152,11 +152,37 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
     return out
 
 
+def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): the suffixes of a sequence in order, and the tokens that each shares with the one before it.
+
+    Ranks by the first 1, 2, 4 ... tokens are refined until all differ; common prefixes are read
+    off the same ranks, from the longest down. The last token must occur nowhere else.
+    """
+    n = len(text)
+    levels = [np.unique(text, return_inverse=True)[1].astype(np.int32)]
+    while int(levels[-1].max(initial=-1)) + 1 < n:
+        rank, step = levels[-1].astype(np.int64), 1 << (len(levels) - 1)
+        after = np.full(n, -1, np.int64)
+        after[: max(0, n - step)] = rank[step:]
+        levels.append(np.unique(rank * (n + 1) + after + 1, return_inverse=True)[1].astype(np.int32))
+    order = np.argsort(levels[-1], kind="stable")
+    common = np.zeros(n, np.int64)
+    at, before = order[1:].copy(), order[:-1].copy()
+    for k in range(len(levels) - 1, -1, -1):
+        inside = np.flatnonzero((at < n) & (before < n))
+        same = inside[levels[k][at[inside]] == levels[k][before[inside]]]
+        for x in (at, before):
+            x[same] += 1 << k
+        common[same + 1] += 1 << k
+    return order, common
+
+
 def repeated(streams: list[np.ndarray], pages: list[int], run: int = RUN, least: int = PAGES) -> list[np.ndarray]:
-    """Which tokens of each stream lie in a run that `least` distinct pages share; pages: equal numbers are one page.
+    """Which tokens of each stream lie in a substring of `run` or more tokens that `least` distinct pages share; pages: equal numbers are one page.
 
-    The streams are joined with a separator of its own after each, and their suffixes sorted by
-    prefix doubling up to `run` tokens; neighbours of equal rank share at least `run` tokens.
+    The streams are concatenated with a separator of its own after each. Neighbours of the
+    suffix array that share `run` tokens or more form an interval; what lies in an interval
+    with suffixes of `least` pages is covered.
     """
     sizes = [len(s) for s in streams]
     n = sum(sizes) + len(streams)
@@ -165,24 +191,15 @@ def repeated(streams: list[np.ndarray], pages: list[int], run: int = RUN, least:
     top = max((int(s.max()) for s in streams if len(s)), default=0) + 1
     text = np.concatenate([np.append(s, top + i) for i, s in enumerate(streams)]).astype(np.int64)
     owner = np.repeat(np.asarray(pages, np.int64), np.asarray(sizes) + 1)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    length = 1
-    while length < run:
-        step = min(length, run - length)
-        after = np.full(n, -1, np.int64)
-        after[: n - step] = rank[step:]
-        rank = np.unique(rank * (n + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
-        length += step
-    order = np.lexsort((owner, rank))
-    r, o = rank[order], owner[order]
-    new_rank = np.concatenate(([True], r[1:] != r[:-1]))
-    new_page = new_rank | np.concatenate(([True], o[1:] != o[:-1]))
-    group = np.cumsum(new_rank) - 1
-    shared = np.bincount(group, new_page)[group] >= least
+    order, common = suffix_array(text)
+    interval = np.cumsum(common < run) - 1
+    by_page = np.lexsort((owner[order], interval))
+    i, o = interval[by_page], owner[order][by_page]
+    fresh = np.concatenate(([True], (i[1:] != i[:-1]) | (o[1:] != o[:-1])))
+    shared = np.bincount(i, fresh)[interval] >= least
     edge = np.zeros(n + run + 1, np.int64)
-    at = order[shared]
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + run, -1)
+    np.add.at(edge, order[shared], 1)
+    np.add.at(edge, order[shared] + run, -1)
     covered = np.cumsum(edge)[:n] > 0
     ends = np.cumsum(np.asarray(sizes) + 1)
     return [covered[e - s - 1 : e - 1] for s, e in zip(sizes, ends, strict=True)]
