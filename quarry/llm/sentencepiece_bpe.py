@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -17,14 +16,17 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches
 
-#: Chance that a candidate merge is skipped, and the number of segmentations a word can take over the corpus.
-DROPOUT, VARIANTS, SEED = 0.1, 4, 17
-#: Word segmentations a worker keeps before it starts its cache anew.
-CACHE = 1_400_000
-#: Longer units go through a heap, shorter ones through a table of many units at once (the same order).
-SCAN = 24
+#: Chance that a candidate merge is skipped.
+DROPOUT, SEED = 0.1, 17
+#: Courses of units a worker keeps before it starts its cache anew.
+CACHE = 900_000
+#: Longer units go through a heap, shorter ones through a table of many units at once (the same
+#: order). A unit of n characters has less than 3 n candidates, so that a course fits in 63 bits.
+SCAN = 20
 
 _MASK, _NONE = (1 << 64) - 1, 1 << 60
+# odd constants that keys of candidates and of occurrences are made with
+_AT, _LEFT, _RANK, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0xA0761D6478BD642F
 _SPACE = "▁"
 
 
@@ -60,12 +62,23 @@ def _packed(ids: list[int]) -> bytes:
     return np.array(ids, np.int32).tobytes()
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(_RANK)
+
+
 class MergeEncoder:
     """Encodes and decodes texts with the merges of a BPE model with byte fallback, whose scores order its merges.
 
     The agenda holds the adjacent pairs that form a piece, best score first, then leftmost. A
-    pair that comes up is skipped when the keyed hash of (seed, variant, word, place, pieces)
-    falls under the dropout; it is not tried again, and later merges go on without it.
+    pair that comes up is skipped when the keyed hash of (seed, document, occurrence, place,
+    pieces) falls under the dropout; it is not tried again, and later merges go on without it.
+
+    What a unit becomes depends on which of its candidates are skipped, in the order they come
+    up: its course, a bit mask of skipped candidates. A node of the cache is a unit and a course
+    after whose last skip nothing is skipped any more: the ids that it ends in, and the keys of the
+    candidates that come up after that skip. Each occurrence hashes those with its own key; the
+    first one that it skips leads to another node.
     """
 
     def __init__(self, pieces: list[tuple[str, int, float]], dropout: float = DROPOUT, seed: int = SEED):
@@ -74,23 +87,33 @@ class MergeEncoder:
         self.units, self.mixed = unit_pattern(list(self.ids))
         self.bytes = {int(p[3:5], 16): i for i, (p, kind, _) in enumerate(pieces) if kind == 6}
         self.raw = [bytes([int(p[3:5], 16)]) if kind == 6 else p.replace(_SPACE, " ").encode() if kind == 1 else b"" for p, kind, _ in pieces]
-        self.limit, self.seed = int(dropout * 2**64), seed
-        self.cache: dict[int, dict[str, bytes]] = defaultdict(dict)
-        self.held = 0
+        self.limit, self.seed = min(_MASK, int(dropout * 2**64)), seed
         self.keys: np.ndarray | None = None
-
-    def _seed(self, word: str, variant: int) -> int:
-        """The key of a word's skips."""
-        return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed + variant) if self.limit else 0
-
-    def _skip(self, seed: int, at: int, left: int, rank: int) -> bool:
-        """Whether the candidate at a place, of a left part so long and a piece of that rank, is skipped."""
-        x = (seed ^ (at * 0x9E3779B97F4A7C15 + left * 0xD6E8FEB86659FD93 + rank * 0xBF58476D1CE4E5B9)) & _MASK
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all nodes."""
+        self.roots: dict[str, int] = {}
+        self.turns: dict[tuple[int, int], int] = {}
+        self.node_unit: list[str] = []
+        self.node_ids: list[bytes] = []
+        self.masks = np.zeros(1024, np.uint64)
+        self.starts, self.counts = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.candidates, self.used = np.zeros(4096, np.uint64), 0
+
+    def occurrence_keys(self, document: int, n: int) -> np.ndarray:
+        """The keys of a document's n units."""
+        start = xxhash.xxh3_64_intdigest(document.to_bytes(8, "little", signed=True), self.seed)
+        return _mixed(np.uint64(start) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_STEP))
+
+    def _skip(self, key: int, at: int, left: int, rank: int) -> bool:
+        """Whether an occurrence skips the candidate at a place, of a left part so long and a piece of that rank."""
+        x = (key ^ (at * _AT + left * _LEFT + rank * _RANK)) & _MASK
         x = (x ^ (x >> 31)) * 0x94D049BB133111EB & _MASK
-        return (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & _MASK < self.limit
+        return (x ^ (x >> 29)) * _RANK & _MASK < self.limit
 
-    def _heap(self, word: str, variant: int) -> list[str]:
-        n, rank, seed = len(word), self.rank, self._seed(word, variant)
+    def _heap(self, word: str, key: int) -> list[str]:
+        n, rank = len(word), self.rank
         parts: list[str | None] = list(word)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda: list[tuple[int, int, str, str]] = []
@@ -105,7 +128,7 @@ class MergeEncoder:
         while agenda:
             r, i, left, right = heapq.heappop(agenda)
             j = after[i]
-            if parts[i] != left or j >= n or parts[j] != right or self.limit and self._skip(seed, i, len(left), r):
+            if parts[i] != left or j >= n or parts[j] != right or self.limit and self._skip(key, i, len(left), r):
                 continue
             parts[i], parts[j] = left + right, None
             after[i] = after[j]
@@ -141,8 +164,9 @@ class MergeEncoder:
         known = (self.keys[at] == key) & (left >= 0) & (right >= 0) & (left < self.size) & (right < self.size)
         return np.where(known, self.ranks[at], _NONE), np.where(known, self.merged[at], -1)
 
-    def words(self, words: list[str], variant: int) -> list[bytes]:
-        """word() of many words of up to SCAN characters, merged side by side; ids as bytes of int32."""
+    def courses(self, words: list[str], masks: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Ids (as bytes of int32) of words of up to SCAN characters under courses, merged side by side, with
+        the keys of the candidates after each course's last skip, word by word, and their number."""
         if self.keys is None:
             self._pairs()
         n, other = len(words), self.size
@@ -151,12 +175,12 @@ class MergeEncoder:
         sym = np.full((n, width + 1), -1, np.int64)
         sym[np.arange(width + 1) < sizes[:, None]] = self.symbol[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
         place = np.broadcast_to(np.arange(width + 1, dtype=np.int64), sym.shape).copy()
-        seeds = np.array([self._seed(w, variant) for w in words], np.uint64)
         rank, merged = self._rank_of(sym[:, :-1], sym[:, 1:])
-        rows = np.arange(n)
-        live = np.arange(n)
+        rows, live = np.arange(n), np.arange(n)
         final = np.full_like(sym, -1)
         columns = np.arange(width + 1)
+        free: list[tuple[np.ndarray, np.ndarray]] = []
+        masks, turn = masks.copy(), 0
         while len(live):
             at = rank.argmin(1)
             r = rank[rows, at]
@@ -164,20 +188,24 @@ class MergeEncoder:
             if done.any():
                 final[live[done]] = sym[done]
                 keep = ~done
-                live, sym, place, seeds, rank, merged = live[keep], sym[keep], place[keep], seeds[keep], rank[keep], merged[keep]
+                live, sym, place, masks, rank, merged = live[keep], sym[keep], place[keep], masks[keep], rank[keep], merged[keep]
                 rows = np.arange(len(live))
                 at, r = at[keep], r[keep]
                 if not len(live):
                     break
-            if self.limit:
-                x = seeds ^ (place[rows, at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + self.lengths[sym[rows, at]].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + r.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
-                x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-                skip = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) < np.uint64(self.limit)
+            left = masks >> np.uint64(turn)
+            after = left == 0
+            if after.any():
+                w, a = rows[after], at[after]
+                key = place[w, a].astype(np.uint64) * np.uint64(_AT) + self.lengths[sym[w, a]].astype(np.uint64) * np.uint64(_LEFT) + r[after].astype(np.uint64) * np.uint64(_RANK)
+                free.append((live[w], key))
+            skip = (left & np.uint64(1)).astype(bool)
+            turn += 1
+            if skip.any():
                 rank[rows[skip], at[skip]] = _NONE
-                go = rows[~skip]
+                go, j = rows[~skip], at[~skip]
                 if not len(go):
                     continue
-                j = at[~skip]
             else:
                 go, j = rows, at
             new = merged[go, j]
@@ -193,54 +221,121 @@ class MergeEncoder:
             back = j > 0
             b, k = go[back], j[back] - 1
             rank[b, k], merged[b, k] = self._rank_of(sym[b, k], sym[b, k + 1])
-        values = final[final >= 0].astype(np.int32).tobytes()
-        ends = (4 * np.cumsum((final >= 0).sum(1))).tolist()
-        odd = (final == other).any(1)
-        return [_packed(self.word(w, variant)) if o else values[a:b] for w, o, a, b in zip(words, odd.tolist(), [0, *ends[:-1]], ends, strict=True)]
-
-    def word(self, word: str, variant: int) -> list[int]:
-        """Ids of one unit (spaces already U+2581), by a heap."""
+        held = final >= 0
+        values = final[held].astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(held.sum(1))).tolist()
+        out = [values[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        for i in np.flatnonzero((final == other).any(1)).tolist():  # characters outside the vocabulary become bytes
+            chars, ids = iter(c for c in words[i] if self.symbol[ord(c)] == other), []
+            for x in final[i][held[i]].tolist():
+                ids.extend((x,) if x != other else (self.bytes[v] for v in next(chars).encode("utf-8", "surrogatepass")))
+            out[i] = _packed(ids)
+        owner = np.concatenate([f[0] for f in free]) if free else np.empty(0, np.int64)
+        keys = np.concatenate([f[1] for f in free]) if free else np.empty(0, np.uint64)
+        return out, keys[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=n)
+
+    def word(self, word: str, key: int) -> list[int]:
+        """Ids of one occurrence of a unit (spaces already U+2581), by a heap."""
         ids: list[int] = []
-        for part in self._heap(word, variant):
+        for part in self._heap(word, key):
             i = self.ids.get(part)
             ids.extend((i,) if i is not None else (self.bytes[b] for b in part.encode("utf-8", "surrogatepass")))
         return ids
 
-    def learn(self, units: dict[int, set[str]]) -> None:
-        """Put the units of each variant that are not known into the cache, many at a time."""
-        if self.held + sum(map(len, units.values())) > CACHE:
-            self.cache.clear()
-            self.held = 0
-        for variant, found in units.items():
-            known = self.cache[variant]
-            new = sorted((u for u in found if u not in known), key=len)
-            short = [u for u in new if len(u) <= SCAN and u != _SPACE]
-            for lo in range(0, len(short), 4096):
-                part = short[lo : lo + 4096]
-                known.update(zip(part, self.words([u.replace(" ", _SPACE) for u in part], variant), strict=True))
-            for u in new[len(short) :] if _SPACE not in found else new:
-                if u == _SPACE:
-                    known[u] = _packed([self.bytes[b] for b in u.encode()])
-                elif len(u) > SCAN:
-                    known[u] = _packed(self.word(u.replace(" ", _SPACE), variant))
-            self.held += len(new)
-
-    def encode_all(self, texts: list[str | None], variants: list[int]) -> list[np.ndarray | None]:
-        """Ids of many texts (None for None); units new to the cache are merged side by side.
+    def _grow(self, units: list[str], masks: np.ndarray) -> np.ndarray:
+        """New nodes for units under courses; their numbers."""
+        first = len(self.node_unit)
+        order = sorted(range(len(units)), key=lambda i: len(units[i]))
+        for lo in range(0, len(order), 4096):
+            part = order[lo : lo + 4096]
+            plain = [units[i].replace(" ", _SPACE) if units[i] != _SPACE else units[i] for i in part]
+            ids, keys, counts = self.courses(plain, masks[part])
+            n, more = len(self.node_unit), len(part)
+            while n + more > len(self.counts):
+                self.masks, self.starts, self.counts = (np.concatenate((x, np.zeros_like(x))) for x in (self.masks, self.starts, self.counts))
+            while self.used + len(keys) > len(self.candidates):
+                self.candidates = np.concatenate((self.candidates, np.zeros_like(self.candidates)))
+            self.node_unit += [units[i] for i in part]
+            self.node_ids += ids
+            self.masks[n : n + more], self.counts[n : n + more] = masks[part], counts
+            self.starts[n : n + more] = self.used + np.cumsum(counts) - counts
+            self.candidates[self.used : self.used + len(keys)] = keys
+            self.used += len(keys)
+        out = np.empty(len(units), np.int64)
+        out[order] = np.arange(first, first + len(units))
+        return out
+
+    def _literal(self) -> None:
+        """The node of a literal U+2581: its bytes, whatever comes up."""
+        node = int(self._grow([_SPACE], np.zeros(1, np.uint64))[0])
+        self.node_ids[node], self.counts[node] = _packed([self.bytes[b] for b in _SPACE.encode()]), 0
+        self.roots[_SPACE] = node
+
+    def end_nodes(self, units: list[str], keys: np.ndarray) -> np.ndarray:
+        """The node that each occurrence of a short unit ends in."""
+        if len(self.node_unit) > CACHE:
+            self.clear()
+        if _SPACE not in self.roots:
+            self._literal()
+        new = list(set(units) - self.roots.keys())
+        self.roots.update(zip(new, self._grow(new, np.zeros(len(new), np.uint64)).tolist(), strict=True))
+        node = np.fromiter(map(self.roots.__getitem__, units), np.int64, len(units))
+        active = np.flatnonzero(self.counts[node] > 0) if self.limit else np.empty(0, np.int64)
+        while len(active):
+            at = node[active]
+            counts = self.counts[at]
+            ends = np.cumsum(counts)
+            owner = np.repeat(np.arange(len(active)), counts)
+            turn = np.arange(ends[-1]) - np.repeat(ends - counts, counts)
+            hit = _mixed(np.repeat(keys[active], counts) ^ self.candidates[np.repeat(self.starts[at], counts) + turn]) < np.uint64(self.limit)
+            who, first = np.unique(owner[hit], return_index=True)
+            if not len(who):
+                break
+            active, at, turn = active[who], at[who], turn[hit][first]
+            step, back = np.unique(at * 64 + turn, return_inverse=True)
+            moves = list(zip((step >> 6).tolist(), (step & 63).tolist()))
+            to = [self.turns.get(m, -1) for m in moves]
+            missing = [i for i, x in enumerate(to) if x < 0]
+            if missing:
+                parents = step[missing] >> 6
+                masks = self.masks[parents]
+                base = np.where(masks > 0, np.floor(np.log2(np.maximum(masks, 1).astype(np.float64))) + 1, 0).astype(np.uint64)
+                made = self._grow([self.node_unit[x] for x in parents.tolist()], masks | (np.uint64(1) << (base + (step[missing] & 63).astype(np.uint64))))
+                for i, x in zip(missing, made.tolist(), strict=True):
+                    to[i] = self.turns[moves[i]] = x
+            node[active] = np.array(to, np.int64)[back]
+            active = active[self.counts[node[active]] > 0]
+        return node
+
+    def encode_all(self, texts: list[str | None], documents: list[int]) -> list[np.ndarray | None]:
+        """Ids of many texts (None for None); documents: a number for each, part of the key of its units.
 
         The empty text has no ids. A literal U+2581 is written as bytes, so that it is not read
         back as a space.
         """
-        units: dict[int, set[str]] = defaultdict(set)
         cut = [(_PLAIN if self.mixed and self.mixed.search(t) else self.units).findall(" " + t) if t else [] for t in texts]
-        for c, v in zip(cut, variants, strict=True):
-            units[v].update(c)
-        self.learn(units)
-        return [None if t is None else np.frombuffer(b"".join(map(self.cache[v].__getitem__, c)), np.int32) for t, c, v in zip(texts, cut, variants, strict=True)]
-
-    def encode(self, text: str, variant: int = 0) -> np.ndarray:
+        keys = np.concatenate([np.empty(0, np.uint64), *[self.occurrence_keys(d, len(c)) for c, d in zip(cut, documents, strict=True)]])
+        units = [u for c in cut for u in c]
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        short = np.flatnonzero(sizes <= SCAN)
+        if len(short) == len(units):
+            made = list(map(self.node_ids.__getitem__, self.end_nodes(units, keys).tolist()))
+        else:
+            nodes = self.end_nodes([units[i] for i in short.tolist()], keys[short])
+            made = [b""] * len(units)
+            for i, x in zip(short.tolist(), nodes.tolist(), strict=True):
+                made[i] = self.node_ids[x]
+            for i in np.flatnonzero(sizes > SCAN).tolist():
+                made[i] = _packed(self.word(units[i].replace(" ", _SPACE), int(keys[i])))
+        out, at = [], 0
+        for t, c in zip(texts, cut, strict=True):
+            out.append(None if t is None else np.frombuffer(b"".join(made[at : at + len(c)]), np.int32))
+            at += len(c)
+        return out
+
+    def encode(self, text: str, document: int = 0) -> np.ndarray:
         """Ids of a text."""
-        return self.encode_all([text], [variant])[0]
+        return self.encode_all([text], [document])[0]
 
     def decode(self, ids) -> str:
         raw = self.raw
@@ -260,13 +355,14 @@ def shared_encoder(model, dropout: float, seed: int) -> MergeEncoder:
     return _ENCODERS[key]
 
 
-def with_tokens(docs: DataFrame, pieces: list[tuple[str, int, float]] | None = None, text_col: str = "text", key_col: str = "doc_id", dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED, into: str = "__tokens") -> DataFrame:
-    """docs with a struct column into: token_ids array<int> and lossless (decoding gives the text back).
+def with_tokens(docs: DataFrame, pieces: list[tuple[str, int, float]] | None = None, text_col: str = "text", key_col: str = "doc_id", dropout: float = DROPOUT, seed: int = SEED, into: str = "__tokens") -> DataFrame:
+    """docs with a struct column into (in place of one of that name): token_ids array<int> and lossless (decoding gives the text back).
 
-    Each document takes one of `variants` segmentations of a word by a keyed hash of its key;
-    dropout 0 gives the model's own segmentation. A null text has null token_ids and a null
-    lossless; the empty text has no ids and is lossless. Texts of any length are encoded
-    whole. Rows are independent; other columns pass through, whatever their names.
+    Every occurrence of a unit in a document is segmented by its own key, made of the seed, the
+    document's key and the unit's place; dropout 0 gives the model's own segmentation. A null
+    text has null token_ids and a null lossless; the empty text has no ids and is lossless.
+    Texts of any length are encoded whole. Rows are independent: null keys are one key, and
+    rows that repeat key and text repeat their ids. Other columns pass through.
     """
     bound_batches(docs)
     model = docs.sparkSession.sparkContext.broadcast(pieces or load_pieces())
@@ -279,15 +375,14 @@ def with_tokens(docs: DataFrame, pieces: list[tuple[str, int, float]] | None = N
             ids, same = [], []
             for lo in range(0, len(texts), 256):
                 part = texts.slice(lo, 256).to_pylist()
-                got = enc.encode_all(part, [k % variants for k in keys.slice(lo, 256).to_pylist()])
+                got = enc.encode_all(part, keys.slice(lo, 256).to_pylist())
                 same += [None if x is None else enc.decode(x) == t for t, x in zip(part, got, strict=True)]
                 ids += [np.empty(0, np.int32) if x is None else x for x in got]
             offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)), mask=pa.array([s is None for s in same]))
             yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], fields=list(kind))
 
-    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key_col)), 1)
-    return docs.withColumn(into, encode(F.col(text_col), key))
+    return docs.withColumn(into, encode(F.col(text_col), F.xxhash64(F.col(key_col))))
 
 
 def encode_documents(docs: DataFrame, **options) -> DataFrame:

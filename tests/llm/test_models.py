@@ -81,8 +81,39 @@ def test_dropout_varies_and_decodes():
     for t in TEXTS:
         for v in range(3):
             assert enc.decode(enc.encode(t, v)) == t
-    units = [u.replace(" ", "▁") for u in enc.units.findall(" " + prose(9, 60) + " interesting ünïcode ²") if len(u) <= SCAN]
-    assert [np.frombuffer(b, np.int32).tolist() for b in enc.words(units, 1)] == [enc.word(u, 1) for u in units]
+
+
+def by_hand(enc, unit, key):
+    """The segmentation of one occurrence: again and again the best candidate that was not skipped, looked up from scratch."""
+    parts, at, skipped = list(unit), list(range(len(unit))), set()
+    while True:
+        found = [(enc.rank[a + b], i, len(a), k) for k, (a, b, i) in enumerate(zip(parts, parts[1:], at)) if a + b in enc.rank and (enc.rank[a + b], i, len(a)) not in skipped]
+        if not found:
+            break
+        rank, i, left, k = min(found)
+        if enc._skip(key, i, left, rank):
+            skipped.add((rank, i, left))
+        else:
+            parts[k : k + 2], at = ["".join(parts[k : k + 2])], at[: k + 1] + at[k + 2 :]
+    out = []
+    for p in parts:
+        out += [enc.ids[p]] if p in enc.ids else [enc.bytes[b] for b in p.encode()]
+    return out
+
+
+def test_each_occurrence_is_segmented_by_its_own_key():
+    pieces = load_pieces()
+    text = " ".join([prose(9, 60), "interesting ünïcode ²", "tokenization " * 30, "x" * 40, "antidisestablishmentarianism"])
+    for dropout in (0.1, 0.5, 0.9):
+        enc = MergeEncoder(pieces, dropout, seed=3)
+        for document in (1, -7, 1 << 62):
+            units = enc.units.findall(" " + text)
+            want = [i for u, k in zip(units, enc.occurrence_keys(document, len(units)).tolist()) for i in by_hand(enc, u.replace(" ", "▁"), k)]
+            assert enc.encode(text, document).tolist() == want
+            enc.clear()
+            assert enc.encode_all([None, text, text[:50]], [4, document, 5])[1].tolist() == want
+    kinds = {enc.encode(" tokenization" * 200, 8).tobytes()} | {MergeEncoder(pieces, 0.3, 1).encode(" tokenization", d).tobytes() for d in range(200)}
+    assert len(kinds) > 20
 
 
 def test_encode_documents(spark):
