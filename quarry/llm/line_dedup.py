@@ -97,51 +97,55 @@ def signed_lines(docs: DataFrame, shingle: int, bands: int, rows: int, chars: in
     return rows_.mapInArrow(run, "doc_id long, line_no int, d1 long, d2 long, " + ", ".join(f"{n} long" for n in names))
 
 
-def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(id, text): the normal lines of classes needed (id, doc_id, line_no, d1, d2; a written table), a written table."""
+def _texts(docs: DataFrame, needed: DataFrame, sets: CharShingles) -> DataFrame:
+    """(id, text, n): the normal lines of classes needed (id, doc_id, line_no, d1, d2; a written table) and the sizes of their sets, a written table."""
     side = F.broadcast if may_broadcast(needed) else lambda x: x
     lines = docs.join(side(needed.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     texts = lines.join(side(needed), ["doc_id", "line_no"])
 
-    @F.pandas_udf("struct<line:string,d1:long,d2:long>")
+    @F.pandas_udf("struct<line:string,d1:long,d2:long,n:long>")
     def normal_line(lines: pd.Series) -> pd.DataFrame:
         out = [normal(x) for x in lines]
         d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in out), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"line": out, "d1": d[:, 0], "d2": d[:, 1]})
+        return pd.DataFrame({"line": out, "d1": d[:, 0], "d2": d[:, 1], "n": [len(sets.of(x)) for x in out]})
 
     # rows that repeat a doc_id with another text have other digests
-    texts = texts.select("id", "d1", "d2", normal_line("line").alias("x")).where("x.d1 = d1 and x.d2 = d2").select("id", F.col("x.line").alias("text"))
-    return settle(texts.groupBy("id").agg(F.min("text").alias("text")), "lines")
+    texts = texts.select("id", "d1", "d2", normal_line("line").alias("x")).where("x.d1 = d1 and x.d2 = d2").select("id", F.col("x.line").alias("text"), "x.n")
+    return settle(texts.dropDuplicates(["id"]), "lines")
 
 
-def line_classes(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def line_classes(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """(lines, duplicates): all non-blank lines (doc_id, line_no, d1, d2), and those classes
-    (d1, d2, keep_doc_id, keep_line_no) of which more than one line exists. Tables of the innermost scratch."""
+    (d1, d2, keep_doc_id, keep_line_no) of which more than one line exists. Written tables; keep: they outlive the innermost scratch."""
     bound_batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = settle(signed_lines(docs, shingle, bands, rows), "lines")
+    lines = settle(signed_lines(docs, shingle, bands, rows), "lines", keep)
     keys = [f"b{i}" for i in range(bands)]
     first = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no")).alias("x"), F.count("*").alias("copies"), *[F.min(k).alias(k) for k in keys])
     classes = settle(first.select(F.monotonically_increasing_id().alias("id"), "d1", "d2", "x.doc_id", "x.line_no", "copies", *keys), "classes")
     # the centre of a star is the line with most copies: edits are made of it
     entries = shared_entries(classes.select("id", (-F.col("copies")).alias("rank"), F.explode(F.array(*keys)).alias("token")))
     banded = settle(entries.select("id").distinct(), "ids")
-    texts = _texts(docs, settle(keep_ids(classes.select("id", "doc_id", "line_no", "d1", "d2"), banded, "id"), "needed"))
-    links = link(entries, Texts(lambda ids: texts, CharShingles(shingle), percent, passing=False), "rank")
+    needed = settle(keep_ids(classes.select("id", "doc_id", "line_no", "d1", "d2"), banded, "id"), "needed")
+    texts = _texts(docs, needed, CharShingles(shingle))
+    sized = settle(entries.join(texts.select("id", "n"), "id"), "entries")
+    discard(entries, banded, needed)
+    size = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
+    links = link(sized, Texts(lambda ids: texts, CharShingles(shingle), percent, passing=False), "rank", admit=size, star_admit=size)
     comp = settle(components(links), "comp")
-    discard(entries, texts)
+    discard(sized, texts)
     linked = classes.select("id", "d1", "d2", "doc_id", "line_no").join(comp, "id")
-    keep = linked.groupBy("comp").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))
-    near = linked.join(keep, "comp").select("id", "d1", "d2", "keep")
+    least = linked.groupBy("comp").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))
+    near = linked.join(least, "comp").select("id", "d1", "d2", "keep")
     exact = classes.where("copies > 1").join(near.select("id"), "id", "left_anti").select("id", "d1", "d2", F.struct("doc_id", "line_no").alias("keep"))
     found = near.union(exact).select("d1", "d2", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"))
-    found = settle(found, "found")
+    found = settle(found, "found", keep)
     discard(classes)
     return lines.select("doc_id", "line_no", "d1", "d2"), found
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """One row per non-blank line: doc_id, line_no (from 0), keep_doc_id, keep_line_no, kept; a written table.
+    """One row per non-blank line: doc_id, line_no (from 0), keep_doc_id, keep_line_no, kept.
 
     Lines are compared in lower case with white space as one space. Character-shingle MinHash
     signatures are banded for recall; pairs that share a band are checked by exact Jaccard;
@@ -153,10 +157,10 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     repeat their lines. Lines of any length are read whole. No documents: no rows.
     """
     with scratch():
-        lines, found = line_classes(docs, **options)
-        out = lines.join(found, ["d1", "d2"], "left")
-        keep = [F.coalesce(f"keep_{c}", c).alias(f"keep_{c}") for c in ("doc_id", "line_no")]
-        return settle(out.select("doc_id", "line_no", *keep).withColumn("kept", F.expr("doc_id = keep_doc_id and line_no = keep_line_no")), "lines", keep=True)
+        lines, found = line_classes(docs, keep=True, **options)
+    out = lines.join(found, ["d1", "d2"], "left")
+    keep = [F.coalesce(f"keep_{c}", c).alias(f"keep_{c}") for c in ("doc_id", "line_no")]
+    return out.select("doc_id", "line_no", *keep).withColumn("kept", F.expr("doc_id = keep_doc_id and line_no = keep_line_no"))
 
 
 def drop_duplicate_lines(docs: DataFrame, **options) -> DataFrame:

@@ -88,17 +88,18 @@ class Texts:
                     if a != last:
                         last, sa = a, sets.of(ta)
                     sb = sets.of(tb)
-                    added, removed = sets.difference(sa, sb)
-                    both, union = len(sb) - len(added), len(sa) + len(added)
+                    both = sets.common(sa, sb)
+                    union = len(sa) + len(sb) - both
                     near = 100 * both >= NEAR * union
                     prefix = np.empty(0, np.int64)
                     if near:
+                        added, removed = sets.difference(sa, sb)
                         often = np.zeros(len(added), np.int64)
                         if len(keys) and len(added):
                             at = np.minimum(np.searchsorted(keys, added), len(keys) - 1)
                             often = np.where(keys[at] == added, counts[at], 0)
                         prefix = np.concatenate((added[np.lexsort((added, often))], ~np.sort(removed)))[: len(sb) * (100 - percent) // percent + 1]
-                    rows.append((b, a, len(sb), len(added) + len(removed), both > 0 and 100 * both >= percent * union, near, prefix))
+                    rows.append((b, a, len(sb), union - both, both > 0 and 100 * both >= percent * union, near, prefix))
                 yield pd.DataFrame(rows, columns=["id", "centre", "n", "m", "linked", "near", "prefix"])
 
         return self._compared(pairs, run, "id long, centre long, n long, m long, linked boolean, near boolean, prefix array<long>", "diffs")
@@ -125,14 +126,15 @@ def open_entries(entries: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def centres(e: DataFrame, rank: str) -> DataFrame:
-    """(a, b): for each id b of open entries the centre of the component that most of its tokens have as main.
+    """(a, b): for each id b of open entries the centre of the component that most of its tokens have as main, unless their sizes alone keep them from being near.
 
     A component's centre is what has the smallest (rank, id) of it in most tokens.
     """
-    first = e.where("comp = main").groupBy("token", "main").agg(F.min(F.struct(rank, "id")).alias("x"))
-    hub = first.groupBy("main", "x.id").agg(F.count("*").alias("n")).groupBy("main").agg(F.max(F.struct("n", "id")).alias("h"))
-    votes = e.groupBy("id", "main").agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", "main")).alias("v"))
-    return votes.select(F.col("id").alias("b"), F.col("v.main").alias("main")).join(hub, "main").select(F.col("h.id").alias("a"), "b")
+    first = e.where("comp = main").groupBy("token", "main").agg(F.min(F.struct(rank, "id", "n")).alias("x"))
+    hub = first.groupBy("main", "x.id", "x.n").agg(F.count("*").alias("k")).groupBy("main").agg(F.max(F.struct("k", "id", "n")).alias("h"))
+    votes = e.groupBy("id", "n", "main").agg(F.count("*").alias("k")).groupBy("id", "n").agg(F.max(F.struct("k", "main")).alias("v"))
+    joined = votes.select("id", "n", "v.main").join(hub, "main").where(f"h.id <> id and 100 * least(h.n, n) >= {NEAR} * greatest(h.n, n)")
+    return joined.select(F.col("h.id").alias("a"), F.col("id").alias("b"))
 
 
 def near_pairs(diffs: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
@@ -168,13 +170,13 @@ def far_pairs(e: DataFrame, near: DataFrame, early: str, admit: str) -> DataFram
     sizes = e.groupBy("token", "kin").agg(F.count("*").alias("k"))
     top = sizes.groupBy("token").agg(F.max(F.struct("k", "kin")).alias("top"), F.count("*").alias("k")).where("k > 1").select("token", F.col("top.kin").alias("most"))
     e = settle(e.join(top, "token"), "far")
-    row = F.struct(*[c for c in e.columns if c not in ("token", "most")])
+    row = F.struct(*[c for c in e.columns if c != "token"])
     side = lambda part, name: part.select("token", row.alias(name))
     first = e.where(early)
     rule = f"a.comp <> b.comp and a.kin <> b.kin and ({admit})"
     one = side(first.where("kin <> most"), "a").join(side(e, "b"), "token")
     if early == "true":  # then a token's main kin only has to be on one side
-        both = one.where(rule)
+        both = one.where(f"{rule} and (b.kin = b.most or a.id < b.id)")
     else:
         two = side(first.where("kin = most"), "a").join(side(e.where("kin <> most"), "b"), "token")
         both = one.union(two).where(f"{rule} and (a.n < b.n or a.n = b.n and a.id < b.id)")
@@ -184,7 +186,7 @@ def far_pairs(e: DataFrame, near: DataFrame, early: str, admit: str) -> DataFram
 def link(entries: DataFrame, texts: Texts, rank: str, admit: str = "true", early: str = "true", star_admit: str = "true", more: DataFrame | None = None, expand: DataFrame | None = None, grouped: DataFrame | None = None, frequent=None) -> DataFrame:
     """Links (a, b) that span the components of texts of which two share a token.
 
-    entries: (token, id, ...), one row each; rank: the column by which a centre is chosen; admit
+    entries: (token, id, n, ...), one row each, n the size of the id's set; rank: the column by which a centre is chosen; admit
     and star_admit: conditions on the structs a and b of two entries of a token, the latter for
     stars; early: see far_pairs; more: further pairs for the stars; expand: (group, id) if an
     entry's id stands for a group of ids: what follows the stars sees every member, and as
@@ -197,7 +199,7 @@ def link(entries: DataFrame, texts: Texts, rank: str, admit: str = "true", early
     if expand is not None:
         entries = entries.withColumnRenamed("id", "group").join(expand, "group").select(*entries.columns).unionByName(grouped)
     rest = open_entries(entries, comp)
-    diffs = texts.differences(settle(centres(rest, rank).where("a <> b"), "centres"), frequent)
+    diffs = texts.differences(settle(centres(rest, rank), "centres"), frequent)
     links = links.union(diffs.where("linked").select(F.col("centre").alias("a"), F.col("id").alias("b")))
     # a centre is near itself
     kin = diffs.where("near").select("id", "centre")
