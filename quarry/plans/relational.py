@@ -8,20 +8,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import joins, recursion, reshape, windows
+from ..session import Session
 from .catalog import register, table
 
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def sql_query(name: str, spark_sql: str, duck_sql: str | None = None) -> None:
-    """Register a query that Spark SQL expresses itself; duck_sql defaults to the same text."""
-    used = [t for t in _TABLES if re.search(rf"\b{t}\b", spark_sql)]
+def sql_query(name: str, text: str, duck_sql: str | None = None) -> None:
+    """Register a query of the script language over the tables it names; duck_sql defaults to the same text."""
+    used = [t for t in _TABLES if re.search(rf"\b{t}\b", text)]
+    own = re.sub(rf"\b({'|'.join(used)})\b(?!\s*\.)", r"#\1", text) if used else text
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = re.sub(rf"\b({'|'.join(used)})\b(?!\s*\.)", r"{\1}", spark_sql) if used else spark_sql
-        return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
+        session = Session(spark)
+        for t in used:
+            session.tables[f"#{t}"] = table(spark, sf_dir, t)
+        return session.sql(own)
 
-    register(name, duck_sql or spark_sql)(run)
+    register(name, duck_sql or text)(run)
 
 
 # --- benchmark queries on the columns there are ------------------------------------------------------------------------
@@ -30,11 +34,7 @@ sql_query(
     "q3_shipping_priority",
     """SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate, o_orderpriority
        FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
-       WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP_NTZ '1995-03-15 00:00:00' AND l_shipdate > TIMESTAMP_NTZ '1995-03-15 00:00:00'
-       GROUP BY l_orderkey, o_orderdate, o_orderpriority ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10""",
-    """SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate, o_orderpriority
-       FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
-       WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1995-03-15' AND l_shipdate > TIMESTAMP '1995-03-15'
+       WHERE c_mktsegment = 'BUILDING' AND o_orderdate < '1995-03-15' AND l_shipdate > '1995-03-15'
        GROUP BY l_orderkey, o_orderdate, o_orderpriority ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10""",
 )
 sql_query(
@@ -73,13 +73,13 @@ sql_query("join_comma", "SELECT r_name, n_name FROM region, nation WHERE r_regio
 sql_query("join_theta", "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey >= b.n_regionkey")
 sql_query("join_semi", "SELECT c_custkey, c_name FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 100000", "SELECT c_custkey, c_name FROM customer SEMI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 100000")
 sql_query("join_anti", "SELECT c_custkey, c_name FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey, c_name FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
-sql_query("join_hint_hash", "SELECT /*+ SHUFFLE_HASH(orders) */ o_orderstatus, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY o_orderstatus", "SELECT o_orderstatus, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY o_orderstatus")
+sql_query("join_hint_hash", "SELECT o_orderstatus, count(*) AS n FROM customer INNER HASH JOIN orders ON c_custkey = o_custkey GROUP BY o_orderstatus", "SELECT o_orderstatus, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY o_orderstatus")
 sql_query("filter_not_in", "SELECT n_name FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')")
 sql_query("filter_exists", "SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity > 49) AND NOT EXISTS (SELECT 1 FROM nation n WHERE n.n_nationkey = s.s_nationkey AND n.n_regionkey = 0)")
 sql_query("filter_distinct_from", "SELECT event_id, user_id FROM events WHERE event_type IS DISTINCT FROM 'click' AND value IS NOT DISTINCT FROM value")
 sql_query("filter_like_any", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE ANY ('%BRASS', 'PROMO%')", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%BRASS' OR p_type LIKE 'PROMO%'")
 sql_query("filter_ilike", "SELECT p_partkey FROM part WHERE p_name ILIKE '%a%' AND p_name NOT LIKE '%z%'")
-sql_query("filter_regex", "SELECT p_partkey FROM part WHERE p_name RLIKE '^[a-m]' OR p_brand RLIKE '(?i)BRAND#1'", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^[a-m]') OR regexp_matches(p_brand, 'BRAND#1', 'i')")
+sql_query("filter_regex", "SELECT p_partkey FROM part WHERE p_name ~ '^[a-m]' OR p_brand ~* 'BRAND#1'", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^[a-m]') OR regexp_matches(p_brand, 'BRAND#1', 'i')")
 sql_query("filter_bits", "SELECT o_orderkey, o_orderkey << 2 AS shl, shiftright(o_orderkey, 1) AS shr, ~o_orderkey AS inv, o_orderkey & 6 AS band FROM orders WHERE (o_orderkey & 3) = 1", "SELECT o_orderkey, o_orderkey << 2 AS shl, o_orderkey >> 1 AS shr, ~o_orderkey AS inv, o_orderkey & 6 AS band FROM orders WHERE (o_orderkey & 3) = 1")
 sql_query("scalar_subquery", "SELECT c_custkey, (SELECT max(o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS top_price FROM customer c")
 sql_query(
