@@ -6,7 +6,7 @@ import heapq
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +19,17 @@ from .common import bound_batches
 #: Chance that a candidate merge is skipped.
 DROPOUT, SEED = 0.1, 17
 #: Courses of units a worker keeps before it starts its cache anew.
-CACHE = 900_000
+CACHE = 800_000
+#: Occurrences that are followed through the cache at once.
+CHUNK = 1 << 15
 #: Longer units go through a heap, shorter ones through a table of many units at once (the same
 #: order). A unit of n characters has less than 3 n candidates, so that a course fits in 63 bits.
 SCAN = 20
 
-_MASK, _NONE = (1 << 64) - 1, 1 << 60
+_MASK, _NONE = (1 << 64) - 1, 1 << 62
+#: Bits of a piece's id beside its rank; the parts of numbers that hold both.
+_BITS = 24
+_PIECE, _SYMBOL = (1 << _BITS) - 1, (1 << 32) - 1
 # odd constants that keys of candidates and of occurrences are made with
 _AT, _LEFT, _RANK, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0xA0761D6478BD642F
 _SPACE = "▁"
@@ -94,7 +99,7 @@ class MergeEncoder:
     def clear(self) -> None:
         """Forget all nodes."""
         self.roots: dict[str, int] = {}
-        self.turns: dict[tuple[int, int], int] = {}
+        self.turns: dict[int, int] = {}
         self.node_unit: list[str] = []
         self.node_ids: list[bytes] = []
         self.masks = np.zeros(1024, np.uint64)
@@ -140,95 +145,99 @@ class MergeEncoder:
         return [p for p in parts if p is not None]
 
     def _pairs(self) -> None:
-        """Tables of the candidate merges: sorted keys of (left, right) symbols, ranks and merged symbols.
+        """Tables of the candidate merges: sorted keys of (left, right) symbols, and ranks with the merged symbols.
 
-        Symbols are the ids of pieces; characters outside the vocabulary get numbers beyond them.
+        Symbols are the ids of pieces; self.other stands for a character outside the vocabulary,
+        the number after it for no symbol at all.
         """
-        size = len(self.raw)
-        found = [(self.ids[p[:i]] * size + self.ids[p[i:]], self.rank[p], self.ids[p]) for p in self.ids for i in range(1, len(p)) if p[:i] in self.ids and p[i:] in self.ids]
-        table = np.array(sorted(found), np.int64).reshape(-1, 3)
-        self.keys, self.ranks, self.merged = (np.ascontiguousarray(table[:, i]) for i in range(3))
-        self.size = size
-        self.symbol = np.full(0x110000, size, np.int32)
-        lengths = np.ones(size + 1, np.int64)
+        self.other = len(self.raw)
+        self.base = self.other + 2
+        found = [(self.ids[p[:i]] * self.base + self.ids[p[i:]], self.rank[p] << _BITS | self.ids[p]) for p in self.ids for i in range(1, len(p)) if p[:i] in self.ids and p[i:] in self.ids]
+        table = np.array(sorted(found), np.int64).reshape(-1, 2)
+        self.keys, self.merges = (np.ascontiguousarray(table[:, i]) for i in range(2))
+        self.symbol = np.full(0x110000, self.other, np.int64)
+        self.lengths = np.ones(self.base, np.int64)
         for p, i in self.ids.items():
-            lengths[i] = len(p)
+            self.lengths[i] = len(p)
             if len(p) == 1:
                 self.symbol[ord(p)] = i
-        self.lengths = lengths
 
-    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank or _NONE, merged symbol) of pairs of symbols; -1 and self.size merge with nothing."""
-        key = left * self.size + right
+    def _merge_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank and merged symbol of pairs of symbols as one number, _NONE where they do not merge."""
+        key = left * self.base + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        known = (self.keys[at] == key) & (left >= 0) & (right >= 0) & (left < self.size) & (right < self.size)
-        return np.where(known, self.ranks[at], _NONE), np.where(known, self.merged[at], -1)
+        return np.where(self.keys[at] == key, self.merges[at], _NONE)
 
     def courses(self, words: list[str], masks: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Ids (as bytes of int32) of words of up to SCAN characters under courses, merged side by side, with
         the keys of the candidates after each course's last skip, word by word, and their number."""
         if self.keys is None:
             self._pairs()
-        n, other = len(words), self.size
+        n, gone = len(words), self.other + 1
         sizes = np.fromiter(map(len, words), np.int64, n)
         width = int(sizes.max())
-        sym = np.full((n, width + 1), -1, np.int64)
-        sym[np.arange(width + 1) < sizes[:, None]] = self.symbol[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        place = np.broadcast_to(np.arange(width + 1, dtype=np.int64), sym.shape).copy()
-        rank, merged = self._rank_of(sym[:, :-1], sym[:, 1:])
-        rows, live = np.arange(n), np.arange(n)
-        final = np.full_like(sym, -1)
+        symbols = np.full((n, width + 1), gone, np.int64)
         columns = np.arange(width + 1)
+        symbols[columns < sizes[:, None]] = self.symbol[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        # a cell is a place and a symbol; a merge a rank and a symbol: both in one number
+        cell = columns << 32 | symbols
+        merge = self._merge_of(symbols[:, :-1], symbols[:, 1:])
+        final = np.empty_like(symbols)
+        rows = live = np.arange(n)
         free: list[tuple[np.ndarray, np.ndarray]] = []
         masks, turn = masks.copy(), 0
-        while len(live):
-            at = rank.argmin(1)
-            r = rank[rows, at]
-            done = r == _NONE
+        while True:
+            at = merge.argmin(1)
+            best = merge[rows, at]
+            done = best == _NONE
             if done.any():
-                final[live[done]] = sym[done]
-                keep = ~done
-                live, sym, place, masks, rank, merged = live[keep], sym[keep], place[keep], masks[keep], rank[keep], merged[keep]
-                rows = np.arange(len(live))
-                at, r = at[keep], r[keep]
-                if not len(live):
+                final[live[done]] = cell[done] & _SYMBOL
+                keep = np.flatnonzero(~done)
+                if not len(keep):
                     break
+                live, cell, masks, merge, at, best = live[keep], cell[keep], masks[keep], merge[keep], at[keep], best[keep]
+                rows = np.arange(len(live))
+            here = cell[rows, at]
             left = masks >> np.uint64(turn)
-            after = left == 0
-            if after.any():
-                w, a = rows[after], at[after]
-                key = place[w, a].astype(np.uint64) * np.uint64(_AT) + self.lengths[sym[w, a]].astype(np.uint64) * np.uint64(_LEFT) + r[after].astype(np.uint64) * np.uint64(_RANK)
-                free.append((live[w], key))
-            skip = (left & np.uint64(1)).astype(bool)
             turn += 1
+            after = np.flatnonzero(left == 0)
+            if len(after):
+                x = here[after]
+                key = (x >> 32).astype(np.uint64) * np.uint64(_AT) + self.lengths[x & _SYMBOL].astype(np.uint64) * np.uint64(_LEFT) + (best[after] >> _BITS).astype(np.uint64) * np.uint64(_RANK)
+                free.append((live[after], key))
+            skip = (left & np.uint64(1)).astype(bool)
             if skip.any():
-                rank[rows[skip], at[skip]] = _NONE
-                go, j = rows[~skip], at[~skip]
+                merge[rows[skip], at[skip]] = _NONE
+                go = np.flatnonzero(~skip)
                 if not len(go):
                     continue
+                j, best, here, c, m = at[go], best[go], here[go], cell[go], merge[go]
             else:
-                go, j = rows, at
-            new = merged[go, j]
-            shift = np.minimum(columns[None, :] + (columns[None, :] > j[:, None]), width)
-            for m in (sym, place):
-                m[go] = np.take_along_axis(m[go], shift, 1)
-            sym[go, width] = -1
-            sym[go, j] = new
-            for m, empty in ((rank, _NONE), (merged, -1)):
-                m[go] = np.take_along_axis(m[go], np.minimum(shift[:, :-1], width - 1), 1)
-                m[go, width - 1] = empty
-            rank[go, j], merged[go, j] = self._rank_of(sym[go, j], sym[go, j + 1])
-            back = j > 0
-            b, k = go[back], j[back] - 1
-            rank[b, k], merged[b, k] = self._rank_of(sym[b, k], sym[b, k + 1])
-        held = final >= 0
+                go, j, c, m = rows, at, cell, merge
+            moved = np.full_like(c, gone)
+            moved[:, :-1] = c[:, 1:]
+            c = np.where(columns <= j[:, None], c, moved)
+            moved = np.full_like(m, _NONE)
+            moved[:, :-1] = m[:, 1:]
+            m = np.where(columns[:-1] <= j[:, None], m, moved)
+            k = np.arange(len(go))
+            new = best & _PIECE
+            c[k, j] = here >> 32 << 32 | new
+            m[k, j] = self._merge_of(new, c[k, j + 1] & _SYMBOL)
+            back = np.flatnonzero(j > 0)
+            m[back, j[back] - 1] = self._merge_of(c[back, j[back] - 1] & _SYMBOL, new[back])
+            if go is rows:
+                cell, merge = c, m
+            else:
+                cell[go], merge[go] = c, m
+        held = final != gone
         values = final[held].astype(np.int32).tobytes()
         ends = (4 * np.cumsum(held.sum(1))).tolist()
         out = [values[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        for i in np.flatnonzero((final == other).any(1)).tolist():  # characters outside the vocabulary become bytes
-            chars, ids = iter(c for c in words[i] if self.symbol[ord(c)] == other), []
+        for i in np.flatnonzero((final == self.other).any(1)).tolist():  # characters outside the vocabulary become bytes
+            chars, ids = iter([ch for ch in words[i] if self.symbol[ord(ch)] == self.other]), []
             for x in final[i][held[i]].tolist():
-                ids.extend((x,) if x != other else (self.bytes[v] for v in next(chars).encode("utf-8", "surrogatepass")))
+                ids.extend((x,) if x != self.other else (self.bytes[v] for v in next(chars).encode("utf-8", "surrogatepass")))
             out[i] = _packed(ids)
         owner = np.concatenate([f[0] for f in free]) if free else np.empty(0, np.int64)
         keys = np.concatenate([f[1] for f in free]) if free else np.empty(0, np.uint64)
@@ -245,9 +254,9 @@ class MergeEncoder:
     def _grow(self, units: list[str], masks: np.ndarray) -> np.ndarray:
         """New nodes for units under courses; their numbers."""
         first = len(self.node_unit)
-        order = sorted(range(len(units)), key=lambda i: len(units[i]))
-        for lo in range(0, len(order), 4096):
-            part = order[lo : lo + 4096]
+        order = np.argsort(np.fromiter(map(len, units), np.int64, len(units)), kind="stable")
+        for lo in range(0, len(order), 8192):
+            part = order[lo : lo + 8192].tolist()
             plain = [units[i].replace(" ", _SPACE) if units[i] != _SPACE else units[i] for i in part]
             ids, keys, counts = self.courses(plain, masks[part])
             n, more = len(self.node_unit), len(part)
@@ -272,15 +281,24 @@ class MergeEncoder:
         self.roots[_SPACE] = node
 
     def end_nodes(self, units: list[str], keys: np.ndarray) -> np.ndarray:
-        """The node that each occurrence of a short unit ends in."""
+        """The node that each occurrence of a unit ends in; -1 for units longer than SCAN."""
         if len(self.node_unit) > CACHE:
             self.clear()
         if _SPACE not in self.roots:
             self._literal()
-        new = list(set(units) - self.roots.keys())
-        self.roots.update(zip(new, self._grow(new, np.zeros(len(new), np.uint64)).tolist(), strict=True))
+        new = set(units) - self.roots.keys()
+        short = [u for u in new if len(u) <= SCAN]
+        self.roots.update(zip(short, self._grow(short, np.zeros(len(short), np.uint64)).tolist(), strict=True))
+        self.roots.update((u, -1) for u in new if len(u) > SCAN)
         node = np.fromiter(map(self.roots.__getitem__, units), np.int64, len(units))
-        active = np.flatnonzero(self.counts[node] > 0) if self.limit else np.empty(0, np.int64)
+        if self.limit:
+            for lo in range(0, len(units), CHUNK):
+                self._follow(node[lo : lo + CHUNK], keys[lo : lo + CHUNK])
+        return node
+
+    def _follow(self, node: np.ndarray, keys: np.ndarray) -> None:
+        """Move occurrences from their roots to the nodes that they end in."""
+        active = np.flatnonzero((node >= 0) & (self.counts[node] > 0))
         while len(active):
             at = node[active]
             counts = self.counts[at]
@@ -292,20 +310,19 @@ class MergeEncoder:
             if not len(who):
                 break
             active, at, turn = active[who], at[who], turn[hit][first]
-            step, back = np.unique(at * 64 + turn, return_inverse=True)
-            moves = list(zip((step >> 6).tolist(), (step & 63).tolist()))
-            to = [self.turns.get(m, -1) for m in moves]
-            missing = [i for i, x in enumerate(to) if x < 0]
-            if missing:
+            step, back = np.unique(at << 6 | turn, return_inverse=True)
+            moves = step.tolist()
+            to = np.fromiter(map(self.turns.get, moves, repeat(-1)), np.int64, len(moves))
+            missing = np.flatnonzero(to < 0)
+            if len(missing):
                 parents = step[missing] >> 6
                 masks = self.masks[parents]
-                base = np.where(masks > 0, np.floor(np.log2(np.maximum(masks, 1).astype(np.float64))) + 1, 0).astype(np.uint64)
-                made = self._grow([self.node_unit[x] for x in parents.tolist()], masks | (np.uint64(1) << (base + (step[missing] & 63).astype(np.uint64))))
-                for i, x in zip(missing, made.tolist(), strict=True):
-                    to[i] = self.turns[moves[i]] = x
-            node[active] = np.array(to, np.int64)[back]
+                # the candidates of a node are counted from its last skip on
+                base = np.where(masks > 0, np.frexp(masks.astype(np.float64))[1], 0).astype(np.uint64)
+                to[missing] = self._grow([self.node_unit[x] for x in parents.tolist()], masks | (np.uint64(1) << (base + (step[missing] & 63).astype(np.uint64))))
+                self.turns.update(zip([moves[i] for i in missing.tolist()], to[missing].tolist(), strict=True))
+            node[active] = to[back]
             active = active[self.counts[node[active]] > 0]
-        return node
 
     def encode_all(self, texts: list[str | None], documents: list[int]) -> list[np.ndarray | None]:
         """Ids of many texts (None for None); documents: a number for each, part of the key of its units.
@@ -316,17 +333,10 @@ class MergeEncoder:
         cut = [(_PLAIN if self.mixed and self.mixed.search(t) else self.units).findall(" " + t) if t else [] for t in texts]
         keys = np.concatenate([np.empty(0, np.uint64), *[self.occurrence_keys(d, len(c)) for c, d in zip(cut, documents, strict=True)]])
         units = [u for c in cut for u in c]
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        short = np.flatnonzero(sizes <= SCAN)
-        if len(short) == len(units):
-            made = list(map(self.node_ids.__getitem__, self.end_nodes(units, keys).tolist()))
-        else:
-            nodes = self.end_nodes([units[i] for i in short.tolist()], keys[short])
-            made = [b""] * len(units)
-            for i, x in zip(short.tolist(), nodes.tolist(), strict=True):
-                made[i] = self.node_ids[x]
-            for i in np.flatnonzero(sizes > SCAN).tolist():
-                made[i] = _packed(self.word(units[i].replace(" ", _SPACE), int(keys[i])))
+        nodes = self.end_nodes(units, keys)
+        made = list(map(self.node_ids.__getitem__, nodes.tolist()))
+        for i in np.flatnonzero(nodes < 0).tolist():
+            made[i] = _packed(self.word(units[i].replace(" ", _SPACE), int(keys[i])))
         out, at = [], 0
         for t, c in zip(texts, cut, strict=True):
             out.append(None if t is None else np.frombuffer(b"".join(made[at : at + len(c)]), np.int32))
