@@ -25,7 +25,7 @@ from .common import components, discard, settle
 from .shingles import Sets
 
 #: Percent of Jaccard similarity from which a text counts as near its centre.
-NEAR = 50
+NEAR = 30
 
 
 def shared_entries(entries: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
-import xxhash
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BI = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -71,34 +70,44 @@ class Sets(Protocol):
         ...
 
 
+class _Hashed:
+    """Sets as sorted arrays of 64-bit hashes: of n shingles two different ones collide with odds of about n * n / 2**65."""
+
+    def common(self, x: np.ndarray, y: np.ndarray) -> int:
+        both = np.concatenate((x, y))
+        both.sort()
+        return int(np.count_nonzero(both[1:] == both[:-1]))
+
+    def difference(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.setdiff1d(y, x, assume_unique=True).view(np.int64), np.setdiff1d(x, y, assume_unique=True).view(np.int64)
+
+
 @dataclass(frozen=True)
-class WordShingles:
-    """Word shingles as 64-bit hashes: two different ones of n shingles collide with odds of about n * n / 2**65."""
+class WordShingles(_Hashed):
+    """Word shingles: see shingle_hashes."""
 
     n: int
 
     def of(self, text: str | None) -> np.ndarray:
         return shingle_hashes(text, self.n)
 
-    def common(self, x: np.ndarray, y: np.ndarray) -> int:
-        return len(np.intersect1d(x, y, assume_unique=True))
-
-    def difference(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.setdiff1d(y, x, assume_unique=True).view(np.int64), np.setdiff1d(x, y, assume_unique=True).view(np.int64)
-
 
 @dataclass(frozen=True)
-class CharShingles:
+class CharShingles(_Hashed):
     """Distinct substrings of k characters; a shorter text is one shingle."""
 
     k: int
 
-    def of(self, text: str) -> set[str]:
-        return {text[i : i + self.k] for i in range(max(1, len(text) - self.k + 1))}
-
-    def common(self, x: set[str], y: set[str]) -> int:
-        return len(x & y)
-
-    def difference(self, x: set[str], y: set[str]) -> tuple[np.ndarray, np.ndarray]:
-        tokens = lambda s: np.array([xxhash.xxh3_64_intdigest(c.encode("utf-8", "surrogatepass")) for c in s], np.uint64).view(np.int64)
-        return tokens(y - x), tokens(x - y)
+    def of(self, text: str) -> np.ndarray:
+        h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        k = min(self.k, len(h))
+        out, skip, width, bit = None, 0, 1, 1
+        while bit <= k:  # the hash of k characters from hashes of 1, 2, 4 ... characters
+            if k & bit:
+                n = len(h) - skip if out is None else min(len(out), len(h) - skip)
+                out = h[skip : skip + n] if out is None else out[:n] * np.uint64(pow(int(_B), width, 1 << 64)) + h[skip : skip + n]
+                skip += bit
+            if bit * 2 <= k:
+                h = h[: len(h) - width] * np.uint64(pow(int(_B), width, 1 << 64)) + h[width:]
+            width, bit = width * 2, bit * 2
+        return np.unique(mix(out + np.uint64(k))) if k else np.zeros(1, np.uint64)

@@ -9,7 +9,7 @@ import pytest
 from quarry.llm.decontaminate import contamination, with_hits
 from quarry.llm.jaccard_join import jaccard_groups
 from quarry.llm.line_dedup import dedup_lines, drop_duplicate_lines, normal
-from quarry.llm.shingles import CharShingles
+from quarry.llm.shingles import CharShingles, WordShingles
 
 
 def prose(seed, n):
@@ -61,6 +61,23 @@ def test_jaccard_groups_match_brute_force(spark, corpus, k, percent):
     assert got == {i: (len(s), root(parent, i)) for i, s in sets.items()}
 
 
+def substrings(text, k):
+    return {text[i : i + k] for i in range(max(1, len(text) - k + 1))}
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 8, 13])
+def test_hashed_sets_measure_like_sets_of_texts(k):
+    texts = [prose(i, 30) for i in range(6)] + [edited(prose(0, 30), 3, 2), "abc", "abcd", "", "aaaaaaaaaaaaaaaaaaaaaaaa", "日本語のテキスト" * 3, "x\ud800y" * 4]
+    for kind, sets in ((CharShingles(k), [substrings(t, k) for t in texts]), (WordShingles(k), [shingles(t, k) for t in texts])):
+        made = [kind.of(t) for t in texts]
+        for x, a in zip(sets, made):
+            assert len(x) == len(a) or not x
+            for y, b in zip(sets, made):
+                assert kind.common(a, b) == len(x & y)
+                added, removed = kind.difference(a, b)
+                assert (len(added), len(removed)) == (len(y - x), len(x - y))
+
+
 def test_jaccard_groups_of_nothing_and_repeats(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_groups(empty).count() == 0
@@ -78,7 +95,7 @@ def test_line_classes_match_brute_force(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, line_no int")
     places = [(i, n, normal(x)) for i, t in docs if t for n, x in enumerate(t.split("\n")) if normal(x)]
     parent = {p[:2]: p[:2] for p in places}
-    sets = {p[:2]: CharShingles(8).of(p[2]) for p in places}
+    sets = {p[:2]: substrings(p[2], 8) for p in places}
     for a in parent:
         for b in parent:
             if a < b:
