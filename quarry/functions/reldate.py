@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from zoneinfo import ZoneInfo
 
 _TERM = re.compile(r"^([DNWMQYHF])(E)?((?:[+-]\d+[DNWMQYH]?)*)$")
 
 
+# What abbreviations of time zones stand for.
+_ZONES = {"UTC": "UTC", "GMT": "UTC", "Z": "UTC", "EST": "America/New_York", "EDT": "America/New_York", "CST": "America/Chicago", "CDT": "America/Chicago", "MST": "America/Denver", "MDT": "America/Denver", "PST": "America/Los_Angeles", "PDT": "America/Los_Angeles", "CET": "Europe/Paris", "CEST": "Europe/Paris", "BST": "Europe/London", "IST": "Asia/Kolkata", "JST": "Asia/Tokyo"}
+
+
 def _months(d: dt.datetime, n: int) -> dt.datetime:
     y, m = divmod(d.year * 12 + d.month - 1 + n, 12)
     last = [31, 29 if y % 4 == 0 and (y % 100 or y % 400 == 0) else 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][m]
@@ -24,12 +29,23 @@ def _shift(d: dt.datetime, unit: str, n: int) -> dt.datetime:
     return _months(d, n * {"M": 1, "Q": 3, "Y": 12, "F": 12}[unit])
 
 
-def resolve(text: str, now: dt.datetime | None = None, week_start: str = "Monday", fiscal_month: int = 1) -> dt.datetime:
-    """The time a relative date stands for; an ISO text is itself. E after the unit means the period's last day."""
-    s = text.strip().upper()
-    m = _TERM.match(s)
+def resolve(text: str | None, now: dt.datetime | None = None, week_start: str = "Monday", fiscal_month: int = 1) -> dt.datetime | None:
+    """The time a relative date stands for; an ISO text is itself, anything else null. E after the unit means the period's last day.
+
+    A time zone after it (D-1 EST, D Europe/Paris) resolves it by the clock there.
+    """
+    if not text or not text.strip():
+        return None
+    head, _, zone = text.strip().partition(" ")
+    m = _TERM.match(head.upper())
     if not m:
-        return dt.datetime.fromisoformat(text.strip())
+        try:
+            return dt.datetime.fromisoformat(text.strip())
+        except ValueError:
+            return None
+    if zone:
+        there = ZoneInfo(_ZONES.get(zone.strip().upper(), zone.strip()))
+        now = (now.astimezone() if now else dt.datetime.now(dt.timezone.utc)).astimezone(there).replace(tzinfo=None)
     now = now or dt.datetime.now()
     unit, end, offsets = m[1], m[2], m[3]
     day = now.replace(hour=0, minute=0, second=0, microsecond=0)

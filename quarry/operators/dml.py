@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import consecutive
+
 
 @dataclass
 class Change:
@@ -17,10 +19,10 @@ class Change:
     deleted: DataFrame | None = None
 
 
-def insert(target: DataFrame, rows: DataFrame, columns: list[str] | None = None, identity: str | None = None, defaults: dict[str, str] | None = None) -> Change:
+def insert(target: DataFrame, rows: DataFrame, columns: list[str] | None = None, identity: str | None = None, defaults: dict[str, str] | None = None, numbers: tuple[int, int] = (1, 1)) -> Change:
     """INSERT: rows by position, or into named columns; other columns take their default (SQL) or null.
 
-    identity numbers new rows on from the largest value there is.
+    identity numbers new rows on from the last value there is; numbers are the first value and the step.
     """
     given = list(columns or [c for c in target.columns if c != identity][: len(rows.columns)])
     if len(given) != len(rows.columns):
@@ -34,8 +36,9 @@ def insert(target: DataFrame, rows: DataFrame, columns: list[str] | None = None,
     kinds = dict(target.dtypes)
     defaults = {k.lower(): v for k, v in (defaults or {}).items()}
     if identity and identity.lower() not in low:
-        top = target.agg(F.coalesce(F.max(identity), F.lit(0))).first()[0]
-        rows = rows.withColumn("__o", F.monotonically_increasing_id()).withColumn(identity, F.row_number().over(Window.orderBy("__o")) + F.lit(top)).drop("__o")
+        first, step = numbers
+        last = target.agg((F.max if step > 0 else F.min)(identity)).first()[0]
+        rows = consecutive(rows, identity, first if last is None else last + step, step)
         low.add(identity.lower())
     new = rows.select(*[(F.col(c) if c.lower() in low else F.expr(defaults.get(c.lower(), "null"))).cast(kinds[c]).alias(c) for c in target.columns])
     return Change(target.unionByName(new), inserted=new)

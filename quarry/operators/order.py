@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _KEY = re.compile(r"(?is)^(.*?)(?:\s+(asc|desc))?(?:\s+nulls\s+(first|last))?\s*$")
@@ -44,3 +44,22 @@ def keys(order: str | list[str]) -> list[Key]:
 
 def sort_columns(order: str | list[str], reverse: bool = False) -> list[Column]:
     return [k.sort(reverse=reverse) for k in keys(order)]
+
+
+def consecutive(df: DataFrame, name: str, start: int = 0, step: int = 1) -> DataFrame:
+    """df with consecutive numbers in name, in the order of its partitions and of rows in them.
+
+    Partitions are counted first, so that each numbers its own rows and none has to hold all;
+    the driver sees one count for each partition. df must give the same rows again.
+    """
+    placed = df.withColumn("__place", F.monotonically_increasing_id())
+    part = F.shiftright("__place", 33)
+    counts = placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()
+    before, at = {}, 0
+    for r in sorted(counts, key=lambda r: r["p"]):
+        before[r["p"]] = at
+        at += r["n"]
+    offsets = df.sparkSession.createDataFrame(list(before.items()), "__part int, __before long")
+    joined = placed.withColumn("__part", part.cast("int")).join(F.broadcast(offsets), "__part")
+    number = F.lit(start) + F.lit(step) * (F.col("__before") + F.col("__place").bitwiseAND((1 << 33) - 1))
+    return joined.select(*df.columns, number.alias(name))

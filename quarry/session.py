@@ -8,6 +8,7 @@ import os
 import re
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,12 @@ class _Return(Exception):
         self.value = value
 
 
+class _Goto(Exception):
+    def __init__(self, label: str):
+        super().__init__(f"no label {label} to go to")
+        self.label = label.lower()
+
+
 @dataclass
 class Column:
     """A declared column: its type and constraints."""
@@ -54,6 +61,7 @@ class Column:
     primary: bool = False
     unique: bool = False
     identity: bool = False
+    numbers: tuple[int, int] = (1, 1)
     default: str | None = None
     check: str | None = None
     length: int | None = None
@@ -72,7 +80,7 @@ class Function:
 
 
 _STARTS = set(
-    "SELECT WITH INSERT UPDATE DELETE TRUNCATE MERGE REPLACE CREATE DROP ALTER DECLARE SET IF WHILE FOR FOREACH BEGIN TRY THROW RAISEERROR RAISERROR PRINT RETURN BREAK CONTINUE EXEC EXECUTE TRANSFORM GENERATE COMPARE ASSERT EXPECT PIVOT UNPIVOT COMMIT ROLLBACK EXPLAIN REPLAY GO VALUES WAITFOR PUBLISH EXPORT".split()
+    "SELECT WITH INSERT UPDATE DELETE TRUNCATE MERGE REPLACE CREATE DROP ALTER DECLARE SET IF WHILE FOR FOREACH BEGIN TRY THROW RAISEERROR RAISERROR PRINT GOTO PARALLEL RUN BULK RETURN BREAK CONTINUE EXEC EXECUTE TRANSFORM GENERATE COMPARE ASSERT EXPECT PIVOT UNPIVOT COMMIT ROLLBACK EXPLAIN REPLAY GO VALUES WAITFOR PUBLISH EXPORT".split()
 )
 
 
@@ -82,6 +90,7 @@ class Session:
     def __init__(self, spark: SparkSession, state_dir: str | None = None):
         self.spark = spark
         library.register(spark)
+        spark.conf.set("spark.sql.variable.substitute", "false")  # ${...} is the language's own
         self.tables: dict[str, DataFrame] = {}
         self.schemas: dict[str, list[Column]] = {}
         self.views: dict[str, list[Token]] = {}
@@ -92,7 +101,7 @@ class Session:
         self.procedures: dict[str, Function] = {}
         self.host: dict[str, Callable] = {}
         self.connections: dict[str, tuple[str, dict]] = {}
-        self.settings: dict[str, object] = {"CASE_SENSITIVE": False, "WHAT_IF": False, "MAX_RECURSIVE_DEPTH": 10_000, "MAX_GROUPING_SETS": 4096, "DATA_QUALITY_DRY_RUN": False, "WEEK_START_DAY": "Monday", "DATEFORMAT": "mdy"}
+        self.settings: dict[str, object] = {"CASE_SENSITIVE": False, "WHAT_IF": False, "MAX_RECURSIVE_DEPTH": 10_000, "MAX_GROUPING_SETS": 4096, "DATA_QUALITY_DRY_RUN": False, "WEEK_START_DAY": "Monday", "MAX_PARALLEL_DEGREE": 8, "DATEFORMAT": "mdy"}
         self.snapshots: list[tuple] = []
         self.state = highwater.StateStore(state_dir)
         self.error: dict[str, object] = {}
@@ -100,6 +109,10 @@ class Session:
         self.warnings: list[str] = []
         self.labels: dict[str, tuple[list[Token], str | None]] = {}
         self.lineage: list[dict] = []
+        #: What RUN SCRIPT hands to the parameters of this script, and the folder its own paths start from.
+        self.inputs: dict[str, object] = {}
+        self.outputs: set[str] = set()
+        self.folder = os.getcwd()
         self._n = 0
 
     # --- what the compiler asks for ------------------------------------------------------------------------------------
@@ -297,11 +310,39 @@ class Session:
             return self.block(Cursor(tokenize(text), text))
         except _Return:
             return None
+        except _Goto as e:
+            raise ScriptError(str(e)) from None
 
     def query(self, tokens: list[Token]) -> DataFrame:
         return Compiler(self).frame(self.interpolated(tokens))
 
     def block(self, c: Cursor, *ends: str) -> DataFrame | None:
+        """Statements up to one of ends. GOTO moves on from a label of the same block or one around it."""
+        if ends:
+            return self.statements(c, *ends)
+        while True:
+            try:
+                return self.statements(c)
+            except _Goto as jump:
+                at = self.label_places(c.tokens).get(jump.label)
+                if at is None:
+                    raise
+                c.i = at
+
+    @staticmethod
+    def label_places(tokens: list[Token]) -> dict[str, int]:
+        """Where the labels outside nested blocks stand."""
+        out, depth = {}, 0
+        for i, t in enumerate(tokens):
+            if t.kind == "word" and t.up in ("BEGIN", "CASE"):
+                depth += not (i + 1 < len(tokens) and tokens[i + 1].up in ("TRANSACTION", "TRAN"))
+            elif t.kind == "word" and t.up == "END":
+                depth -= 1
+            elif depth == 0 and t.kind == "word" and t.up not in _STARTS and i + 1 < len(tokens) and tokens[i + 1].text == ":" and (i == 0 or tokens[i - 1].text in (";", ":") or tokens[i - 1].up in ("GO", "END")):
+                out[t.text.lower()] = i
+        return out
+
+    def statements(self, c: Cursor, *ends: str) -> DataFrame | None:
         last = None
         while c.now is not None and not (ends and c.now.up in ends):
             if c.accept(";") or c.accept("GO"):
@@ -470,11 +511,18 @@ class Session:
             name = pc.next().text.lower()
             pc.accept("AS")
             kind = None
+            given = None
             if pc.now is not None and pc.now.text != "=":
-                kind = "".join(t.text for t in pc.until("="))
+                words = pc.until("=")
+                given = words[-1].up if words[-1].up in ("INPUT", "OUTPUT") else None
+                kind = "".join(t.text for t in (words[:-1] if given else words)) or None
             value = None
             if pc.accept("="):
                 value = self.scalar(pc.tokens[pc.i :])
+            if given and name in self.inputs:
+                value = self.inputs[name]
+            if given == "OUTPUT":
+                self.outputs.add(name)
             if kind and kind.upper() != "LIST" and not kind.upper().startswith(("ANY", "VARIANT", "MINMAX")):
                 self.types[name] = library.spark_type(kind)
                 if value is not None:
@@ -609,7 +657,8 @@ class Session:
                 elif pc.accept("IDENTITY"):
                     col.identity = True
                     if pc.at("("):
-                        pc.inside()
+                        first, step = ([int(self.scalar(p)) for p in split_commas(pc.inside())] + [1])[:2]
+                        col.numbers = (first, step)
                 elif pc.accept("DEFAULT"):
                     body = pc.until("NOT NULL", "PRIMARY KEY", "UNIQUE", "CHECK", "REFERENCES", "FOREIGN KEY")
                     col.default = Parser(body, self.scope()).whole().sql
@@ -777,9 +826,10 @@ class Session:
         if replace:
             key = [x.name for x in meta if x.primary]
             return self.apply_change(name, dml.replace_rows(target, self.fitted(rows, target, columns, None), key, columns), output)
-        identity = next((x.name for x in meta if x.identity), None)
+        numbered = next((x for x in meta if x.identity), None)
+        identity = numbered.name if numbered else None
         defaults = {x.name: x.default for x in meta if x.default}
-        return self.apply_change(name, dml.insert(target, self.fitted(rows, target, columns, identity), columns, identity, defaults), output)
+        return self.apply_change(name, dml.insert(target, self.fitted(rows, target, columns, identity), columns, identity, defaults, numbered.numbers if numbered else (1, 1)), output)
 
     def fitted(self, rows: DataFrame, target: DataFrame, columns: list[str] | None, identity: str | None) -> DataFrame:
         """Rows cast the way the language casts, column by column."""
@@ -1146,6 +1196,8 @@ class Session:
             target = c.next().text.lower()
             c.next()
         name = c.name().lower()
+        if name in self.connections and c.at("BEGIN"):
+            return self.native_block(name, c)
         if name not in self.procedures:
             raise ScriptError(f"unknown procedure {name}")
         f = self.procedures[name]
@@ -1175,6 +1227,111 @@ class Session:
 
     do_execute = do_exec
 
+    def native_block(self, connection: str, c: Cursor) -> DataFrame:
+        """EXECUTE connection BEGIN native SQL END: the text runs in the database as it is written."""
+        from .sources import readers
+
+        c.expect("BEGIN")
+        start, depth = c.now, 1
+        while True:
+            t = c.next()
+            depth += (t.kind == "word" and t.up in ("BEGIN", "CASE")) - (t.kind == "word" and t.up == "END")
+            if not depth:
+                break
+        text = self.interpolate(c.text[start.start : t.start]).strip().rstrip(";")
+        kind, options = self.connections[connection]
+        return readers.read(self.spark, kind, options | {"QUERY": text})
+
+    def do_run(self, c: Cursor) -> DataFrame | None:
+        """RUN SCRIPT path [WITH (@parameter = value, ...)]: another script with variables of its own and the tables of this one.
+
+        Parameters it declares as INPUT take the values; those declared as OUTPUT go back to the
+        variables they are set equal to.
+        """
+        c.expect("RUN", "SCRIPT")
+        path = str(self.scalar(c.until("WITH", ";", "GO")))
+        given = [Cursor(p) for p in split_commas(c.inside())] if c.accept("WITH") else []
+        self.tokens_of_statement(c)
+        pairs = []
+        for p in given:
+            name = p.next().text.lower()
+            p.expect("=")
+            pairs.append((name, p.tokens[p.i :]))
+        if "://" not in path:
+            path = os.path.join(self.folder, path)
+        row = self.spark.read.text(path, wholetext=True).first()
+        child = Session(self.spark)
+        shared = ("tables", "schemas", "views", "sets", "functions", "procedures", "host", "connections", "state", "printed", "warnings", "lineage")
+        for x in shared:
+            setattr(child, x, getattr(self, x))
+        child.settings, child.folder = dict(self.settings), os.path.dirname(path)
+        own = lambda t: len(t) == 1 and t[0].kind == "variable" and t[0].text.lower() not in self.variables
+        child.inputs = {n: None if own(t) else self.scalar(t) for n, t in pairs}
+        out = child.sql(row[0] if row else "")
+        for n, t in pairs:
+            if len(t) == 1 and t[0].kind == "variable" and n in child.outputs:
+                self.variables[t[0].text.lower()] = child.variables[n]
+        return out
+
+    def do_bulk(self, c: Cursor) -> None:
+        """BULK INSERT target [(columns)] FROM path [WITH (options)]; @@ROWCOUNT is the number of rows loaded."""
+        from .sources import readers
+
+        c.expect("BULK", "INSERT")
+        name = c.name()
+        columns = [p[0].text.strip('"') for p in split_commas(c.inside())] if c.at("(") else None
+        c.expect("FROM")
+        path = str(self.scalar(c.until("WITH", ";", "GO")))
+        options = Compiler(self).options(c.inside()) if c.accept("WITH") else {}
+        self.tokens_of_statement(c)
+        target = self.table(name)
+        header = options.get("HEADER", int(options.get("FIRSTROW", 1)) > 1)
+        header = str(header).upper() == "TRUE"
+        given = target.select(*columns) if columns else target
+        good, rejected = readers.bulk_insert(
+            self.spark, path, given, str(options.get("MAPPING", "NAME" if header else "POSITION")), max(int(options.get("FIRSTROW", 1)), 2 if header else 1), int(options.get("MAXERRORS", 0)), str(options.get("FIELDTERMINATOR", ",")), header
+        )
+        bad = rejected.count()
+        if bad:
+            self.warnings.append(f"{path}: {bad} rejected rows")
+        meta = self.schemas.get(name.lower(), [])
+        identity = next((x for x in meta if x.identity), None)
+        self.apply_change(name, dml.insert(target, good, given.columns, identity.name if identity else None, {x.name: x.default for x in meta if x.default}, identity.numbers if identity else (1, 1)), None)
+
+    # --- several at once, and jumps --------------------------------------------------------------------------------------
+
+    def do_parallel(self, c: Cursor) -> None:
+        """PARALLEL BEGIN ... END: its statements at the same time, at most MAX_PARALLEL_DEGREE of them. All end before an error is raised."""
+        c.next()
+        tokens = self.skip(c)
+        parts: list[list[Token]] = [[]]
+        depth = 0
+        for t in tokens:
+            if t.kind == "word":
+                depth += (t.up in ("BEGIN", "CASE")) - (t.up == "END")
+            if t.text == ";" and depth == 0:
+                parts.append([])
+            else:
+                parts[-1].append(t)
+        parts = [p for p in parts if p]
+
+        def run(part: list[Token]) -> None:
+            out = self.block(Cursor(part, c.text))
+            if out is not None:
+                out.write.format("noop").mode("overwrite").save()
+
+        with ThreadPoolExecutor(max(1, int(self.settings.get("MAX_PARALLEL_DEGREE", 8)))) as pool:
+            jobs = [pool.submit(run, p) for p in parts]
+        errors = [e for e in (j.exception() for j in jobs) if e is not None]
+        if errors:
+            raise errors[0]
+
+    def do_goto(self, c: Cursor) -> None:
+        c.next()
+        label = c.name()
+        self.tokens_of_statement(c)
+        raise _Goto(label)
+
     # --- control flow --------------------------------------------------------------------------------------------------
 
     def do_if(self, c: Cursor) -> DataFrame | None:
@@ -1350,7 +1507,7 @@ class Session:
         c.accept(";")
         try:
             return self.block(Cursor(body))
-        except (_Break, _Continue, _Return):
+        except (_Break, _Continue, _Return, _Goto):
             raise
         except Exception as e:  # the language's CATCH takes any failed statement
             self.error = {"message": str(e), "number": getattr(e, "number", 50000), "state": getattr(e, "state", 1), "severity": getattr(e, "severity", 16), "line": 0}

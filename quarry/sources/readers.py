@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,24 +160,32 @@ def read(spark: SparkSession, kind: str, options: dict, table: str | None = None
     return READERS[kind.upper()](spark, options, table)
 
 
-def bulk_insert(spark: SparkSession, path: str, target: DataFrame, mapping: str = "POSITION", first_row: int = 1, max_errors: int = 10, delimiter: str = ",") -> tuple[DataFrame, DataFrame]:
+def bulk_insert(spark: SparkSession, path: str, target: DataFrame, mapping: str = "POSITION", first_row: int = 1, max_errors: int = 10, delimiter: str = ",", header: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """BULK INSERT: (rows in target's types, rejected lines). More than max_errors rejects fail the load.
 
-    mapping is POSITION, or NAME (the line before first_row holds the names).
+    mapping is POSITION, or NAME (the first row holds the names; names that are not all there
+    fall back to positions). first_row is the first data row of each file, counted from 1: rows
+    before it stand in the file's first block, which is all that is numbered.
     """
     kinds = {c.lower(): t for c, t in target.dtypes}
-    by_name = mapping.upper() == "NAME"
-    raw = spark.read.option("sep", delimiter).option("header", by_name).option("mode", "PERMISSIVE").csv(path)
-    names = [c.lower() for c in raw.columns] if by_name else [c.lower() for c in target.columns[: len(raw.columns)]]
-    raw = raw.toDF(*names)
-    skip = first_row - (2 if by_name else 1)
+    header = mapping.upper() == "NAME" if header is None else header
+    lines = spark.read.option("sep", delimiter).option("header", header).option("mode", "PERMISSIVE")
+    found = [c.lower() for c in lines.csv(path).columns] if header and mapping.upper() == "NAME" else []
+    names = found if set(kinds) <= set(found) else [c.lower() for c in target.columns]
+    raw = spark.read.option("sep", delimiter).option("header", header).option("mode", "PERMISSIVE").schema(", ".join(f"c{i} string" for i in range(len(names)))).csv(path)
+    skip = first_row - (2 if header else 1)
     if skip > 0:
-        raw = raw.withColumn("__n", F.monotonically_increasing_id()).where(F.col("__n") >= skip).drop("__n")
+        raw = raw.select("*", F.col("_metadata.file_path").alias("__file"), (F.col("_metadata.file_block_start") == 0).alias("__head"), F.monotonically_increasing_id().alias("__n"))
+        w = Window.partitionBy("__file").orderBy("__n")
+        early = raw.where("__head").select("__file", "__n").withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= skip).select("__file", "__n")
+        raw = raw.join(F.broadcast(early), ["__file", "__n"], "left_anti").drop("__file", "__head", "__n")
+    raw = raw.toDF(*names)
+    used = [n for n in names if n in kinds]
     bad = F.lit(False)
-    for n in names:
+    for n in used:
         bad = bad | (F.col(n).isNotNull() & F.col(n).try_cast(kinds[n]).isNull())
     rejected = raw.where(bad)
     if rejected.limit(max_errors + 1).count() > max_errors:
         raise SourceError(f"{path}: more than {max_errors} rejected rows")
-    good = raw.where(~bad).select(*[F.col(c.lower()).cast(t).alias(c) if c.lower() in names else F.lit(None).cast(t).alias(c) for c, t in target.dtypes])
+    good = raw.where(~bad).select(*[F.col(c.lower()).cast(t).alias(c) if c.lower() in used else F.lit(None).cast(t).alias(c) for c, t in target.dtypes])
     return good, rejected
