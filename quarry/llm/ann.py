@@ -10,15 +10,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import scratch, settle
 
 #: Tables, hash functions of a table, buckets a query visits in each table, and vectors per block of a bucket.
 TABLES, FUNCTIONS, PROBES, BLOCK = 6, 7, 160, 4096
 #: Vectors the widths are fitted on, at most.
 FIT_ROWS = 4096
-#: Widths of a cell that are tried, as multiples of the median distance to the 32nd neighbour among
-#: those, and the recall there that settles on one.
-WIDTHS, RECALL = (1.0, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0, 4.0, 6.0), 0.95
+#: Growth from one width of a cell that is tried to the next, beginning with the median distance to
+#: the 32nd neighbour among those, and the recall there that settles on one.
+GROWTH, RECALL = 1.06, 0.95
+#: Queries that one group of the comparison holds, about.
+QUERIES = 50_000
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -101,7 +103,7 @@ class PStable:
 
 
 def fit(sample: np.ndarray, k: int, longest: float, tables: int, functions: int, probes: int, asked: int = 128) -> PStable:
-    """The hashing of least width whose buckets hold RECALL of the sample's own k nearest."""
+    """The hashing of least width whose visited buckets hold RECALL of the sample's own k nearest. Widths grow until they do: in the end one bucket holds all."""
     dims = sample.shape[1]
     base = PStable(dims, 1.0, longest)
     x, q = base.points(sample), sample[:asked]
@@ -110,13 +112,14 @@ def fit(sample: np.ndarray, k: int, longest: float, tables: int, functions: int,
     score = q @ sample.T
     score[np.arange(len(q)), np.arange(len(q))] = -np.inf
     true = np.argsort(-score, 1, kind="stable")[:, : max(1, min(k, len(sample) - 1))]
-    for width in WIDTHS:
-        lsh = PStable(dims, width * unit, longest, tables, functions, probes)
+    width = unit
+    while True:
+        lsh = PStable(dims, width, longest, tables, functions, probes)
         buckets, visits = lsh.buckets(sample), lsh.probes(q)
         found = sum(any_table(buckets[true[i]], visits[i]).sum() for i in range(len(q)))
         if found >= RECALL * true.size:
-            break
-    return lsh
+            return lsh
+        width *= GROWTH
 
 
 def any_table(buckets: np.ndarray, visits: np.ndarray) -> np.ndarray:
@@ -135,15 +138,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     perturbed ones in the order of their estimated chance; candidates of all tables are merged
     and ranked by the exact inner product of the original vectors. Equal vectors share one entry
     with their k + 1 smallest ids, which is all that any answer can need; so do equal queries.
-    Large buckets are split into blocks of about `block` vectors, each of which sees the bucket's
-    queries, and only k rows per query leave a block. A query that finds fewer than k takes the
-    rest from a comparison with all blocks of vectors.
+    Large buckets are split into blocks of about `block` vectors and queries into shares of about
+    QUERIES, so that no group of the comparison grows with the input, and only k rows per query
+    leave a group. A query that finds fewer than k takes the rest from a comparison with all
+    blocks of vectors.
 
     Rows with a null id, or a vector that is null, empty, zero, of another length than most, or
     has null or non-finite components, take no part, as queries or candidates. A query's own row
     is not its candidate; ties go to the smaller id; ids that repeat count as one row with the
     smallest vector. Fewer than k candidates: all of them. Other columns are ignored.
     """
+    with scratch():
+        return _nearest(vectors, queries, k, id_col, vec_col, tables, functions, probes, block)
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, tables: int, functions: int, probes: int, block: int) -> DataFrame:
     spark = vectors.sparkSession
     schema = f"query_id long, rank int, {id_col} long, score double"
 
@@ -164,8 +173,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         return small.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
 
     points = settle(share(base).select(F.monotonically_increasing_id().alias("p"), "v", "ids"), "points")
-    asked = settle(distinct(queries).where(F.size("v") == dims).groupBy("v").agg(F.collect_list("id").alias("qids")).select(F.monotonically_increasing_id().alias("q"), "v", "qids"), "queries")
-    n = points.count()
+    # equal queries are asked once, under the smallest of their ids
+    own = distinct(queries).where(F.size("v") == dims)
+    asked = settle(own.groupBy("v").agg(F.min("id").alias("q")), "queries")
+    owners = settle(own.join(asked, "v").select("q", F.col("id").alias("query_id")), "owners", keep=True)
+    n, shares = points.count(), max(1, -(-asked.count() // QUERIES))
     longest = points.select(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
     sample = np.array([r["v"] for r in points.select("v").orderBy(F.xxhash64("v")).limit(FIT_ROWS).collect()])
     lsh = spark.sparkContext.broadcast(fit(sample, k, longest, tables, functions, probes))
@@ -186,11 +198,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     sizes = member.groupBy("t", "bucket").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     # small buckets share a cell, which is what one group of the comparison holds
     cells = max(1, -(-n // (16 * block)))
-    cell = F.struct("t", F.pmod(F.xxhash64("t", "bucket", "s"), F.lit(cells)).alias("h"))
+    cell = F.struct("t", F.pmod(F.xxhash64("t", "bucket", "s"), F.lit(cells)).alias("h"), "share")
+    each = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")
+    share_of = F.pmod(F.xxhash64(F.lit("share"), "q"), F.lit(shares)).cast("int").alias("share")
     member = member.join(sizes, ["t", "bucket"]).withColumn("s", F.pmod(F.xxhash64("p"), F.col("blocks")).cast("int"))
-    member = member.select(cell.alias("cell"), "bucket", "s", "p").join(points.select("p", "v"), "p")
+    member = member.select("t", "bucket", "s", "p", each).select(cell.alias("cell"), "bucket", "s", "p").join(points.select("p", "v"), "p")
     visits = asked.select("q", "v").mapInPandas(to_probes, "q long, t int, bucket long").join(sizes, ["t", "bucket"])
-    visits = visits.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(cell.alias("cell"), "bucket", "s", "q")
+    visits = visits.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("*", share_of).select(cell.alias("cell"), "bucket", "s", "q")
     # a query goes to a cell once, with the buckets that it visits there
     visits = visits.groupBy("cell", "q").agg(F.collect_set(F.struct("bucket", "s")).alias("to")).join(asked.select("q", "v"), "q")
 
@@ -219,13 +233,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     if short.limit(1).count():
         # beyond the visited buckets: these queries against all vectors, in blocks
         b = max(1, -(-n // block))
-        short = settle(short, "short").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-        blocks = points.select("p", "v", F.pmod(F.xxhash64("p"), F.lit(b)).cast("int").alias("s"))
+        short = settle(short, "short").select("q", "v", share_of, F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("s"))
+        blocks = points.select("p", "v", F.pmod(F.xxhash64("p"), F.lit(b)).cast("int").alias("s"), each)
 
         def whole(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             return _top([_best(_matrix(left["v"], dims), left["q"].to_numpy(), _matrix(right["v"], dims), right["p"].to_numpy(), k + 1)] if len(left) and len(right) else [], k + 1)
 
-        found = found.union(short.groupBy("s").cogroup(blocks.groupBy("s")).applyInPandas(whole, "q long, p long, score double"))
+        found = found.union(short.groupBy("s", "share").cogroup(blocks.groupBy("s", "share")).applyInPandas(whole, "q long, p long, score double"))
 
     # k + 1 groups of equal vectors are enough for a query, whichever of them holds its own row
     pairs = nearest_of(found).select("q", "p").join(points, "p").join(asked.select("q", F.col("v").alias("qv")), "q")
@@ -237,7 +251,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     exact = pairs.select("q", "ids", product("v", "qv").alias("score"))
     ranked = exact.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "ids"))).alias("x"))
     flat = F.flatten(F.transform("x", lambda e: F.transform(e.ids, lambda i: F.struct(e.far.alias("far"), i.alias("id")))))
-    ranked = ranked.select("q", F.array_sort(flat).alias("x")).join(asked.select("q", "qids"), "q").select(F.explode("qids").alias("query_id"), "x")
+    ranked = settle(ranked.select("q", F.array_sort(flat).alias("x")), "ranked", keep=True).join(owners, "q").select("query_id", "x")
     mine = F.slice(F.filter("x", lambda e: e.id != F.col("query_id")), 1, k)
     ranked = ranked.select("query_id", F.posexplode(mine).alias("at", "e"))
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("e.id").alias(id_col), (-F.col("e.far")).alias("score"))
