@@ -6,7 +6,7 @@ import heapq
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import pairwise, repeat
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from .common import bound_batches
 #: Chance that a candidate merge is skipped.
 DROPOUT, SEED = 0.1, 17
 #: Courses of units a worker keeps before it starts its cache anew.
-CACHE = 800_000
+CACHE = 500_000
 #: Occurrences that are followed through the cache at once.
 CHUNK = 1 << 15
 #: Longer units go through a heap, shorter ones through a table of many units at once (the same
@@ -63,10 +63,6 @@ def unit_pattern(pieces: list[str]) -> tuple[re.Pattern, re.Pattern | None]:
     return re.compile(f" *[^ \n▁{chars}]+| *[{chars}]+| +|\n|▁"), re.compile("[" + "".join(map(re.escape, sorted(mixed))) + "]") if mixed else None
 
 
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, np.int32).tobytes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
     return (x ^ (x >> np.uint64(29))) * np.uint64(_RANK)
@@ -99,12 +95,16 @@ class MergeEncoder:
     def clear(self) -> None:
         """Forget all nodes."""
         self.roots: dict[str, int] = {}
-        self.turns: dict[int, int] = {}
-        self.node_unit: list[str] = []
-        self.node_ids: list[bytes] = []
-        self.masks = np.zeros(1024, np.uint64)
-        self.starts, self.counts = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.root_units: list[str] = []
+        #: Of each node: its unit (a place in root_units), course, and where its ids and candidates begin and how many there are.
+        self.nodes = 0
+        self.unit_of, self.masks = np.zeros(1024, np.int32), np.zeros(1024, np.uint64)
+        self.id_starts, self.id_counts = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.starts, self.counts = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.made, self.made_used = np.zeros(4096, np.int32), 0
         self.candidates, self.used = np.zeros(4096, np.uint64), 0
+        #: Sorted (node << 6 | skipped candidate) and the nodes they lead to.
+        self.turns, self.turned = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def occurrence_keys(self, document: int, n: int) -> np.ndarray:
         """The keys of a document's n units."""
@@ -168,9 +168,9 @@ class MergeEncoder:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.merges[at], _NONE)
 
-    def courses(self, words: list[str], masks: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Ids (as bytes of int32) of words of up to SCAN characters under courses, merged side by side, with
-        the keys of the candidates after each course's last skip, word by word, and their number."""
+    def courses(self, words: list[str], masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of up to SCAN characters under courses, merged side by side: their ids and the number of
+        each, and the keys of the candidates after each course's last skip and the number of each."""
         if self.keys is None:
             self._pairs()
         n, gone = len(words), self.other + 1
@@ -231,17 +231,20 @@ class MergeEncoder:
             else:
                 cell[go], merge[go] = c, m
         held = final != gone
-        values = final[held].astype(np.int32).tobytes()
-        ends = (4 * np.cumsum(held.sum(1))).tolist()
-        out = [values[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        for i in np.flatnonzero((final == self.other).any(1)).tolist():  # characters outside the vocabulary become bytes
-            chars, ids = iter([ch for ch in words[i] if self.symbol[ord(ch)] == self.other]), []
-            for x in final[i][held[i]].tolist():
-                ids.extend((x,) if x != self.other else (self.bytes[v] for v in next(chars).encode("utf-8", "surrogatepass")))
-            out[i] = _packed(ids)
+        values, sizes = final[held].astype(np.int32), held.sum(1)
+        odd = np.flatnonzero((final == self.other).any(1))
+        if len(odd):  # characters outside the vocabulary become bytes
+            parts = np.split(values, np.cumsum(sizes)[:-1])
+            for i in odd.tolist():
+                chars, ids = iter([ch for ch in words[i] if self.symbol[ord(ch)] == self.other]), []
+                for x in parts[i].tolist():
+                    ids.extend((x,) if x != self.other else (self.bytes[v] for v in next(chars).encode("utf-8", "surrogatepass")))
+                parts[i] = np.array(ids, np.int32)
+                sizes[i] = len(ids)
+            values = np.concatenate(parts)
         owner = np.concatenate([f[0] for f in free]) if free else np.empty(0, np.int64)
         keys = np.concatenate([f[1] for f in free]) if free else np.empty(0, np.uint64)
-        return out, keys[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=n)
+        return values, sizes, keys[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=n)
 
     def word(self, word: str, key: int) -> list[int]:
         """Ids of one occurrence of a unit (spaces already U+2581), by a heap."""
@@ -251,44 +254,60 @@ class MergeEncoder:
             ids.extend((i,) if i is not None else (self.bytes[b] for b in part.encode("utf-8", "surrogatepass")))
         return ids
 
-    def _grow(self, units: list[str], masks: np.ndarray) -> np.ndarray:
-        """New nodes for units under courses; their numbers."""
-        first = len(self.node_unit)
-        order = np.argsort(np.fromiter(map(len, units), np.int64, len(units)), kind="stable")
+    def _grow(self, units: np.ndarray, masks: np.ndarray) -> np.ndarray:
+        """New nodes for units (places in root_units) under courses; their numbers."""
+        words = [self.root_units[u] for u in units.tolist()]
+        order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
+        first = self.nodes
         for lo in range(0, len(order), 8192):
-            part = order[lo : lo + 8192].tolist()
-            plain = [units[i].replace(" ", _SPACE) if units[i] != _SPACE else units[i] for i in part]
-            ids, keys, counts = self.courses(plain, masks[part])
-            n, more = len(self.node_unit), len(part)
-            while n + more > len(self.counts):
-                self.masks, self.starts, self.counts = (np.concatenate((x, np.zeros_like(x))) for x in (self.masks, self.starts, self.counts))
+            part = order[lo : lo + 8192]
+            plain = [words[i].replace(" ", _SPACE) if words[i] != _SPACE else _SPACE for i in part.tolist()]
+            ids, id_counts, keys, counts = self.courses(plain, masks[part])
+            a, b = self.nodes, self.nodes + len(part)
+            while b > len(self.counts):
+                for name in ("unit_of", "masks", "id_starts", "id_counts", "starts", "counts"):
+                    setattr(self, name, np.concatenate((getattr(self, name), np.zeros_like(getattr(self, name)))))
+            while self.made_used + len(ids) > len(self.made):
+                self.made = np.concatenate((self.made, np.zeros_like(self.made)))
             while self.used + len(keys) > len(self.candidates):
                 self.candidates = np.concatenate((self.candidates, np.zeros_like(self.candidates)))
-            self.node_unit += [units[i] for i in part]
-            self.node_ids += ids
-            self.masks[n : n + more], self.counts[n : n + more] = masks[part], counts
-            self.starts[n : n + more] = self.used + np.cumsum(counts) - counts
+            self.unit_of[a:b], self.masks[a:b], self.id_counts[a:b], self.counts[a:b] = units[part], masks[part], id_counts, counts
+            self.id_starts[a:b] = self.made_used + np.cumsum(id_counts) - id_counts
+            self.starts[a:b] = self.used + np.cumsum(counts) - counts
+            self.made[self.made_used : self.made_used + len(ids)] = ids
             self.candidates[self.used : self.used + len(keys)] = keys
-            self.used += len(keys)
+            self.nodes, self.made_used, self.used = b, self.made_used + len(ids), self.used + len(keys)
         out = np.empty(len(units), np.int64)
         out[order] = np.arange(first, first + len(units))
         return out
 
+    def _roots(self, units: list[str]) -> np.ndarray:
+        """New roots for units."""
+        places = np.arange(len(self.root_units), len(self.root_units) + len(units))
+        self.root_units += units
+        made = self._grow(places, np.zeros(len(units), np.uint64))
+        self.roots.update(zip(units, made.tolist(), strict=True))
+        return made
+
     def _literal(self) -> None:
         """The node of a literal U+2581: its bytes, whatever comes up."""
-        node = int(self._grow([_SPACE], np.zeros(1, np.uint64))[0])
-        self.node_ids[node], self.counts[node] = _packed([self.bytes[b] for b in _SPACE.encode()]), 0
-        self.roots[_SPACE] = node
+        node = int(self._roots([_SPACE])[0])
+        ids = np.array([self.bytes[b] for b in _SPACE.encode()], np.int32)
+        self.id_starts[node], self.id_counts[node], self.counts[node] = self.made_used, len(ids), 0
+        while self.made_used + len(ids) > len(self.made):
+            self.made = np.concatenate((self.made, np.zeros_like(self.made)))
+        self.made[self.made_used : self.made_used + len(ids)] = ids
+        self.made_used += len(ids)
 
     def end_nodes(self, units: list[str], keys: np.ndarray) -> np.ndarray:
         """The node that each occurrence of a unit ends in; -1 for units longer than SCAN."""
-        if len(self.node_unit) > CACHE:
+        if self.nodes > CACHE:
             self.clear()
         if _SPACE not in self.roots:
             self._literal()
         new = set(units) - self.roots.keys()
         short = [u for u in new if len(u) <= SCAN]
-        self.roots.update(zip(short, self._grow(short, np.zeros(len(short), np.uint64)).tolist(), strict=True))
+        self._roots(short)
         self.roots.update((u, -1) for u in new if len(u) > SCAN)
         node = np.fromiter(map(self.roots.__getitem__, units), np.int64, len(units))
         if self.limit:
@@ -311,16 +330,20 @@ class MergeEncoder:
                 break
             active, at, turn = active[who], at[who], turn[hit][first]
             step, back = np.unique(at << 6 | turn, return_inverse=True)
-            moves = step.tolist()
-            to = np.fromiter(map(self.turns.get, moves, repeat(-1)), np.int64, len(moves))
-            missing = np.flatnonzero(to < 0)
-            if len(missing):
-                parents = step[missing] >> 6
+            place = np.searchsorted(self.turns, step)
+            known = np.zeros(len(step), bool)
+            inside = place < len(self.turns)
+            known[inside] = self.turns[place[inside]] == step[inside]
+            to = np.empty(len(step), np.int64)
+            to[known] = self.turned[place[known]]
+            new = np.flatnonzero(~known)
+            if len(new):
+                parents = step[new] >> 6
                 masks = self.masks[parents]
                 # the candidates of a node are counted from its last skip on
                 base = np.where(masks > 0, np.frexp(masks.astype(np.float64))[1], 0).astype(np.uint64)
-                to[missing] = self._grow([self.node_unit[x] for x in parents.tolist()], masks | (np.uint64(1) << (base + (step[missing] & 63).astype(np.uint64))))
-                self.turns.update(zip([moves[i] for i in missing.tolist()], to[missing].tolist(), strict=True))
+                to[new] = self._grow(self.unit_of[parents], masks | (np.uint64(1) << (base + (step[new] & 63).astype(np.uint64))))
+                self.turns, self.turned = np.insert(self.turns, place[new], step[new]), np.insert(self.turned, place[new], to[new])
             node[active] = to[back]
             active = active[self.counts[node[active]] > 0]
 
@@ -334,13 +357,24 @@ class MergeEncoder:
         keys = np.concatenate([np.empty(0, np.uint64), *[self.occurrence_keys(d, len(c)) for c, d in zip(cut, documents, strict=True)]])
         units = [u for c in cut for u in c]
         nodes = self.end_nodes(units, keys)
-        made = list(map(self.node_ids.__getitem__, nodes.tolist()))
-        for i in np.flatnonzero(nodes < 0).tolist():
-            made[i] = _packed(self.word(units[i].replace(" ", _SPACE), int(keys[i])))
-        out, at = [], 0
+        long = {i: self.word(units[i].replace(" ", _SPACE), int(keys[i])) for i in np.flatnonzero(nodes < 0).tolist()}
+        counts = np.where(nodes >= 0, self.id_counts[nodes], 0).astype(np.int64)
+        starts = np.where(nodes >= 0, self.id_starts[nodes], 0)
+        for i, ids in long.items():
+            counts[i] = len(ids)
+        ends = np.cumsum(counts)
+        ids = self.made[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)] if not long else np.empty(ends[-1], np.int32)
+        if long:
+            short = np.repeat(nodes >= 0, counts)
+            ids[short] = self.made[(np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1]))[short]]
+            for i, x in long.items():
+                ids[ends[i] - len(x) : ends[i]] = x
+        out, at, done = [], 0, 0
         for t, c in zip(texts, cut, strict=True):
-            out.append(None if t is None else np.frombuffer(b"".join(made[at : at + len(c)]), np.int32))
             at += len(c)
+            end = int(ends[at - 1]) if at else 0
+            out.append(None if t is None else ids[done:end])
+            done = end
         return out
 
     def encode(self, text: str, document: int = 0) -> np.ndarray:

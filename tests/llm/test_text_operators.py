@@ -163,3 +163,16 @@ def test_contamination_of_nothing(spark):
     one = spark.createDataFrame([(1, "a b", 5)], "doc_id long, text string, starts int")
     row = with_hits(one, b).first()
     assert row["starts"] == 5 and row["__hits"]["items"] == []
+
+
+def test_a_large_benchmark_is_joined_and_long_texts_are_whole(spark):
+    items = [(i, prose(7000 + i, 60)) for i in range(40)] + [(100, "qzsolo"), (101, "qztwo words")]
+    words = lambda i: items[i][1].split()
+    docs = [(1, prose(1, 30_000) + " " + " ".join(words(3)[10:35]) + " " + prose(2, 20_000)), (2, prose(5, 10) + " " + " ".join(words(9)[:10])), (3, " ".join(words(9)[:9])), (4, "QZsolo!"), (5, "qztwo; WORDS two"), (6, None), (6, "")]
+    d = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, __starts string, __text int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    small, large = (sorted(tuple(r) for r in contamination(d, b, max_windows=n).collect()) for n in (500_000, 10))
+    assert large == small and [x for x in small if x[0] != 1] == sorted((i, *brute_hits(t, items, 10)) for i, t in docs if i != 1)
+    assert {i: n for i, _, n, *_ in large if n} == {1: 25, 2: 10, 4: 1, 5: 2}
+    kept = with_hits(d, b, max_windows=10)
+    assert kept.columns == [*d.columns, "__hits"] and {r["__starts"] for r in kept.collect()} == {"x"}
