@@ -59,8 +59,8 @@ def asof_join(
     both = tag(left, 1 if first else 0, left_ts, [a for a, _ in pairs], [l_row.alias("__l"), F.lit(None).cast(right.schema).alias("__r")]).unionByName(
         tag(usable, 0 if first else 1, right_ts, [b for _, b in pairs], [F.lit(None).cast(left.schema).alias("__l"), r_row.alias("__r")])
     )
-    if slices is None:
-        slices = max(1, -(-right.count() // SLICE_ROWS)) if right.columns else 1
+    if slices is None:  # rows of both sides count: either may hold most of one key
+        slices = max(1, -(-(left.count() + right.count()) // SLICE_ROWS))
     kind = dict(both.dtypes)["__ts"]
     number = F.col("__ts").cast("timestamp").cast("double") if kind.startswith(("timestamp", "date")) else F.col("__ts").cast("double")
     if slices > 1:
