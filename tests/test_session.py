@@ -16,21 +16,21 @@ def rows(df):
     return [tuple(r) for r in df.collect()]
 
 
-SALES = """
-CREATE TABLE #sales (id INT, region STRING, amount INT, month INT);
-INSERT INTO #sales VALUES (1,'East',100,1),(2,'East',150,2),(3,'East',120,3),(4,'West',200,1),(5,'West',180,2),(6,'West',210,3);
+CROPS = """
+CREATE TABLE #crops (id INT, field STRING, tons INT, week INT);
+INSERT INTO #crops VALUES (1,'North',12,1),(2,'North',31,2),(3,'North',7,3),(4,'South',25,1),(5,'South',18,2),(6,'South',44,3);
 """
 
 
 def test_join_kinds(s):
-    s.sql("""CREATE TABLE #u (id INT, name STRING); INSERT INTO #u VALUES (1,'Alice'),(2,'Bob'),(3,'Charlie');
-    CREATE TABLE #o (id INT, user_id INT, amount INT); INSERT INTO #o VALUES (10,1,100),(11,1,50),(12,2,200),(13,4,300);""")
-    assert rows(s.sql("SELECT u.name, o.amount FROM #u u INNER JOIN #o o ON u.id = o.user_id ORDER BY o.amount")) == [("Alice", 50), ("Alice", 100), ("Bob", 200)]
-    assert rows(s.sql("SELECT u.name, o.id FROM #u u FULL OUTER JOIN #o o ON u.id = o.user_id ORDER BY o.id")) == [("Charlie", None), ("Alice", 10), ("Alice", 11), ("Bob", 12), (None, 13)]
-    assert rows(s.sql("SELECT u.name FROM #u u SEMI JOIN #o o ON u.id = o.user_id ORDER BY 1")) == [("Alice",), ("Bob",)]
-    assert rows(s.sql("SELECT u.name FROM #u u LEFT ANTI JOIN #o o ON u.id = o.user_id")) == [("Charlie",)]
-    assert rows(s.sql("SELECT u.name, o.amount FROM #u u, #o o WHERE u.id = o.user_id AND o.amount > 100")) == [("Bob", 200)]
-    assert rows(s.sql("SELECT u.name FROM #u u INNER HASH JOIN #o o ON u.id = o.user_id AND o.amount = 50")) == [("Alice",)]
+    s.sql("""CREATE TABLE #ship (no INT, name STRING); INSERT INTO #ship VALUES (1,'Aurora'),(2,'Borealis'),(3,'Cygnus');
+    CREATE TABLE #load (no INT, ship INT, tons INT); INSERT INTO #load VALUES (7,1,64),(8,1,16),(9,2,81),(6,5,90);""")
+    assert rows(s.sql("SELECT a.name, b.tons FROM #ship a INNER JOIN #load b ON a.no = b.ship ORDER BY b.tons")) == [("Aurora", 16), ("Aurora", 64), ("Borealis", 81)]
+    assert rows(s.sql("SELECT a.name, b.no FROM #ship a FULL OUTER JOIN #load b ON a.no = b.ship ORDER BY b.no")) == [("Cygnus", None), (None, 6), ("Aurora", 7), ("Aurora", 8), ("Borealis", 9)]
+    assert rows(s.sql("SELECT a.name FROM #ship a SEMI JOIN #load b ON a.no = b.ship ORDER BY 1")) == [("Aurora",), ("Borealis",)]
+    assert rows(s.sql("SELECT a.name FROM #ship a LEFT ANTI JOIN #load b ON a.no = b.ship")) == [("Cygnus",)]
+    assert rows(s.sql("SELECT a.name, b.tons FROM #ship a, #load b WHERE a.no = b.ship AND b.tons > 70")) == [("Borealis", 81)]
+    assert rows(s.sql("SELECT a.name FROM #ship a INNER HASH JOIN #load b ON a.no = b.ship AND b.tons = 16")) == [("Aurora",)]
 
 
 def test_expressions(s):
@@ -71,78 +71,78 @@ def test_star_modifiers_and_columns(s):
 
 
 def test_grouping(s):
-    s.sql(SALES)
-    assert rows(s.sql("SELECT region, SUM(amount) AS total FROM #sales GROUP BY ALL ORDER BY region")) == [("East", 370), ("West", 590)]
-    assert rows(s.sql("SELECT region AS r, COUNT() AS n FROM #sales GROUP BY r HAVING n > 2 ORDER BY r")) == [("East", 3), ("West", 3)]
-    assert s.sql("SELECT region, month, SUM(amount) FROM #sales GROUP BY CUBE (region, month)").count() == 12
-    assert rows(s.sql("SELECT SUM(amount) FILTER (WHERE month = 1) AS a FROM #sales")) == [(300,)]
-    assert rows(s.sql("SELECT STRING_AGG(region, ',') WITHIN GROUP (ORDER BY id DESC) AS a FROM #sales WHERE id < 3")) == [("East,East",)]
+    s.sql(CROPS)
+    assert rows(s.sql("SELECT field, SUM(tons) AS total FROM #crops GROUP BY ALL ORDER BY field")) == [("North", 50), ("South", 87)]
+    assert rows(s.sql("SELECT field AS r, COUNT() AS n FROM #crops GROUP BY r HAVING n > 2 ORDER BY r")) == [("North", 3), ("South", 3)]
+    assert s.sql("SELECT field, week, SUM(tons) FROM #crops GROUP BY CUBE (field, week)").count() == 12
+    assert rows(s.sql("SELECT SUM(tons) FILTER (WHERE week = 1) AS a FROM #crops")) == [(37,)]
+    assert rows(s.sql("SELECT STRING_AGG(field, ',') WITHIN GROUP (ORDER BY id DESC) AS a FROM #crops WHERE id < 3")) == [("North,North",)]
 
 
 def test_windows(s):
-    s.sql(SALES)
-    assert [r[1] for r in rows(s.sql("SELECT id, SUM(amount) OVER w AS t FROM #sales WINDOW w AS (PARTITION BY region ORDER BY id) ORDER BY id"))] == [100, 250, 370, 200, 380, 590]
-    assert [r[1] for r in rows(s.sql("SELECT id, SUM(amount) OVER (w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS t FROM #sales WINDOW w AS (PARTITION BY region ORDER BY id) ORDER BY id"))] == [100, 250, 270, 200, 380, 390]
-    assert [int(r[1]) for r in rows(s.sql("SELECT id, SUM(amount) OVER (PARTITION BY region ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS t FROM #sales ORDER BY id"))] == [270, 220, 250, 390, 410, 380]
-    s.sql("CREATE TABLE #g (n INT, v INT); INSERT INTO #g VALUES (1,10),(2,20),(2,5),(3,100);")
-    assert sorted(r[0] for r in rows(s.sql("SELECT SUM(v) OVER (ORDER BY n GROUPS 1 PRECEDING) AS t FROM #g"))) == [10, 35, 35, 125]
-    assert rows(s.sql("SELECT SUM(amount) FILTER (WHERE month > 1) OVER () AS t FROM #sales LIMIT 1")) == [(660,)]
+    s.sql(CROPS)
+    assert [r[1] for r in rows(s.sql("SELECT id, SUM(tons) OVER w AS t FROM #crops WINDOW w AS (PARTITION BY field ORDER BY id) ORDER BY id"))] == [12, 43, 50, 25, 43, 87]
+    assert [r[1] for r in rows(s.sql("SELECT id, SUM(tons) OVER (w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS t FROM #crops WINDOW w AS (PARTITION BY field ORDER BY id) ORDER BY id"))] == [12, 43, 38, 25, 43, 62]
+    assert [int(r[1]) for r in rows(s.sql("SELECT id, SUM(tons) OVER (PARTITION BY field ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS t FROM #crops ORDER BY id"))] == [38, 19, 43, 62, 69, 43]
+    s.sql("CREATE TABLE #g (n INT, v INT); INSERT INTO #g VALUES (1,3),(2,8),(2,11),(4,40);")
+    assert sorted(r[0] for r in rows(s.sql("SELECT SUM(v) OVER (ORDER BY n GROUPS 1 PRECEDING) AS t FROM #g"))) == [3, 22, 22, 59]
+    assert rows(s.sql("SELECT SUM(tons) FILTER (WHERE week > 1) OVER () AS t FROM #crops LIMIT 1")) == [(100,)]
 
 
 def test_qualify_top_and_sample(s):
-    s.sql(SALES)
-    assert rows(s.sql("SELECT region, amount FROM #sales QUALIFY ROW_NUMBER() OVER (PARTITION BY region ORDER BY amount DESC) = 1 ORDER BY region")) == [("East", 150), ("West", 210)]
-    assert rows(s.sql("SELECT region, amount, RANK() OVER (ORDER BY amount DESC) AS r FROM #sales QUALIFY r <= 2 ORDER BY r LIMIT 1")) == [("West", 210, 1)]
-    assert rows(s.sql("SELECT TOP 2 id FROM #sales ORDER BY amount DESC")) == [(6,), (4,)]
-    assert s.sql("SELECT TOP 50 PERCENT id FROM #sales ORDER BY id").count() == 3
-    s.sql("CREATE TABLE #sc (v INT); INSERT INTO #sc VALUES (100),(90),(90),(90),(80),(70);")
+    s.sql(CROPS)
+    assert rows(s.sql("SELECT field, tons FROM #crops QUALIFY ROW_NUMBER() OVER (PARTITION BY field ORDER BY tons DESC) = 1 ORDER BY field")) == [("North", 31), ("South", 44)]
+    assert rows(s.sql("SELECT field, tons, RANK() OVER (ORDER BY tons DESC) AS r FROM #crops QUALIFY r <= 2 ORDER BY r LIMIT 1")) == [("South", 44, 1)]
+    assert rows(s.sql("SELECT TOP 2 id FROM #crops ORDER BY tons DESC")) == [(6,), (2,)]
+    assert s.sql("SELECT TOP 50 PERCENT id FROM #crops ORDER BY id").count() == 3
+    s.sql("CREATE TABLE #sc (v INT); INSERT INTO #sc VALUES (64),(51),(51),(51),(20);")
     assert s.sql("SELECT TOP 2 WITH TIES v FROM #sc ORDER BY v DESC").count() == 4
-    assert s.sql("SELECT id FROM #sales USING SAMPLE 4 ROWS REPEATABLE (1)").count() == 4
+    assert s.sql("SELECT id FROM #crops USING SAMPLE 4 ROWS REPEATABLE (1)").count() == 4
     with pytest.raises(ParseError):
-        s.sql("SELECT id FROM #sales USING SAMPLE 4")
+        s.sql("SELECT id FROM #crops USING SAMPLE 4")
     with pytest.raises(ValueError):
-        s.sql("SELECT id FROM #sales USING SAMPLE 200 PERCENT")
-    assert rows(s.sql("SELECT id FROM #sales ORDER BY id OFFSET 2 ROWS FETCH NEXT 2 ROWS ONLY")) == [(3,), (4,)]
+        s.sql("SELECT id FROM #crops USING SAMPLE 200 PERCENT")
+    assert rows(s.sql("SELECT id FROM #crops ORDER BY id OFFSET 2 ROWS FETCH NEXT 2 ROWS ONLY")) == [(3,), (4,)]
 
 
 def test_set_operations_and_recursion(s):
-    s.sql("CREATE TABLE #a (v INT); INSERT INTO #a VALUES (1),(2),(3),(4); CREATE TABLE #b (v INT); INSERT INTO #b VALUES (3),(4),(5),(6);")
-    assert rows(s.sql("SELECT v FROM #a EXCEPT SELECT v FROM #b ORDER BY v")) == [(1,), (2,)]
-    assert rows(s.sql("(SELECT v FROM #a) INTERSECT (SELECT v FROM #b) ORDER BY v DESC")) == [(4,), (3,)]
+    s.sql("CREATE TABLE #a (v INT); INSERT INTO #a VALUES (2),(4),(6),(8); CREATE TABLE #b (v INT); INSERT INTO #b VALUES (6),(8),(10),(12);")
+    assert rows(s.sql("SELECT v FROM #a EXCEPT SELECT v FROM #b ORDER BY v")) == [(2,), (4,)]
+    assert rows(s.sql("(SELECT v FROM #a) INTERSECT (SELECT v FROM #b) ORDER BY v DESC")) == [(8,), (6,)]
     assert s.sql("SELECT v FROM #a UNION SELECT v FROM #b").count() == 6
     df = s.sql("SELECT v, 1 AS x FROM #a UNION ALL BY NAME SELECT 2 AS y, v FROM #b")
     assert df.columns == ["v", "x", "y"] and df.count() == 8
-    s.sql("CREATE TABLE #tree (id INT, parent_id INT); INSERT INTO #tree VALUES (1,NULL),(2,1),(3,1),(4,2);")
-    q = "WITH RECURSIVE t(id, level) AS (SELECT id, 1 FROM #tree WHERE parent_id IS NULL UNION ALL SELECT c.id, t.level + 1 FROM #tree c JOIN t ON c.parent_id = t.id) SELECT id, level FROM t ORDER BY id"
-    assert rows(s.sql(q)) == [(1, 1), (2, 2), (3, 2), (4, 3)]
+    s.sql("CREATE TABLE #parts (no INT, inside INT); INSERT INTO #parts VALUES (10,NULL),(20,10),(30,20),(40,10);")
+    q = "WITH RECURSIVE t(no, depth) AS (SELECT no, 1 FROM #parts WHERE inside IS NULL UNION ALL SELECT c.no, t.depth + 1 FROM #parts c JOIN t ON c.inside = t.no) SELECT no, depth FROM t ORDER BY no"
+    assert rows(s.sql(q)) == [(10, 1), (20, 2), (30, 3), (40, 2)]
     s.sql("CREATE TABLE #e (a INT, b INT); INSERT INTO #e VALUES (1,2),(2,3),(3,1);")
     assert rows(s.sql("WITH RECURSIVE r(n) AS (SELECT 1 UNION SELECT b FROM #e JOIN r ON a = n) SELECT n FROM r ORDER BY n")) == [(1,), (2,), (3,)]
     assert rows(s.sql("SELECT * FROM (VALUES (1, 'a'), (2, 'b'),) AS t(x, y) ORDER BY x")) == [(1, "a"), (2, "b")]
 
 
 def test_asof_join(s):
-    s.sql("""CREATE TABLE #trades (trade_id INT, symbol STRING, trade_time INT); INSERT INTO #trades VALUES (1,'A',5),(2,'A',10),(3,'B',7),(4,'C',1),(5,NULL,9);
-    CREATE TABLE #quotes (quote_id INT, symbol STRING, quote_time INT); INSERT INTO #quotes VALUES (1,'A',4),(2,'A',10),(3,'B',8),(4,NULL,1);""")
-    q = "SELECT t.trade_id, q.quote_id FROM #trades t ASOF {}JOIN #quotes q ON t.symbol = q.symbol AND t.trade_time {} q.quote_time ORDER BY t.trade_id"
+    s.sql("""CREATE TABLE #rides (ride INT, line STRING, at INT); INSERT INTO #rides VALUES (1,'A',5),(2,'A',10),(3,'B',7),(4,'C',1),(5,NULL,9);
+    CREATE TABLE #fares (fare INT, line STRING, since INT); INSERT INTO #fares VALUES (1,'A',4),(2,'A',10),(3,'B',8),(4,NULL,1);""")
+    q = "SELECT t.ride, q.fare FROM #rides t ASOF {}JOIN #fares q ON t.line = q.line AND t.at {} q.since ORDER BY t.ride"
     assert rows(s.sql(q.format("", ">="))) == [(1, 1), (2, 2)]
     assert rows(s.sql(q.format("LEFT ", ">"))) == [(1, 1), (2, 1), (3, None), (4, None), (5, None)]
     assert rows(s.sql(q.format("", "<="))) == [(1, 2), (2, 2), (3, 3)]
     with pytest.raises(ParseError):
-        s.sql("SELECT 1 FROM #trades t ASOF JOIN #quotes q ON t.symbol = q.symbol")
+        s.sql("SELECT 1 FROM #rides t ASOF JOIN #fares q ON t.line = q.line")
 
 
 def test_fuzzy_join(s):
-    s.sql("CREATE TABLE #l (id INT, name STRING); INSERT INTO #l VALUES (1,'John Smith'),(2,'Zed'),(3,'Robert'); CREATE TABLE #r (rid INT, alias STRING); INSERT INTO #r VALUES (1,'Jon Smith'),(2,'Roberto'),(3,'Rob');")
+    s.sql("CREATE TABLE #l (id INT, name STRING); INSERT INTO #l VALUES (1,'Margaret Hill'),(2,'Zed'),(3,'Albert'); CREATE TABLE #r (rid INT, alias STRING); INSERT INTO #r VALUES (1,'Margret Hill'),(2,'Alberto'),(3,'Alb');")
     df = s.sql("SELECT l.id, r.rid, __score FROM #l l LEFT FUZZY JOIN #r r ON SIMILARITY(l.name, r.alias) > 0.8 KEEP BEST 1 ORDER BY l.id")
     got = rows(df)
     assert [(a, b) for a, b, _ in got] == [(1, 1), (2, None), (3, 2)] and got[1][2] is None
 
 
 def test_lateral_and_apply(s):
-    s.sql(SALES + "CREATE TABLE #reg (name STRING); INSERT INTO #reg VALUES ('East'),('West'),('North');")
-    q = "SELECT r.name, x.amount FROM #reg r {} (SELECT TOP 1 amount FROM #sales WHERE region = r.name ORDER BY amount DESC) x ORDER BY r.name"
-    assert rows(s.sql(q.format("CROSS APPLY"))) == [("East", 150), ("West", 210)]
-    assert rows(s.sql(q.format("OUTER APPLY"))) == [("East", 150), ("North", None), ("West", 210)]
+    s.sql(CROPS + "CREATE TABLE #reg (name STRING); INSERT INTO #reg VALUES ('North'),('South'),('Valley');")
+    q = "SELECT r.name, x.tons FROM #reg r {} (SELECT TOP 1 tons FROM #crops WHERE field = r.name ORDER BY tons DESC) x ORDER BY r.name"
+    assert rows(s.sql(q.format("CROSS APPLY"))) == [("North", 31), ("South", 44)]
+    assert rows(s.sql(q.format("OUTER APPLY"))) == [("North", 31), ("South", 44), ("Valley", None)]
     s.sql("CREATE TABLE #c (id INT, tags STRING); INSERT INTO #c VALUES (1,'a,b'),(2,'c');")
     assert rows(s.sql("SELECT c.id, t.Value FROM #c c CROSS APPLY STRING_SPLIT(c.tags, ',') t ORDER BY c.id, t.Value")) == [(1, "a"), (1, "b"), (2, "c")]
     assert rows(s.sql("SELECT value FROM GENERATE_SERIES(1, 7, 3) g ORDER BY value")) == [(1,), (4,), (7,)]
@@ -150,21 +150,21 @@ def test_lateral_and_apply(s):
 
 
 def test_pivot_and_unpivot(s):
-    s.sql("CREATE TABLE #m (year INT, month STRING, amount INT); INSERT INTO #m VALUES (2024,'Jan',10),(2024,'Feb',20),(2025,'Jan',30),(2025,'Jan',5);")
-    assert rows(s.sql("SELECT year, Jan, Feb FROM #m PIVOT (SUM(amount) FOR month IN ('Jan', 'Feb')) AS p ORDER BY year")) == [(2024, 10, 20), (2025, 35, None)]
-    df = s.sql("PIVOT #m ON month USING SUM(amount) GROUP BY year")
-    assert sorted(df.columns) == ["Feb", "Jan", "year"]
-    s.sql("CREATE TABLE #w (year INT, q1 INT, q2 INT); INSERT INTO #w VALUES (2024, 1, NULL), (2025, 3, 4);")
-    assert rows(s.sql("SELECT year, q, v FROM #w UNPIVOT (v FOR q IN (q1, q2)) AS u ORDER BY year, q")) == [(2024, "q1", 1), (2025, "q1", 3), (2025, "q2", 4)]
-    assert s.sql("UNPIVOT #w ON COLUMNS(* EXCLUDE (year)) INTO NAME n VALUE v").count() == 3
+    s.sql("CREATE TABLE #m (season INT, crop STRING, tons INT); INSERT INTO #m VALUES (7,'Oat',4),(7,'Rye',9),(8,'Oat',6),(8,'Oat',5);")
+    assert rows(s.sql("SELECT season, Oat, Rye FROM #m PIVOT (SUM(tons) FOR crop IN ('Oat', 'Rye')) AS p ORDER BY season")) == [(7, 4, 9), (8, 11, None)]
+    df = s.sql("PIVOT #m ON crop USING SUM(tons) GROUP BY season")
+    assert sorted(df.columns) == ["Oat", "Rye", "season"]
+    s.sql("CREATE TABLE #w (season INT, early INT, late INT); INSERT INTO #w VALUES (7, 6, NULL), (8, 2, 9);")
+    assert rows(s.sql("SELECT season, part, v FROM #w UNPIVOT (v FOR part IN (early, late)) AS u ORDER BY season, part")) == [(7, "early", 6), (8, "early", 2), (8, "late", 9)]
+    assert s.sql("UNPIVOT #w ON COLUMNS(* EXCLUDE (season)) INTO NAME n VALUE v").count() == 3
 
 
 def test_match_recognize(s):
-    s.sql("CREATE TABLE #st (symbol STRING, tstamp INT, price INT); INSERT INTO #st VALUES ('AAPL',1,100),('AAPL',2,99),('AAPL',3,98),('AAPL',4,102),('AAPL',5,105),('MSFT',1,50),('MSFT',2,55);")
-    q = """SELECT * FROM #st MATCH_RECOGNIZE (PARTITION BY symbol ORDER BY tstamp
-      MEASURES STRT.tstamp AS start_t, LAST(DOWN.tstamp) AS bottom_t, LAST(UP.tstamp) AS end_t
-      ONE ROW PER MATCH PATTERN (STRT DOWN+ UP+) DEFINE DOWN AS price < PREV(price), UP AS price > PREV(price)) AS m"""
-    assert rows(s.sql(q)) == [("AAPL", 1, 3, 5)]
+    s.sql("CREATE TABLE #st (well STRING, hour INT, depth INT); INSERT INTO #st VALUES ('K',1,9),('K',2,6),('K',3,4),('K',4,8),('K',5,12),('L',1,3),('L',2,7);")
+    q = """SELECT * FROM #st MATCH_RECOGNIZE (PARTITION BY well ORDER BY hour
+      MEASURES STRT.hour AS start_t, LAST(DOWN.hour) AS bottom_t, LAST(UP.hour) AS end_t
+      ONE ROW PER MATCH PATTERN (STRT DOWN+ UP+) DEFINE DOWN AS depth < PREV(depth), UP AS depth > PREV(depth)) AS m"""
+    assert rows(s.sql(q)) == [("K", 1, 3, 5)]
     df = s.sql(q.replace("ONE ROW", "ALL ROWS").replace("ROWS PER", "ROWS PER"))
     assert df.count() == 5 and "CLASSIFIER" in df.columns
 
@@ -237,10 +237,10 @@ def test_transform_generate_compare(s):
 
 
 def test_quality_routing(s):
-    s.sql("CREATE TABLE #in (id INT, email VARCHAR(100)); INSERT INTO #in (id, email) VALUES (1,'ana@example.test'),(NULL,'ben@example.test'),(3,'not-an-email'),(4,'cy@example.test');")
+    s.sql("CREATE TABLE #in (id INT, email VARCHAR(100)); INSERT INTO #in (id, email) VALUES (5,'x@y.example'),(6,'no mail'),(NULL,'z@y.example'),(7,'w@y.example');")
     s.sql("""SELECT id EXPECT NOT NULL ON FAILURE QUARANTINE, email EXPECT MATCHES '^[^@]+@[^@]+\\.[^@]+$' ON FAILURE QUARANTINE
     INTO #clean FROM #in ON FAILURE QUARANTINE TO #bad;""")
-    assert rows(s.sql("SELECT id FROM #clean ORDER BY id")) == [(1,), (4,)] and s.table("#bad").count() == 2
+    assert rows(s.sql("SELECT id FROM #clean ORDER BY id")) == [(5,), (7,)] and s.table("#bad").count() == 2
     with pytest.raises(QualityError):
         s.sql("EXPECT SCHEMA #in (id INT, missing STRING)")
     assert s.sql("EXPECT SCHEMA #in (id STRING) ON DRIFT WARN") is None and s.warnings
