@@ -52,7 +52,7 @@ class Matcher:
     def reset(self) -> None:
         self.pending: list[int] = []
         self.labels: list[int] = []
-        self.number = 0
+        self.taken = self.number = 0
 
     def _finish(self, out: list[tuple[int, int]]) -> None:
         self.number += 1
@@ -81,7 +81,8 @@ class Matcher:
     def _run(self, ended: bool) -> bool | None:
         """Whether the match from the first pending row ends (True), fails (False), or needs more rows (None)."""
         labels = self.labels
-        k, c = (labels[-1], self._tail()) if labels else (0, 0)
+        # the last part that took rows and how many, kept so that a long match is not read again with each row
+        k, c = (labels[-1], self.taken) if labels else (0, 0)
         at = len(labels)
         while True:
             var, least, most = self.parts[k]
@@ -89,6 +90,7 @@ class Matcher:
                 if c < most and self.pending[at] >> k & 1:
                     labels.append(k)
                     c, at = c + 1, at + 1
+                    self.taken = c
                     if c == most and k == len(self.parts) - 1:
                         return True
                     continue
@@ -100,14 +102,6 @@ class Matcher:
             if k == len(self.parts):
                 return True
 
-    def _tail(self) -> int:
-        n, k = 0, self.labels[-1]
-        for x in reversed(self.labels):
-            if x != k:
-                break
-            n += 1
-        return n
-
 
 def match_recognize(
     df: DataFrame,

@@ -64,7 +64,10 @@ def passes(df: DataFrame, rule: Rule) -> tuple[DataFrame, Column]:
 
             w = Window.partitionBy(*keys).orderBy(*sort_columns(a[0], reverse=kind == "UNIQUE_LAST BY"))
             return df.withColumn(name, F.row_number().over(w)), null | (F.col(name) == 1)
-        return df.withColumn(name, F.count("*").over(Window.partitionBy(*keys))), null | (F.col(name) == 1)
+        # keys with several rows, counted before they are shuffled; null keys pass and are not counted
+        several = df.where(~null).groupBy(*[F.col(f"`{k}`").alias(f"{name}_{i}") for i, k in enumerate(keys)]).count().where("count > 1").withColumn(name, F.lit(True)).drop("count")
+        same = reduce(operator.and_, [F.col(f"`{k}`") == F.col(f"{name}_{i}") for i, k in enumerate(keys)])
+        return df.join(several, same, "left").drop(*[f"{name}_{i}" for i in range(len(keys))]), F.col(name).isNull()
     if kind in ("EXISTS IN", "EXISTS WITH"):
         table, own, theirs = (a[0], [rule.column], [a[1]]) if kind == "EXISTS IN" else a
         flag = f"__e{len(df.columns)}"
