@@ -103,15 +103,16 @@ def _texts(docs: DataFrame, needed: DataFrame, sets: CharShingles) -> DataFrame:
     lines = docs.join(side(needed.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     texts = lines.join(side(needed), ["doc_id", "line_no"])
 
-    @F.pandas_udf("struct<line:string,d1:long,d2:long,n:long>")
-    def normal_line(lines: pd.Series) -> pd.DataFrame:
-        out = [normal(x) for x in lines]
-        d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in out), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"line": out, "d1": d[:, 0], "d2": d[:, 1], "n": [len(sets.of(x)) for x in out]})
+    def normal_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [normal(x) for x in batch["line"].to_pylist()]
+            d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in made), np.int64).reshape(-1, 2)
+            # rows that repeat a doc_id with another text have other digests
+            own = np.flatnonzero((d[:, 0] == batch["d1"].to_numpy()) & (d[:, 1] == batch["d2"].to_numpy()))
+            made = [made[i] for i in own.tolist()]
+            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(own)), pa.array(made, pa.string()), pa.array(sets.sizes(made), pa.int64())], ["id", "text", "n"])
 
-    # rows that repeat a doc_id with another text have other digests
-    texts = texts.select("id", "d1", "d2", normal_line("line").alias("x")).where("x.d1 = d1 and x.d2 = d2").select("id", F.col("x.line").alias("text"), "x.n")
-    return settle(texts.dropDuplicates(["id"]), "lines")
+    return settle(texts.select("id", "d1", "d2", "line").mapInArrow(normal_lines, "id long, text string, n long").dropDuplicates(["id"]), "lines")
 
 
 def line_classes(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, keep: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -130,7 +131,7 @@ def line_classes(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, ro
     texts = _texts(docs, needed, CharShingles(shingle))
     sized = settle(entries.join(texts.select("id", "n"), "id"), "entries")
     discard(entries, banded, needed)
-    size = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
+    size = f"100 * (least(a.n, b.n) + 1) >= {percent} * greatest(a.n, b.n)"
     links = link(sized, Texts(lambda ids: texts, CharShingles(shingle), percent, passing=False), "rank", admit=size, star_admit=size)
     comp = settle(components(links), "comp")
     discard(sized, texts)

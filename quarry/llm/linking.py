@@ -25,7 +25,7 @@ from .common import components, discard, settle
 from .shingles import Sets
 
 #: Percent of Jaccard similarity from which a text counts as near its centre.
-NEAR = 30
+NEAR = 20
 
 
 def shared_entries(entries: DataFrame) -> DataFrame:
@@ -53,23 +53,25 @@ class Texts:
         discard(ids, *[texts] * self.passing)
         return out
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link, a written table."""
+    def compare(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) with linked and near (at least NEAR percent), a written table."""
         sets, percent = self.sets, self.percent
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             last, sa = None, None
             for batch in batches:
-                hold = []
+                linked, near = [], []
                 for a, ta, tb in zip(batch["a"], batch["ta"], batch["tb"], strict=True):
                     if a != last:
                         last, sa = a, sets.of(ta)
                     sb = sets.of(tb)
-                    both = sets.common(sa, sb) if 100 * min(len(sa), len(sb)) >= percent * max(len(sa), len(sb)) else 0
-                    hold.append(both > 0 and 100 * both >= percent * (len(sa) + len(sb) - both))
-                yield batch.loc[hold, ["a", "b"]]
+                    both = sets.common(sa, sb)
+                    union = len(sa) + len(sb) - both
+                    linked.append(both > 0 and 100 * both >= percent * union)
+                    near.append(both > 0 and 100 * both >= NEAR * union)
+                yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": linked, "near": near})
 
-        return self._compared(pairs, run, "a long, b long", "links")
+        return self._compared(pairs, run, "a long, b long, linked boolean, near boolean", "compared")
 
     def differences(self, pairs: DataFrame, frequent=None) -> DataFrame:
         """For pairs (a: centre, b: text): id, centre, n (size of its set), m (of its difference), linked, near and prefix, a written table.
@@ -194,18 +196,22 @@ def link(entries: DataFrame, texts: Texts, rank: str, admit: str = "true", early
     """
     pairs = star_pairs(entries, rank, star_admit)
     pairs = settle(pairs if more is None else pairs.union(more).distinct(), "pairs")
-    links = texts.verify(pairs)
+    compared = texts.compare(pairs)
+    discard(pairs)
+    links = compared.where("linked").select("a", "b")
     comp = settle(components(links), "comp")
     if expand is not None:
         entries = entries.withColumnRenamed("id", "group").join(expand, "group").select(*entries.columns).unionByName(grouped)
     rest = open_entries(entries, comp)
-    diffs = texts.differences(settle(centres(rest, rank), "centres"), frequent)
+    tried = settle(compared.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max("near").alias("close")), "tried")
+    # what was compared with its centre and is not near it needs no second look
+    hubs = centres(rest, rank).withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(tried, ["x", "y"], "left").where("close is null or close").select("a", "b")
+    diffs = texts.differences(settle(hubs, "centres"), frequent)
     links = links.union(diffs.where("linked").select(F.col("centre").alias("a"), F.col("id").alias("b")))
     # a centre is near itself
     kin = diffs.where("near").select("id", "centre")
     kin = kin.union(diffs.select(F.col("centre").alias("id"), "centre").distinct().join(kin.select("id"), "id", "left_anti"))
     found = near_pairs(diffs, comp, texts.percent).union(far_pairs(rest, kin, early, admit))
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    last = settle(found.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    discard(rest, pairs)
-    return links.union(texts.verify(last)) if last.limit(1).count() else links
+    last = settle(found.distinct().join(tried.select(F.col("x").alias("a"), F.col("y").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    discard(rest)
+    return links.union(texts.compare(last).where("linked").select("a", "b")) if last.limit(1).count() else links

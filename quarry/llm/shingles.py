@@ -111,3 +111,25 @@ class CharShingles(_Hashed):
                 h = h[: len(h) - width] * np.uint64(pow(int(_B), width, 1 << 64)) + h[width:]
             width, bit = width * 2, bit * 2
         return np.unique(mix(out + np.uint64(k))) if k else np.zeros(1, np.uint64)
+
+    def sizes(self, texts: list[str]) -> np.ndarray:
+        """The number of shingles of each of up to 2**24 texts, by 40 bits of their hashes.
+
+        Two shingles of one text can be taken for one, with odds of about n * n / 2**41: a size may be short by one.
+        """
+        k, lengths = self.k, np.fromiter(map(len, texts), np.int64, len(texts))
+        if not len(texts):
+            return lengths
+        h = np.frombuffer("".join(t + "\0" * (k - 1) for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        out = h[: len(h) - k + 1].copy() if len(h) >= k else np.zeros(0, np.uint64)
+        for i in range(1, k):
+            out *= _B
+            out += h[i : len(h) - k + 1 + i]
+        counts = np.maximum(1, lengths - k + 1)
+        starts = np.cumsum(lengths + k - 1) - (lengths + k - 1)
+        owner = np.repeat(np.arange(len(texts)), counts)
+        at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        key = mix(out[np.minimum(at, len(out) - 1)]) >> np.uint64(24) | owner.astype(np.uint64) << np.uint64(40) if len(out) else owner.astype(np.uint64) << np.uint64(40)
+        key.sort()
+        fresh = np.concatenate(([True], key[1:] != key[:-1]))
+        return np.bincount((key[fresh] >> np.uint64(40)).astype(np.int64), minlength=len(texts))

@@ -74,6 +74,7 @@ def test_hashed_sets_measure_like_sets_of_texts(k):
             assert len(x) == len(a) or not x
             for y, b in zip(sets, made):
                 assert kind.common(a, b) == len(x & y)
+                assert not isinstance(kind, CharShingles) or kind.sizes(texts).tolist() == [len(t) for t in sets]
                 added, removed = kind.difference(a, b)
                 assert (len(added), len(removed)) == (len(y - x), len(x - y))
 
