@@ -329,3 +329,120 @@ script(
     "SELECT a.k, a.n, b.m FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a LEFT JOIN (SELECT s_nationkey AS k, count(*) AS m FROM supplier GROUP BY 1) b ON a.k = b.k",
 )
 script("script_relative_zone", "SELECT r_regionkey, DATEDIFF(hour, RELDATE('N UTC'), RELDATE('N Asia/Tokyo')) AS h, RELDATE('nothing') AS x FROM #region", "SELECT r_regionkey, 9 AS h, CAST(NULL AS TIMESTAMP) AS x FROM region")
+
+# --- more rules, statements and row functions --------------------------------------------------------------------------
+
+script(
+    "script_expect_text_rules",
+    """SELECT p_partkey, p_name EXPECT NOT BLANK ON FAILURE QUARANTINE, p_brand EXPECT MATCHES '^Brand#[0-9]+$' ON FAILURE QUARANTINE, p_type EXPECT NOT MATCHES '^PROMO' ON FAILURE QUARANTINE, p_size EXPECT NOT IN (1, 2, 3) ON FAILURE QUARANTINE
+    INTO #clean FROM #part ON FAILURE QUARANTINE TO #bad; SELECT p_partkey FROM #clean""",
+    "SELECT p_partkey FROM part WHERE trim(p_name) <> '' AND regexp_matches(p_brand, '^Brand#[0-9]+$') AND NOT regexp_matches(p_type, '^PROMO') AND p_size NOT IN (1, 2, 3)",
+)
+script(
+    "script_expect_length_cast",
+    """SELECT p_partkey, p_name EXPECT LENGTH <= 9 ON FAILURE QUARANTINE, p_size EXPECT BETWEEN 5 AND 45 ON FAILURE QUARANTINE INTO #clean FROM #part ON FAILURE QUARANTINE TO #bad;
+    SELECT p_partkey, __dq_column AS col FROM #bad""",
+    "SELECT p_partkey, CASE WHEN length(p_name) > 9 THEN 'p_name' ELSE 'p_size' END AS col FROM part WHERE length(p_name) > 9 OR p_size NOT BETWEEN 5 AND 45",
+)
+script(
+    "script_expect_unique",
+    "SELECT o_orderkey, o_custkey EXPECT UNIQUE ON FAILURE QUARANTINE INTO #clean FROM #orders ON FAILURE QUARANTINE TO #bad; SELECT o_orderkey FROM #clean",
+    "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) = 1)",
+)
+script(
+    "script_expect_exists",
+    "SELECT s_suppkey, s_nationkey EXPECT EXISTS IN #nation(n_nationkey) ON FAILURE QUARANTINE INTO #clean FROM #supplier ON FAILURE QUARANTINE TO #bad; SELECT s_suppkey FROM #clean",
+    "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation)",
+)
+script(
+    "script_transform",
+    "SELECT o_custkey, o_orderkey, o_totalprice INTO #o FROM #orders; TRANSFORM #out FROM #o USING DEDUPLICATE (KEY_COLS = 'o_custkey', ORDER_BY = 'o_orderkey', KEEP = 'FIRST'); SELECT o_custkey, o_orderkey FROM #out",
+    "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey",
+)
+script(
+    "script_compare",
+    "SELECT n_nationkey AS k, n_name AS v INTO #old FROM #nation WHERE n_nationkey < 20; SELECT n_nationkey AS k, CASE WHEN n_nationkey = 7 THEN 'new' ELSE n_name END AS v INTO #new FROM #nation WHERE n_nationkey > 2; COMPARE DATASETS #new WITH #old KEY (k) INTO #diff; SELECT _change_type AS c, k FROM #diff",
+    "SELECT CASE WHEN n_nationkey < 3 THEN 'DELETE' WHEN n_nationkey > 19 THEN 'INSERT' ELSE 'UPDATE' END AS c, n_nationkey AS k FROM nation WHERE n_nationkey < 3 OR n_nationkey > 19 OR n_nationkey = 7",
+)
+script(
+    "script_calendar",
+    "GENERATE CALENDAR FROM '2024-01-30' TO '2024-03-02' INTO #cal; SELECT DateKey, DayName, IsMonthEnd FROM #cal",
+    "SELECT CAST(strftime(d, '%Y%m%d') AS INT) AS DateKey, strftime(d, '%A') AS DayName, d = last_day(d) AS IsMonthEnd FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-30', DATE '2024-03-02', INTERVAL 1 DAY)) AS DATE) AS d)",
+)
+script(
+    "script_replace_rows",
+    "CREATE TABLE #t (k INT PRIMARY KEY, v STRING); INSERT INTO #t SELECT n_nationkey, n_name FROM #nation; INSERT OR REPLACE INTO #t SELECT n_nationkey, 'again' FROM #nation WHERE n_regionkey = 1; TRUNCATE TABLE #nation; SELECT k, v, (SELECT COUNT(*) FROM #nation) AS left_over FROM #t",
+    "SELECT n_nationkey AS k, CASE WHEN n_regionkey = 1 THEN 'again' ELSE n_name END AS v, CAST(0 AS BIGINT) AS left_over FROM nation",
+)
+script(
+    "script_match_recognize",
+    """SELECT m.user_id, m.first_id, m.last_id FROM #events MATCH_RECOGNIZE (PARTITION BY user_id ORDER BY event_id MEASURES FIRST(A.event_id) AS first_id, LAST(B.event_id) AS last_id ONE ROW PER MATCH PATTERN (A B)
+       DEFINE A AS event_type = 'view', B AS event_type = 'click') AS m""",
+    """WITH e AS (SELECT user_id, event_id, event_type, lead(event_type) OVER w AS nt, lead(event_id) OVER w AS ni FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+       SELECT user_id, event_id AS first_id, ni AS last_id FROM e WHERE event_type = 'view' AND nt = 'click'""",
+)
+script(
+    "script_errors",
+    "DECLARE @a INT; DECLARE @b INT; DECLARE @m STRING; BEGIN TRY RAISEERROR('stop here', 11, 3); END TRY BEGIN CATCH SET @a = ERROR_SEVERITY(); SET @b = ERROR_STATE(); SET @m = ERROR_MESSAGE(); END CATCH SELECT r_name, @a AS a, @b AS b, @m AS m, ERROR_LINE() >= 0 AS l FROM #region",
+    "SELECT r_name, 11 AS a, 3 AS b, 'stop here' AS m, true AS l FROM region",
+)
+script(
+    "script_environment",
+    "CREATE CONNECTION c AS PARQUET (PATH = '/tmp/x'); SELECT r_regionkey, CONNECTION_PROPERTY('c', 'PATH') AS a, TENANT_ID() AS b, ENV('NO_SUCH_VARIABLE_HERE') AS c FROM #region",
+    "SELECT r_regionkey, '/tmp/x' AS a, CAST(NULL AS VARCHAR) AS b, CAST(NULL AS VARCHAR) AS c FROM region",
+)
+script(
+    "script_json_table",
+    "SELECT e.event_id, j.k FROM #events e CROSS APPLY JSON_TABLE(e.props, '$' COLUMNS (k INT PATH '$.k')) j",
+    "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events",
+)
+script(
+    "script_xml_table",
+    "SELECT n.n_nationkey, x.v FROM #nation n CROSS APPLY XMLTABLE('<r><i>' + n.n_name + '</i><i>b</i></r>', '/r' COLUMNS (v STRING PATH 'i')) x",
+    "SELECT n_nationkey, unnest([n_name, 'b']) AS v FROM nation",
+)
+script(
+    "script_flatten",
+    "SELECT n.n_nationkey, f.Value AS v FROM #nation n CROSS APPLY FLATTEN(ARRAY(ARRAY(n.n_name, 'x'), ARRAY('y'))) f",
+    "SELECT n_nationkey, unnest([n_name, 'x', 'y']) AS v FROM nation",
+)
+script(
+    "script_phonetic",
+    "SELECT DISTINCT SOUNDEX(p_name) AS s, METAPHONE('ring') = METAPHONE('rink') AS m, DMETAPHONE('Smith') AS d, DMETAPHONE_ALT('Smith') AS e, DIFFERENCE('Robert', 'Rupert') AS f FROM #part WHERE p_name LIKE 'red%' AND p_name LIKE '%ring'",
+    "SELECT 'R365' AS s, true AS m, 'SM0' AS d, 'XMT' AS e, 4 AS f",
+)
+script(
+    "script_file_facts",
+    "SELECT r_regionkey, YEAR(FILE_CREATED('{sf_dir}/region.parquet')) > 2000 AS a, FILE_LINE_COUNT('{sf_dir}/region.parquet') > 0 AS b FROM #region",
+    "SELECT r_regionkey, true AS a, true AS b FROM region",
+)
+script(
+    "script_return",
+    "DECLARE @x INT = 1; CREATE PROCEDURE early(@o INT OUTPUT) AS BEGIN SET @o = 5; RETURN; SET @o = 9; END; EXEC early @x OUTPUT; WAITFOR DELAY '00:00:00'; SELECT r_name, @x AS x, @@FETCH_STATUS AS f FROM #region",
+    "SELECT r_name, 5 AS x, -1 AS f FROM region",
+)
+script(
+    "script_top_forms",
+    "SELECT TOP 3 PERCENT o_orderkey FROM #orders ORDER BY o_totalprice DESC, o_orderkey",
+    "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT (SELECT CAST(ceil(count(*) * 0.03) AS BIGINT) FROM orders)",
+)
+script(
+    "script_recursive",
+    "WITH RECURSIVE t(n, s) AS (SELECT n_nationkey, 1 FROM #nation WHERE n_regionkey = 0 UNION ALL SELECT n + 100, s + 1 FROM t WHERE s < 4) SELECT n, s FROM t",
+    "WITH RECURSIVE t(n, s) AS (SELECT n_nationkey, 1 FROM nation WHERE n_regionkey = 0 UNION ALL SELECT n + 100, s + 1 FROM t WHERE s < 4) SELECT n, s FROM t",
+)
+script(
+    "script_apply",
+    "SELECT c.c_custkey, x.o_orderkey FROM #customer c OUTER APPLY (SELECT TOP 2 o_orderkey FROM #orders WHERE o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey) x",
+    "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) o ON c_custkey = o_custkey AND rn <= 2",
+)
+script(
+    "script_by_name",
+    "SELECT n_nationkey AS k, n_name AS a FROM #nation UNION ALL BY NAME SELECT r_name AS b, r_regionkey AS k FROM #region",
+    "SELECT n_nationkey AS k, n_name AS a FROM nation UNION ALL BY NAME SELECT r_name AS b, r_regionkey AS k FROM region",
+)
+script(
+    "script_star_forms",
+    "SELECT * EXCLUDE (o_orderdate, o_orderpriority) REPLACE (o_totalprice * 2 AS o_totalprice) RENAME (o_custkey AS customer) FROM #orders WHERE o_orderkey < 500",
+    "SELECT * EXCLUDE (o_orderdate, o_orderpriority) REPLACE (o_totalprice * 2 AS o_totalprice) RENAME (o_custkey AS customer) FROM orders WHERE o_orderkey < 500",
+)
