@@ -438,7 +438,7 @@ TABLE_FUNCTIONS: dict[str, Lowering] = {
 }
 
 #: Functions the session answers, as literals, before a query runs: files, jobs, errors, tenancy, tags.
-SESSION = set("ERROR_LINE ERROR_MESSAGE ERROR_NUMBER ERROR_SEVERITY ERROR_STATE GET_JOB_STATE SET_JOB_STATE ENV CURRENT_TENANT TENANT_ID IS_SANDBOX RELDATE DIRECTORY_EXISTS FILE_CREATED FILE_EXISTS FILE_HASH FILE_LINE_COUNT FILE_MODIFIED FILE_SIZE CONNECTION_PROPERTY GET_TAG_VALUE HAS_TAG".split())
+SESSION = set("ERROR_LINE ERROR_MESSAGE ERROR_NUMBER ERROR_SEVERITY ERROR_STATE GET_JOB_STATE SET_JOB_STATE ENV CURRENT_TENANT TENANT_ID IS_SANDBOX RELDATE DIRECTORY_EXISTS FILE_CREATED FILE_EXISTS FILE_HASH FILE_LINE_COUNT FILE_MODIFIED FILE_SIZE CONNECTION_PROPERTY GET_TAG_VALUE HAS_TAG REMOTE_DIRECTORY_EXISTS REMOTE_FILE_EXISTS REMOTE_FILE_MODIFIED REMOTE_FILE_SIZE".split())
 
 
 def lower(name: str, args: list[str]) -> str:

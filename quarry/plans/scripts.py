@@ -446,3 +446,14 @@ script(
     "SELECT * EXCLUDE (o_orderdate, o_orderpriority) REPLACE (o_totalprice * 2 AS o_totalprice) RENAME (o_custkey AS customer) FROM #orders WHERE o_orderkey < 500",
     "SELECT * EXCLUDE (o_orderdate, o_orderpriority) REPLACE (o_totalprice * 2 AS o_totalprice) RENAME (o_custkey AS customer) FROM orders WHERE o_orderkey < 500",
 )
+script(
+    "script_remote_files",
+    """CREATE CONNECTION d AS DIRECTORY (PATH = '{sf_dir}'); SELECT r_regionkey, REMOTE_FILE_EXISTS('d', 'region.parquet') AS a, REMOTE_FILE_EXISTS('d', 'nope') AS b, REMOTE_DIRECTORY_EXISTS('d', '/') AS c,
+       REMOTE_FILE_SIZE('d', 'region.parquet') = FILE_SIZE('{sf_dir}/region.parquet') AS e, YEAR(REMOTE_FILE_MODIFIED('d', 'region.parquet')) > 2000 AS f FROM #region""",
+    "SELECT r_regionkey, 1 AS a, 0 AS b, 1 AS c, true AS e, true AS f FROM region",
+)
+script(
+    "script_remote_list",
+    "CREATE CONNECTION d AS DIRECTORY (PATH = '{sf_dir}'); SELECT NAME AS n, ISDIRECTORY AS d FROM REMOTE_FILE_LIST('d') f WHERE NAME IN ('region.parquet', 'nation.parquet')",
+    "SELECT * FROM (VALUES ('region.parquet', false), ('nation.parquet', false)) t(n, d)",
+)

@@ -258,6 +258,8 @@ class Session:
         if up == "CONNECTION_PROPERTY":
             value = self.connections.get(str(args[0]).lower(), ("", {}))[1].get(str(args[1]).upper())
             return None if value is None else str(value)
+        if up.startswith("REMOTE_"):
+            return self.remote_function(up, args)
         if up in ("HAS_TAG", "GET_TAG_VALUE"):
             tags = {k.lower(): v for k, v in self.tags(args[0], args[1]).items()}
             tag = str(args[2]).lstrip("@").lower()
@@ -266,6 +268,24 @@ class Session:
             return int(tag in tags and (len(args) < 4 or tags[tag] == args[3]))
         return library.file_function(up, args)
 
+    def remote_function(self, up: str, args: list):
+        """What stands at a path of a folder or object store connection; null arguments and missing files give null or 0."""
+        from .sources import readers
+
+        if any(a is None for a in args):
+            return None
+        kind, options = self.connections[str(args[0]).lower()]
+        fs, root = readers.file_system(self.spark, kind, options)
+        inner = str(args[1]).strip("/")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(root, inner) if inner else root
+        there = fs.getFileStatus(path) if fs.exists(path) else None
+        folder = there is not None and there.isDirectory()
+        if up in ("REMOTE_FILE_EXISTS", "REMOTE_DIRECTORY_EXISTS"):
+            return int(there is not None and folder == (up == "REMOTE_DIRECTORY_EXISTS"))
+        if there is None or folder:
+            return None
+        return there.getLen() if up == "REMOTE_FILE_SIZE" else dt.datetime.fromtimestamp(there.getModificationTime() / 1000)
+
     def tags(self, table: str, column: str) -> dict[str, str]:
         """Governance tags of a declared column."""
         for c in self.schemas.get(table.lower(), []):
@@ -287,6 +307,12 @@ class Session:
                 if not deep:
                     break
             return self.spark.createDataFrame(rows, "Name string, Path string, Size long, Modified timestamp")
+        if up == "REMOTE_FILE_LIST":
+            from .sources import readers
+
+            rows = readers.remote(self.spark, *self.connections[str(values[0]).lower()], values[1] if len(values) > 1 else None) if len(values) < 2 or values[1] is not None else []
+            rows = [(n, p, size, dt.datetime.fromtimestamp(t / 1000), d) for n, p, size, t, d in rows]
+            return self.spark.createDataFrame(rows, "NAME string, FULLPATH string, SIZE long, LASTMODIFIED timestamp, ISDIRECTORY boolean")
         if up == "GET_TAGS":
             rows = [(c.name, k, v) for c in self.schemas.get(str(values[0]).lower(), []) if len(values) < 2 or c.name.lower() == str(values[1]).lower() for k, v in c.tags.items()]
             return self.spark.createDataFrame(rows, "column_name string, tag string, value string")

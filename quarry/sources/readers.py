@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+
+from .http import read_api
 from pyspark.sql import types as T
 
 
@@ -150,7 +152,35 @@ def directory(spark: SparkSession, options: dict, table: str | None = None) -> D
     return df.select(F.col("path").alias("Path"), F.regexp_extract("path", "([^/]*)$", 1).alias("Name"), F.col("length").alias("Size"), F.col("modificationTime").alias("Modified"))
 
 
-READERS: dict[str, Callable] = {"FLATFILE": flatfile, "CSV": flatfile, "TSV": lambda s, o, t=None: flatfile(s, {"DELIMITER": "\t"} | o, t), "JSON": json_file, "XML": xml_file, "PARQUET": parquet, "AVRO": avro, "EXCEL": excel, "KAFKA": kafka, "DIRECTORY": directory} | {k: jdbc(k) for k in _JDBC}
+def file_system(spark: SparkSession, kind: str, options: dict):
+    """(file system, root) of a folder or object store connection, by Spark's own clients."""
+    conf = spark._jsc.hadoopConfiguration()
+    kind = kind.upper()
+    if kind in ("S3", "AWS_S3"):
+        root = f"s3a://{options['BUCKET']}"
+        for key, name in (("ACCESS_KEY", "fs.s3a.access.key"), ("SECRET_KEY", "fs.s3a.secret.key"), ("SESSION_TOKEN", "fs.s3a.session.token"), ("ENDPOINT", "fs.s3a.endpoint"), ("FORCE_PATH_STYLE", "fs.s3a.path.style.access")):
+            if key in options:
+                conf.set(name, str(options[key]))
+    elif kind == "AZURE_BLOB":
+        root = f"abfss://{options['CONTAINER']}@{options['ACCOUNT']}.dfs.core.windows.net"
+        if "ACCOUNT_KEY" in options:
+            conf.set(f"fs.azure.account.key.{options['ACCOUNT']}.dfs.core.windows.net", str(options["ACCOUNT_KEY"]))
+    elif kind in ("FTP", "SFTP"):
+        root = f"{kind.lower()}://{options['USER']}:{options['PASSWORD']}@{options['HOST']}"
+    else:
+        root = str(options["PATH"])
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(conf), path
+
+
+def remote(spark: SparkSession, kind: str, options: dict, path: str | None = None) -> list[tuple[str, str, int, int, bool]]:
+    """(name, full path, size, time of change in ms, whether a folder) of what stands at a path, itself or, for a folder, inside; empty if nothing does."""
+    fs, root = file_system(spark, kind, options)
+    at = spark._jvm.org.apache.hadoop.fs.Path(root, str(path).lstrip("/")) if path else root
+    return [(x.getPath().getName(), x.getPath().toString(), x.getLen(), x.getModificationTime(), x.isDirectory()) for x in fs.listStatus(at)] if fs.exists(at) else []
+
+
+READERS: dict[str, Callable] = {"FLATFILE": flatfile, "CSV": flatfile, "TSV": lambda s, o, t=None: flatfile(s, {"DELIMITER": "\t"} | o, t), "JSON": json_file, "XML": xml_file, "PARQUET": parquet, "AVRO": avro, "EXCEL": excel, "KAFKA": kafka, "DIRECTORY": directory, "API": read_api, "REST": read_api, "HTTP": read_api} | {k: jdbc(k) for k in _JDBC}
 
 
 def read(spark: SparkSession, kind: str, options: dict, table: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .http import write_api
 from .readers import _JDBC, SourceError, _flag, jdbc_options
 
 
@@ -54,5 +55,7 @@ def write(df: DataFrame, kind: str, options: dict, table: str | None = None, mod
     elif kind == "KAFKA":
         rows = df.select(F.col("Key").cast("string").alias("key"), F.col("Value").cast("string").alias("value"))
         rows.write.format("kafka").option("kafka.bootstrap.servers", options["SERVERS"]).option("topic", table or options["TOPIC"]).save()
+    elif kind in ("API", "REST", "HTTP", "WEBHOOK", "SLACK", "TEAMS"):
+        write_api(df, options, "API" if kind in ("API", "REST", "HTTP") else kind)
     else:
         raise SourceError(f"no writer for {kind}")
