@@ -35,18 +35,17 @@ def flatfile(spark: SparkSession, options: dict, table: str | None = None) -> Da
     numbered = any(options.get(k) for k in ("START_AT", "END_AT", "COUNT_AT_END"))
     csv = {"sep": str(options.get("DELIMITER", ",")), "quote": str(options.get("QUALIFIER", '"')), "escape": str(options.get("QUALIFIER", '"')), "encoding": str(options.get("ENCODING", "UTF-8")), "nullValue": str(options.get("NULL_AS", "")), "mode": "FAILFAST" if _flag(options.get("STRICT_SCHEMA", False)) else "PERMISSIVE"}
     if numbered:
-        lines = spark.read.text(path, wholetext=False).withColumn("n", F.monotonically_increasing_id())
-        ordered = lines.coalesce(1).sortWithinPartitions("n").select("value")
-        total = ordered.count()
-        first = int(options.get("START_AT") or 1)
-        last = int(options.get("END_AT") or total)
-        kept = [r["value"] for r in ordered.toLocalIterator()][first - 1 : last]
+        lines = numbered_lines(spark, path)
+        kept = lines.where(F.col("n") >= int(options.get("START_AT") or 1))
+        if options.get("END_AT"):
+            kept = kept.where(F.col("n") <= int(options["END_AT"]))
         if _flag(options.get("COUNT_AT_END", False)):
-            counted = int(re.sub(r"\D", "", kept[-1]))
-            kept = kept[:-1]
-            if counted != len(kept) - header:
-                raise SourceError(f"{path}: the trailer counts {counted} rows, there are {len(kept) - header}")
-        df = spark.read.options(**csv).option("header", header).option("inferSchema", _flag(options.get("INFER", False))).csv(spark.sparkContext.parallelize(kept))
+            trailer = kept.agg(F.max_by("value", "n").alias("text"), F.max("n").alias("n"), F.count("*").alias("lines")).first()
+            counted, there = int(re.sub(r"\D", "", trailer["text"])), trailer["lines"] - 1 - header
+            if counted != there:
+                raise SourceError(f"{path}: the trailer counts {counted} rows, there are {there}")
+            kept = kept.where(F.col("n") < trailer["n"])
+        df = spark.read.options(**csv).option("header", header).option("inferSchema", _flag(options.get("INFER", False))).csv(kept.rdd.map(lambda r: r["value"]))
     else:
         df = spark.read.options(**csv).option("header", header).option("inferSchema", _flag(options.get("INFER", False))).csv(path)
     names = options.get("COLUMNS")
@@ -59,6 +58,23 @@ def flatfile(spark: SparkSession, options: dict, table: str | None = None) -> Da
     return df
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, n): the lines of files in the order of their paths, numbered from 1.
+
+    Lines are counted for each block of a file, which is what a task reads in one piece; the
+    driver adds up the blocks' counts and sees no line.
+    """
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select("value", *block, F.monotonically_increasing_id().alias("at"))
+    counts = sorted((r["file"], r["block"], r["first"], r["n"]) for r in lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n")).collect())
+    before, rows = 0, []
+    for file, start, first, n in counts:
+        rows.append((file, start, before + 1 - first))
+        before += n
+    shift = spark.createDataFrame(rows, "file string, block long, shift long")
+    return lines.join(F.broadcast(shift), ["file", "block"]).select("value", (F.col("at") + F.col("shift")).alias("n"))
+
+
 def fixed_width(spark: SparkSession, path: str, fields: list[tuple[str, int, int]], options: dict | None = None) -> DataFrame:
     """Lines cut at (name, start from 1, length), trimmed; blank lines left out."""
     lines = spark.read.text(path).where(F.trim("value") != "")
