@@ -519,14 +519,30 @@ class Session:
     do_pivot = do_unpivot = do_values
 
     def do_explain(self, c: Cursor) -> DataFrame:
-        """EXPLAIN [ANALYZE]: the plan, a line for each row."""
+        """EXPLAIN [ANALYZE]: the plan, a line for each row; with ANALYZE the one that ran, with the rows and milliseconds its operators counted."""
         c.next()
         analyze = c.accept("ANALYZE")
-        df = self.query(self.tokens_of_statement(c))
-        if analyze:
-            df.count()
-        text = df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-        return self.spark.createDataFrame([(i, line) for i, line in enumerate(text.splitlines())], "step int, plan string")
+        plan = self.query(self.tokens_of_statement(c))._jdf.queryExecution()
+        if not analyze:
+            text = plan.explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+            return self.spark.createDataFrame([(i, line) for i, line in enumerate(text.splitlines())], "step int, plan string")
+        plan.toRdd().count()
+        rows: list[tuple] = []
+
+        def walk(node, depth: int) -> None:
+            kind = node.getClass().getSimpleName()
+            inner = {"AdaptiveSparkPlanExec": "executedPlan", "InputAdapter": "child", "WholeStageCodegenExec": "child"}.get(kind, "plan" if kind.endswith("QueryStageExec") else None)
+            if inner:
+                return walk(getattr(node, inner)(), depth)
+            measured = node.metrics()
+            value = lambda *names: next((int(measured.apply(n).value()) for n in names if measured.contains(n)), None)
+            rows.append((len(rows), "  " * depth + node.nodeName(), value("numOutputRows"), value("pipelineTime", "sortTime", "aggTime", "scanTime")))
+            children = node.children()
+            for i in range(children.size()):
+                walk(children.apply(i), depth + 1)
+
+        walk(plan.executedPlan(), 0)
+        return self.spark.createDataFrame(rows, "step int, plan string, rows long, ms long")
 
     # --- variables and settings ----------------------------------------------------------------------------------------
 

@@ -78,3 +78,11 @@ def test_identity_goes_on_from_the_last_value(spark):
     s = Session(spark)
     s.sql("CREATE TABLE #t (id INT IDENTITY(100, 10), v STRING); INSERT INTO #t (v) VALUES ('a'), ('b'); INSERT INTO #t (v) VALUES ('c')")
     assert rows(s.sql("SELECT id FROM #t ORDER BY id")) == [(100,), (110,), (120,)]
+
+
+def test_explain_analyze_tells_what_ran(spark):
+    s = Session(spark)
+    s.sql("CREATE TABLE #t (k INT, v INT); INSERT INTO #t VALUES (1, 1), (1, 2), (2, 3)")
+    got = s.sql("EXPLAIN ANALYZE SELECT k, SUM(v) AS x FROM #t GROUP BY k").collect()
+    assert any("Aggregate" in r["plan"] and r["rows"] == 2 for r in got)
+    assert any("Exchange" in r["plan"] for r in got)
