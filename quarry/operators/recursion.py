@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 from uuid import uuid4
 
 from pyspark.sql import DataFrame
@@ -12,11 +14,15 @@ MAX_DEPTH = 10_000
 
 
 def shared_folder(df: DataFrame) -> str:
-    """Where intermediate tables go: spark.checkpoint.dir, which all executors reach."""
+    """Where intermediate tables go: spark.checkpoint.dir, which all executors reach. Only a session of one machine may leave it unset."""
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not folder:
         import tempfile
 
+        master = df.sparkSession.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+
         folder = "file://" + tempfile.mkdtemp(prefix="quarry-")
         df.sparkSession.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -41,13 +47,9 @@ def recursive(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], distinc
     for depth in range(max_depth + 1):
         rows = fit(step(new))
         if distinct:
-            rows = rows.distinct()
-            for p in parts:
-                same = None
-                for c in anchor.columns:
-                    e = rows[c].eqNullSafe(p[c])
-                    same = e if same is None else same & e
-                rows = rows.join(p, same, "left_anti")
+            seen = reduce(DataFrame.union, parts)
+            same = reduce(and_, [F.col(f"new.`{c}`").eqNullSafe(F.col(f"seen.`{c}`")) for c in anchor.columns])
+            rows = rows.distinct().alias("new").join(seen.alias("seen"), same, "left_anti")
         new = written(rows)
         if not new.limit(1).count():
             break
@@ -55,11 +57,5 @@ def recursive(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], distinc
             raise RecursionError(f"recursion deeper than {max_depth}")
         parts.append(new)
         if distinct and len(parts) > 16:
-            whole = parts[0]
-            for p in parts[1:]:
-                whole = whole.union(p)
-            parts = [written(whole)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+            parts = [written(reduce(DataFrame.union, parts))]
+    return reduce(DataFrame.union, parts)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .order import keys, sort_columns
+from .recursion import written
 
 UNBOUNDED = (Window.unboundedPreceding, Window.unboundedFollowing)
 
@@ -96,11 +97,41 @@ def top_with_ties(df: DataFrame, order: str, n: int) -> DataFrame:
     return keyed.join(F.broadcast(edge), keep | equal).select(*df.columns)
 
 
-def top_percent(df: DataFrame, order: str, percent: float) -> DataFrame:
-    """TOP n PERCENT: the first ceil(rows * n / 100) rows of an order."""
+#: Rows up to which a top-n is taken as such; more are found by a boundary.
+TOP_ROWS = 1_000_000
+
+
+def top_percent(df: DataFrame, order: str, percent: float, top_rows: int = TOP_ROWS) -> DataFrame:
+    """TOP n PERCENT: the first ceil(rows * n / 100) rows of an order.
+
+    Beyond top_rows the sort keys alone are sorted and written; the place of the last row in
+    them is found from the row counts of their files, and rows are compared with its keys. Of
+    its peers as many are taken as are missing, so nothing but peers goes through one task.
+    """
     if not 0 <= percent <= 100:
         raise ValueError("percent must lie in 0..100")
-    return df.orderBy(*sort_columns(order)).limit(ceil(Decimal(df.count()) * Decimal(str(percent)) / 100))
+    n = ceil(Decimal(df.count()) * Decimal(str(percent)) / 100)
+    if n <= top_rows:
+        return df.orderBy(*sort_columns(order)).limit(n)
+    ks = keys(order)
+    names = [f"__o{i}" for i in range(len(ks))]
+    keyed = df.withColumns({name: F.expr(k.expression) for k, name in zip(ks, names, strict=True)})
+    places = written(keyed.select(*names).orderBy(*[k.sort(name) for k, name in zip(ks, names, strict=True)]))
+    at = places.select(*names, F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    left = n - 1
+    for file, rows in sorted((r["__file"], r["count"]) for r in at.groupBy("__file").count().collect()):
+        if left < rows:
+            break
+        left -= rows
+    edge = at.where((F.col("__file") == file) & (F.col("__row") == left)).select(*[F.col(c).alias(f"{c}_e") for c in names])
+    before, equal = F.lit(False), F.lit(True)
+    for k, name in zip(ks, names, strict=True):
+        before = before | (equal & k.before(name, f"{name}_e"))
+        equal = equal & F.col(name).eqNullSafe(F.col(f"{name}_e"))
+    missing = n - places.join(F.broadcast(edge), before).count()
+    first = keyed.join(F.broadcast(edge), before).select(*df.columns)
+    peers = keyed.join(F.broadcast(edge), equal).select(*df.columns).limit(missing)
+    return first.union(peers).orderBy(*sort_columns(order))
 
 
 def sample_rows(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:

@@ -25,3 +25,15 @@ def test_ranges_and_trailers(spark, tmp_path):
     assert [tuple(r) for r in read(spark, "FLATFILE", opts | {"COUNT_AT_END": "ON"}).collect()] == [("1", "a"), ("2", "b"), ("3", "c")]
     with pytest.raises(SourceError, match="counts 3"):
         read(spark, "FLATFILE", opts | {"START_AT": 3, "COUNT_AT_END": "ON"})
+
+
+def test_top_percent_by_a_boundary_takes_the_same_rows(spark):
+    from quarry.operators.windows import top_percent
+
+    df = spark.range(0, 3000, 1, 5).selectExpr("id", "case when id % 11 = 0 then null else id % 7 end as a", "cast(id % 13 as double) as b")
+    for order in ("a DESC, b", "b NULLS LAST, a DESC, id", "a, b DESC, id DESC"):
+        whole, split = (top_percent(df, order, 12.5, n) for n in (10_000, 10))
+        total = "id" in order
+        key = lambda r: (r["id"],) if total else (r["a"], r["b"])  # noqa: B023, E731
+        assert sorted(map(key, whole.collect()), key=str) == sorted(map(key, split.collect()), key=str)
+        assert split.count() == 375
