@@ -74,7 +74,7 @@ class Texts:
         return self._compared(pairs, run, "a long, b long, linked boolean, near boolean", "compared")
 
     def differences(self, pairs: DataFrame, frequent=None) -> DataFrame:
-        """For pairs (a: centre, b: text): id, centre, n (size of its set), m (of its difference), linked, near and prefix, a written table.
+        """For pairs (a: centre, b: text): id, centre, n (size of its set), m (of its difference), like (the Jaccard measure), linked, near and prefix, a written table.
 
         prefix has as many tokens of the difference as a partner can lack, and one more: first
         what the text adds, by rarity (frequent: a broadcast of keys and counts), then what it lacks.
@@ -101,10 +101,10 @@ class Texts:
                             at = np.minimum(np.searchsorted(keys, added), len(keys) - 1)
                             often = np.where(keys[at] == added, counts[at], 0)
                         prefix = np.concatenate((added[np.lexsort((added, often))], ~np.sort(removed)))[: len(sb) * (100 - percent) // percent + 1]
-                    rows.append((b, a, len(sb), union - both, both > 0 and 100 * both >= percent * union, near, prefix))
-                yield pd.DataFrame(rows, columns=["id", "centre", "n", "m", "linked", "near", "prefix"])
+                    rows.append((b, a, len(sb), union - both, both / union if union else 0.0, both > 0 and 100 * both >= percent * union, near, prefix))
+                yield pd.DataFrame(rows, columns=["id", "centre", "n", "m", "like", "linked", "near", "prefix"])
 
-        return self._compared(pairs, run, "id long, centre long, n long, m long, linked boolean, near boolean, prefix array<long>", "diffs")
+        return self._compared(pairs, run, "id long, centre long, n long, m long, like double, linked boolean, near boolean, prefix array<long>", "diffs")
 
 
 def _row(entries: DataFrame, *first: str):
@@ -128,15 +128,15 @@ def open_entries(entries: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def centres(e: DataFrame, rank: str) -> DataFrame:
-    """(a, b): for each id b of open entries the centre of the component that most of its tokens have as main, unless their sizes alone keep them from being near.
+    """(a, b, fits): for each id b of open entries the centre of the component that most of its tokens have as main, and whether their sizes let them be near.
 
     A component's centre is what has the smallest (rank, id) of it in most tokens.
     """
     first = e.where("comp = main").groupBy("token", "main").agg(F.min(F.struct(rank, "id", "n")).alias("x"))
     hub = first.groupBy("main", "x.id", "x.n").agg(F.count("*").alias("k")).groupBy("main").agg(F.max(F.struct("k", "id", "n")).alias("h"))
     votes = e.groupBy("id", "n", "main").agg(F.count("*").alias("k")).groupBy("id", "n").agg(F.max(F.struct("k", "main")).alias("v"))
-    joined = votes.select("id", "n", "v.main").join(hub, "main").where(f"h.id <> id and 100 * least(h.n, n) >= {NEAR} * greatest(h.n, n)")
-    return joined.select(F.col("h.id").alias("a"), F.col("id").alias("b"))
+    joined = votes.select("id", "n", "v.main").join(hub, "main").where("h.id <> id")
+    return joined.select(F.col("h.id").alias("a"), F.col("id").alias("b"), F.expr(f"100 * least(h.n, n) >= {NEAR} * greatest(h.n, n)").alias("fits"))
 
 
 def near_pairs(diffs: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
@@ -162,20 +162,25 @@ def near_pairs(diffs: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     return pair(one).union(pair(two)).distinct()
 
 
-def far_pairs(e: DataFrame, near: DataFrame, early: str, admit: str) -> DataFrame:
+def far_pairs(e: DataFrame, near: DataFrame, likes: DataFrame, percent: int, early: str, admit: str) -> DataFrame:
     """(a, b), a < b, of one token, in different components and not near the same centre; near: (id, centre).
 
+    likes: (id, hub, low, high), bounds on the Jaccard measure of an id and a hub. The distance
+    that belongs to it is a metric, so two texts whose measures with one hub are further apart
+    than a link allows cannot link.
+
     early: the condition on an entry to lie in the first part of its prefix that a partner of at
     least its size must share, so that one side of a pair is an early entry of the smaller set.
     """
     e = e.drop("main").join(near, "id", "left").withColumn("kin", F.struct(F.col("centre").isNotNull().alias("near"), F.coalesce("centre", "comp").alias("of"))).drop("centre")
     sizes = e.groupBy("token", "kin").agg(F.count("*").alias("k"))
     top = sizes.groupBy("token").agg(F.max(F.struct("k", "kin")).alias("top"), F.count("*").alias("k")).where("k > 1").select("token", F.col("top.kin").alias("most"))
-    e = settle(e.join(top, "token"), "far")
+    e = settle(e.join(top, "token").join(likes, "id", "left"), "far")
     row = F.struct(*[c for c in e.columns if c != "token"])
     side = lambda part, name: part.select("token", row.alias(name))
     first = e.where(early)
-    rule = f"a.comp <> b.comp and a.kin <> b.kin and ({admit})"
+    apart = f"coalesce(a.hub = b.hub and greatest(a.low - b.high, b.low - a.high) > {(100 - percent) / 100 + 1e-9!r}D, false)"
+    rule = f"a.comp <> b.comp and a.kin <> b.kin and ({admit}) and not {apart}"
     one = side(first.where("kin <> most"), "a").join(side(e, "b"), "token")
     if early == "true":  # then a token's main kin only has to be on one side
         both = one.where(f"{rule} and (b.kin = b.most or a.id < b.id)")
@@ -205,13 +210,16 @@ def link(entries: DataFrame, texts: Texts, rank: str, admit: str = "true", early
     rest = open_entries(entries, comp)
     tried = settle(compared.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max("near").alias("close")), "tried")
     # what was compared with its centre and is not near it needs no second look
-    hubs = centres(rest, rank).withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(tried, ["x", "y"], "left").where("close is null or close").select("a", "b")
-    diffs = texts.differences(settle(hubs, "centres"), frequent)
+    hubs = centres(rest, rank).withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(tried, ["x", "y"], "left")
+    hubs = settle(hubs.select("a", "b", F.expr("fits and coalesce(close, true)").alias("open")), "centres")
+    diffs = texts.differences(hubs.where("open").select("a", "b"), frequent)
+    likes = diffs.select("id", F.col("centre").alias("hub"), F.col("like").alias("low"), F.col("like").alias("high"))
+    likes = likes.union(hubs.where("not open").select(F.col("b").alias("id"), F.col("a").alias("hub"), F.lit(0.0).alias("low"), F.lit(NEAR / 100).alias("high")))
     links = links.union(diffs.where("linked").select(F.col("centre").alias("a"), F.col("id").alias("b")))
     # a centre is near itself
     kin = diffs.where("near").select("id", "centre")
     kin = kin.union(diffs.select(F.col("centre").alias("id"), "centre").distinct().join(kin.select("id"), "id", "left_anti"))
-    found = near_pairs(diffs, comp, texts.percent).union(far_pairs(rest, kin, early, admit))
+    found = near_pairs(diffs, comp, texts.percent).union(far_pairs(rest, kin, likes, texts.percent, early, admit))
     last = settle(found.distinct().join(tried.select(F.col("x").alias("a"), F.col("y").alias("b")), ["a", "b"], "left_anti"), "pairs")
     discard(rest)
     return links.union(texts.compare(last).where("linked").select("a", "b")) if last.limit(1).count() else links
