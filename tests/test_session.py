@@ -274,3 +274,15 @@ def test_views_metadata_and_unknown_names(s):
     with pytest.raises(ScriptError):
         s.sql("SELECT 1 FROM #missing")
     assert s.sql("EXPLAIN SELECT v FROM #t").count() > 1
+
+
+def test_apply_ranks_the_rows_of_each_outer_row(spark, s):
+    s.sql("CREATE TABLE #o (k INT, v INT, n STRING); INSERT INTO #o VALUES (1,5,'a'),(1,9,'b'),(1,7,'c'),(2,1,'d'); CREATE TABLE #c (k INT); INSERT INTO #c VALUES (1),(2),(3);")
+    for q in ("SELECT c.k, x.n FROM #c c OUTER APPLY (SELECT TOP 1 n FROM #o o WHERE o.k = c.k ORDER BY v DESC) x", "SELECT c.k, (SELECT n FROM #o o WHERE o.k = c.k ORDER BY v DESC LIMIT 1) AS n FROM #c c"):
+        df = s.sql(q)
+        assert sorted(rows(df)) == [(1, "b"), (2, "d"), (3, None)]
+        # a sort before the shuffle of the window does not order its rows: the window itself must
+        window = next(x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [row_number" in x)
+        assert "DESC NULLS LAST" in window
+    ordered = s.sql("SELECT c.k, x.a FROM #c c CROSS APPLY (SELECT TOP 2 v * 2 AS a FROM #o o WHERE o.k = c.k ORDER BY a DESC, n) x")
+    assert ordered.columns == ["k", "a"] and sorted(rows(ordered)) == [(1, 14), (1, 18), (2, 2)]
