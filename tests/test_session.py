@@ -286,3 +286,17 @@ def test_apply_ranks_the_rows_of_each_outer_row(spark, s):
         assert "DESC NULLS LAST" in window
     ordered = s.sql("SELECT c.k, x.a FROM #c c CROSS APPLY (SELECT TOP 2 v * 2 AS a FROM #o o WHERE o.k = c.k ORDER BY a DESC, n) x")
     assert ordered.columns == ["k", "a"] and sorted(rows(ordered)) == [(1, 14), (1, 18), (2, 2)]
+
+
+def test_full_join_yields_the_pairs_of_a_key_one_by_one(spark, s):
+    key = "spark.sql.codegen.join.fullOuterSortMergeJoin.enabled"
+    spark.conf.unset(key)
+    s.tables["#a"] = spark.range(1200).selectExpr("id % 2 as k", "id as v")
+    s.tables["#b"] = spark.range(1201).selectExpr("id % 2 + 1 as k", "id as w")
+    df = s.sql("SELECT a.v, b.w FROM #a a FULL JOIN #b b ON a.k = b.k AND a.v > b.w")
+    got = {tuple(r) for r in df.collect()}
+    pairs = {(v, w) for v in range(1, 1200, 2) for w in range(0, 1201, 2) if v > w}
+    lone_v, lone_w = set(range(1200)) - {v for v, _ in pairs}, set(range(1201)) - {w for _, w in pairs}
+    assert got == pairs | {(v, None) for v in lone_v} | {(None, w) for w in lone_w}
+    # the generated code of this join holds all pairs of a key in memory
+    assert spark.conf.get(key) == "false"
