@@ -205,3 +205,13 @@ def test_streams(spark, tmp_path):
     assert rows(streams.run_available(streams.tumbling(s(), "ts", "1 hour", ["u"])).select("u", "n")) == [(1, 2), (2, 1)]
     assert streams.run_available(streams.sessions(s(), "ts", "10 minutes", ["u"])).count() == 3
     assert rows(streams.run_available(streams.latest(s(), "ts", ["u"], ["ts"])).select("u")) == [(1,), (2,)]
+
+
+def test_fuzzy_join_deals_the_rows_of_one_text_to_many_tasks(spark, monkeypatch):
+    names = spark.range(300).selectExpr("id", "case when id < 280 then 'red bolt' when id < 290 then 'red bolts' else 'zzz' end as n")
+    want = 290 * 290 + 10 * 10
+    monkeypatch.setattr(joins, "PAIR_ROWS", 10_000)
+    out = joins.fuzzy_join(names, names, "n", "n", 0.8, digits=3)
+    assert out.count() == want and {r[0] for r in out.select("__score").distinct().collect()} == {1.0, 0.978}
+    parts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == want and max(parts) < want / 4
