@@ -215,3 +215,36 @@ def test_fuzzy_join_deals_the_rows_of_one_text_to_many_tasks(spark, monkeypatch)
     assert out.count() == want and {r[0] for r in out.select("__score").distinct().collect()} == {1.0, 0.978}
     parts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(parts) == want and max(parts) < want / 4
+
+
+def test_fuzzy_join_unrolls_packs_in_runs_of_right_rows(spark, monkeypatch):
+    names = spark.range(1000).selectExpr("id", "'red bolt' as n")
+    monkeypatch.setattr(joins, "PAIR_ROWS", 250_000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in ("10MB", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            got = joins.fuzzy_join(names, names, "n", "n", 0.8).select("id", "id_right").toPandas()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert len(got) == 1_000_000 == len(got.drop_duplicates())
+        assert (got["id_right"].diff() != 0).sum() < 1_000_000 / 50
+
+
+def test_fuzzy_join_of_packs_equals_the_join_of_rows(spark, monkeypatch):
+    text = "case when id % 10 < 6 then 'red bolt' when id % 10 = 6 then 'red bolts' when id % 10 = 7 then 'blue nut' when id % 20 = 8 then '' when id % 20 = 9 then 'lonely' end"
+    left = spark.range(300).selectExpr("id", f"{text} as n", "struct(id % 7 as `a b`) as s")
+    right = spark.range(170).selectExpr("id as rid", f"replace({text}, 'lonely', 'zz') as n", "if(id % 3 = 0, null, id) as v")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for keep, how in ((None, "inner"), (None, "left"), (3, "inner"), (2, "left")):
+        run = lambda k=keep, h=how: rows(joins.fuzzy_join(left, right, "n", "n", 0.8, keep_best=k, how=h))
+        monkeypatch.setattr(joins, "PAIR_ROWS", 10**9)
+        want = run()
+        assert len(want) > 300 and (how == "inner" or any(r[-1] is None for r in want))
+        monkeypatch.setattr(joins, "PAIR_ROWS", 500)
+        for limit in ("10MB", "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            try:
+                assert run() == want
+            finally:
+                spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from quarry.operators import joins
 
 from .test_entry import SF, TABLES, plain
 
@@ -51,6 +52,17 @@ def test_fuzzy_join_reads_all_parts(spark, duck):
     assert {r[cols.index("lid")] for r in got} == {r[cols.index("rid")] for r in got} == keys
 
 
+def test_fuzzy_join_of_packs(spark, duck, monkeypatch):
+    monkeypatch.setattr(joins, "PAIR_ROWS", 20_000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in ("10MB", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            same_as_oracle(spark, duck, "fuzzy_join")
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_unnest_gives_every_element(spark, duck):
     got = same_as_oracle(spark, duck, "unnest")
     assert sum(got.values()) == duck.execute("select sum(len(embedding)) from embeddings").fetchone()[0]
